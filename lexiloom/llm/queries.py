@@ -7,13 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import format_chats, read_back, under_mask
+from .encoding import default_tokenizer
 from .exact import exact_duplicates
+from .lengths import histogram, with_suffix_sums
+from .mixing import mix
+from .packing import pack
+from .store import saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"), default_tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_suffix_sums(saved(histogram(_table(spark, sf_dir, "documents"), default_tokenizer())))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).drop("row")
 
@@ -36,6 +55,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
+    "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
 }
