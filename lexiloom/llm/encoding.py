@@ -8,12 +8,17 @@ the new words of many texts are encoded in one call.
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space for str.split() but not for the tokenizer
 _MARK = "\x01"
+#: Bytes as the characters of byte-level vocabularies: printable ones are themselves, others follow 255 in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = str.maketrans({b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)})
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -24,16 +29,28 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """For tokenizer files whose words are independent: white space dropped, no merges across it."""
+    """For tokenizer files whose words are independent: white space dropped, no merges across it.
 
-    def __init__(self, path: str, max_words: int = 600_000, max_length: int = 64, chars: int = 1 << 20) -> None:
+    Such files also split a word between a letter or digit and the mark that follows it, and ignore
+    case where ``lower`` is true; a new word is then put together from the word without them.
+    """
+
+    def __init__(self, path: str, max_words: int = 500_000, max_length: int = 64, chars: int = 1 << 17) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._max_words, self._max_length, self._chars = max_words, max_length, chars
-        mark = self._tokenizer.encode(_MARK, add_special_tokens=False).ids
+        alone = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
+        mark = alone(_MARK)
         self._mark = mark[0] if len(mark) == 1 else None
+        self._tails = {c: self._encode(c) for c in ",." if alone(f"tion{c}") == [*alone("tion"), *alone(c)] and alone(f"T9{c}") == [*alone("T9"), *alone(c)]}
+        self._lower = alone("\u00c9Tion \u00c4B") == alone("\u00e9tion \u00e4b")
+
+        self._model = self._tokenizer.model
+        tried = "then", "th\u00e8se", "\u00fcber\u00dfng", "ni\u00f1oqueasd", "a", "\u0434\u0430"
+        self._direct = all(self._letters(w) == self._encode(w) for w in tried)
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -45,32 +62,53 @@ class WordEncoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words: those that can be kept are encoded together, a mark between them."""
-        if len(self._known) > self._max_words:
-            self._known.clear()
-        plain = [w for w in words if len(w) <= self._max_length and _MARK not in w] if self._mark is not None else []
-        out: dict[str, bytes] = {}
-        if plain:
-            raw = self._encode(f" {_MARK} ".join(plain))
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of lower-case letters, by the model alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of new words into the table: those of plain words are found together, a mark between them."""
+        known, older, tails = self._known, self._older, self._tails
+        bases: dict[str, tuple[str, bytes]] = {}
+        asked: dict[str, None] = {}
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+            elif self._mark is None or len(w) > self._max_length or _MARK in w:
+                known[w] = self._encode(w)
+            else:
+                base, tail = (w[:-1], tails[w[-1]]) if w[-1] in tails and w[:-1].isalpha() else (w, b"")
+                if self._lower and base.isalpha() and not base.islower() and "\u0130" not in base and "\u03a3" not in base:
+                    base = base.lower()
+                bases[w] = base, tail
+                asked[base] = None
+        todo = []
+        for base in asked:
+            if base not in known:
+                if base in older:
+                    known[base] = older[base]
+                elif self._direct and base.isalpha() and base.islower() and (base.isascii() or unicodedata.is_normalized("NFC", base)):
+                    known[base] = self._letters(base)
+                else:
+                    todo.append(base)
+        if todo:
+            raw = self._encode(f" {_MARK} ".join(todo))
             ends = (np.flatnonzero(np.frombuffer(raw, "<u4") == self._mark) * 4).tolist()
-            out = {w: raw[a:b] for w, a, b in zip(plain, [0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)}
-            self._known |= out
-        return out | {w: self._encode(w) for w in words if w not in out}
+            known.update((w, raw[a:b]) for w, a, b in zip(todo, [0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True))
+        for w, (base, tail) in bases.items():
+            known[w] = known[base] + tail
 
     def _batch(self, texts: list[str]) -> Iterator[bytes]:
         split = [None if _CONTROL.search(t) else t.split() for t in texts]
         known = self._known
-        new = {w for words in split if words for w in words if w not in known}
-        own = self._learn(new) if new else {}
+        if new := {w for words in split if words for w in words if w not in known}:
+            self._learn(new)
         for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield self._encode(text)
-            else:
-                try:
-                    yield b"".join([known[w] for w in words])
-                except KeyError:  # cleared meanwhile, or too long to keep
-                    yield b"".join([known.get(w) or own.get(w) or self._encode(w) for w in words])
+            yield self._encode(text) if words is None else b"".join([known[w] for w in words])
+        if len(known) > self._max_words:
+            self._known, self._older = {}, known
 
     def encoded(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text counts as empty."""
@@ -80,6 +118,6 @@ class WordEncoder:
             batch.append(text or "")
             chars += len(batch[-1])
             if chars >= self._chars:
-                yield from self._batch(batch)
+                yield from list(self._batch(batch))
                 batch, chars = [], 0
-        yield from self._batch(batch)
+        yield from list(self._batch(batch))
