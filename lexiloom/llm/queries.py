@@ -14,6 +14,7 @@ from .lengths import histogram, with_suffix_sums
 from .mixing import mix
 from .near import near_duplicates
 from .packing import pack
+from .quality import score
 from .store import saved
 
 
@@ -66,6 +67,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.rows.select("doc_id", "log_weight", scored.kept().alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
@@ -74,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_quality": op10_quality,
 }
