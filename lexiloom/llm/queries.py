@@ -15,6 +15,7 @@ from .mixing import mix
 from .near import near_duplicates
 from .packing import pack
 from .quality import score
+from .secrets import find_secrets, spelled
 from .store import saved
 
 
@@ -22,6 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    n_of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n_of("assign"), n_of("access"), n_of("hex"), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("secrets")).alias("spans"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), words=4, similarity=80)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -73,6 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_embedding_dedup": op4_embedding_dedup,
