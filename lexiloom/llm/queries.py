@@ -14,6 +14,7 @@ from .lengths import histogram, with_suffix_sums
 from .mixing import mix
 from .near import near_duplicates
 from .packing import pack
+from .pii import find_personal_data
 from .quality import score
 from .secrets import find_secrets, spelled
 from .store import saved
@@ -54,6 +55,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_suffix_sums(saved(histogram(_table(spark, sf_dir, "documents"), default_tokenizer())))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+    n_of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n_of("email"), n_of("ip"), n_of("card"), n_of("phone"), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).drop("row")
 
@@ -87,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_pii": op7_pii,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
