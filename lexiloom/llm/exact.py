@@ -60,15 +60,16 @@ def _disputed(docs: DataFrame, rows: DataFrame, at: DataFrame, disputed: DataFra
 
 
 def identities(docs: DataFrame, *, block: int = BLOCK, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """(row, doc_id, text_sha256, level, name) for each row of ``docs`` (doc_id, text).
+    """(row, doc_id, content, text_sha256, level, name) for each row of ``docs`` (doc_id, text).
 
     Rows with equal (level, name), and only those, have equal normalised texts. ``level`` counts the
-    pairings that it took. ``row`` tells repeated rows apart. A null text counts as empty.
+    pairings that it took. ``row`` tells repeated rows apart; ``content`` is a hash of the text as it
+    is, for :func:`lexiloom.llm.text.only`. A null text counts as empty.
     """
     docs = docs.select("doc_id", "text")
     spaced = X.one_spaced(F.col("text"))
     marked = docs.withColumn("row", F.monotonically_increasing_id()).select(
-        "row", "doc_id", F.sha2(spaced, 256).alias("text_sha256"), F.transform(X.blocks(spaced, block), lambda b: fingerprint(b)).alias("hs")
+        "row", "doc_id", F.xxhash64("text").alias("content"), F.sha2(spaced, 256).alias("text_sha256"), F.transform(X.blocks(spaced, block), lambda b: fingerprint(b)).alias("hs")
     )
     rows = saved(marked)
     names = saved(_first_names(docs, rows, block, fingerprint))
@@ -89,11 +90,11 @@ def identities(docs: DataFrame, *, block: int = BLOCK, fingerprint: Callable[[Co
     named = ends[0]
     for end in ends[1:]:
         named = named.unionByName(end)
-    return rows.select("row", "doc_id", "text_sha256").join(named, "row")
+    return rows.select("row", "doc_id", "content", "text_sha256").join(named, "row")
 
 
 def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): row, doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of ``docs`` (doc_id, text): row, doc_id, content, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the smallest doc_id stays, a null doc_id being the largest; of repeated
     rows with that doc_id just one stays. A null text counts as empty; an empty table gives an empty
@@ -105,7 +106,7 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     out = named.join(groups, ["level", "name"], "left")
     alone = F.col("group_size").isNull()
     return out.select(
-        "row", "doc_id",
+        "row", "doc_id", "content",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("first.row") == F.col("row"))).alias("kept"),

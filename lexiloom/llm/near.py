@@ -179,7 +179,7 @@ def _with(keyed: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, kept.
+    """One row for each row of ``docs`` (doc_id, text): row, doc_id, content, n_shingles, component_id, kept.
 
     Texts link when they share ``similarity`` percent of the union of their shingles of ``words``
     words. Texts that are null, empty or white space have no shingle and link with nothing.
@@ -222,10 +222,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) ->
     of_class = saved(_with(classes.select(F.col("row").alias("node"), "hi", "lo", "least"), roots, "node", "root"))
     heads = saved(of_class.groupBy("root").agg(F.min("least").alias("head")))
     of_class = saved(of_class.join(heads, "root").select("hi", "lo", "head"))
-    out = rows.select("row", "doc_id", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left")
+    out = rows.select("row", "doc_id", "content", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left")
     alone = F.col("head").isNull()
     return out.select(
-        "row", "doc_id", F.col("n").alias("n_shingles"),
+        "row", "doc_id", "content", F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
         (alone | (F.col("head.row") == F.col("row"))).alias("kept"),
     )

@@ -63,7 +63,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(_table(spark, sf_dir, "documents")).drop("row")
+    return exact_duplicates(_table(spark, sf_dir, "documents")).drop("row", "content")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.rows.select("doc_id", "log_weight", scored.kept().alias("kept"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -99,4 +105,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
@@ -27,3 +27,15 @@ def blocks(text: Column, size: int) -> Column:
     """The text cut into blocks of ``size`` code points in one pass; an empty text is one empty block."""
     cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
     return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(cut)
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names by (doc_id, content), content being the hash of the text; of repeated rows one.
+
+    All columns stay as they are. Null ids match each other.
+    """
+    named = lambda doc_id, content: [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("_id"), doc_id.isNull().alias("_no"), content.alias("_content")]
+    keys = ["_id", "_no", "_content"]
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *named(F.col("doc_id"), F.xxhash64("text")))
+    wanted = kept.select(*named(F.col("doc_id"), F.col("content"))).distinct()
+    return rows.join(wanted, keys, "left_semi").dropDuplicates(keys).select("doc.*")
