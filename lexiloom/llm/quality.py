@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import saved
 
-BUCKETS = 1 << 18
-#: Order of the n-grams: prior.
+#: For each order of n-grams: bits of a bucket's number. The models are as large whatever the input.
+BITS = {1: 18, 2: 16}
+#: For each order: the prior.
 PRIORS = {1: 10.0, 2: 200.0}
 WINDOWS = (4, 32)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -33,7 +34,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class _Hasher:
     """Buckets of a text's n-grams. Keeps the hashes of recent words."""
 
-    def __init__(self, orders: tuple[int, ...], max_words: int = 400_000) -> None:
+    def __init__(self, orders: tuple[int, ...], max_words: int = 150_000) -> None:
         self._orders, self._max = orders, max_words
         self._known: dict[str, int] = {}
 
@@ -51,7 +52,7 @@ class _Hasher:
             g = np.full(max(0, len(h) - n + 1), n, np.uint64)
             for k in range(n):
                 g = (g ^ h[k : len(h) - n + 1 + k]) * _STEP
-            out[n] = (g >> np.uint64(46)).astype(np.int64) if len(g) else g.astype(np.int64)
+            out[n] = (g >> np.uint64(64 - BITS[n])).astype(np.int64)
         return out
 
 
@@ -69,7 +70,7 @@ def _counts(docs: DataFrame, fitted: list[int], orders: tuple[int, ...]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, ids = _Hasher(orders), good.value
-        raw, target = {n: np.zeros(BUCKETS, np.int64) for n in orders}, {n: np.zeros(BUCKETS, np.int64) for n in orders}
+        raw, target = {n: np.zeros(1 << BITS[n], np.int64) for n in orders}, {n: np.zeros(1 << BITS[n], np.int64) for n in orders}
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for doc_id, text in zip(doc_ids, batch.column(1), strict=True):
@@ -81,10 +82,10 @@ def _counts(docs: DataFrame, fitted: list[int], orders: tuple[int, ...]) -> Data
                         np.add.at(target[n], g, 1)
         for n in orders:
             seen = np.flatnonzero(raw[n])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(seen), n, np.int32)), pa.array(seen.astype(np.int32)), pa.array(raw[n][seen]), pa.array(target[n][seen])],
-                names=["n", "bucket", "raw", "target"],
-            )
+            for at in range(0, len(seen), 1 << 14):
+                some = seen[at : at + (1 << 14)]
+                columns = [np.full(len(some), n, np.int32), some.astype(np.int32), raw[n][some], target[n][some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n", "bucket", "raw", "target"])
 
     counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "n int, bucket int, raw long, target long")
     return counted.groupBy("n", "bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -99,7 +100,7 @@ def fit(docs: DataFrame, target_ids: list[int], priors: dict[int, float]) -> dic
         own = columns["n"] == n
         raw, target = columns["raw"][own], columns["target"][own]
         share = target.sum() / max(1, raw.sum())
-        ratio = np.zeros(BUCKETS, np.float32)
+        ratio = np.zeros(1 << BITS[n], np.float32)
         if share:
             ratio[columns["bucket"][own]] = np.log((target + prior * share) / (share * (raw + prior)))
         out[n] = ratio
