@@ -1,15 +1,332 @@
-"""All queries of the engine proper, with their SQL."""
+"""All queries of the engine proper. Each runs over its whole tables; the SQL is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import classify as C, html as H, text as T, urls as U
+from ..operators import chunk, crawl, dedupe, evaluate, generate, index, models, retrieve, sections
+from .oracles import ORACLES as ORACLES
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n"))
+
+def _query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents")
+
+
+@_query
+def token_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _docs(spark, sf_dir).select("lang", T.token_count(T.clean_text("text")).alias("k"))
+    return counted.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("k").alias("n_tokens"), F.max("k").alias("max_tokens"), F.round(F.avg("k"), 6).alias("mean_tokens"))
+
+
+flagship = token_stats_by_lang
+
+#: Queries that map each document to one value.
+for _name, _column, _make in (
+    ("clean_text", "content_clean", T.clean_text),
+    ("token_count", "token_count", T.token_count),
+    ("sentence_count", "n_sentences", lambda c: F.size(T.split_sentences(c))),
+    ("summary", "summary", T.summary),
+    ("bullets", "bullets", lambda c: F.array_join(T.bullets(c), "|")),
+    ("doc_hash", "hash", T.sha256),
+):
+    QUERIES[_name] = lambda spark, sf_dir, column=_column, make=_make: _docs(spark, sf_dir).select("doc_id", make("text").alias(column))
+
+#: Queries that list what documents hold, without those that hold nothing.
+for _name, _column, _make in (
+    ("entities_email", "emails", T.emails), ("entities_date", "dates", T.dates), ("entities_money", "money", T.money),
+    ("entities_titlecase", "entities", T.titlecase), ("entities_course", "course_names", T.course_names),
+):
+    QUERIES[_name] = lambda spark, sf_dir, column=_column, make=_make: (
+        _docs(spark, sf_dir).select("doc_id", make("text").alias("found")).where(F.size("found") > 0).select("doc_id", F.array_join("found", "|").alias(column))
+    )
+
+
+@_query
+def keywords_top18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.keyword_rows(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@_query
+def dedupe_exact_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = _docs(spark, sf_dir).select("doc_id", dedupe.content_fingerprint("text").alias("fingerprint"))
+    return dedupe.keep_first_slim(marked, [F.col("fingerprint")], ["doc_id"])
+
+
+def _as_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the place of sections: the source is the address."""
+    docs = _docs(spark, sf_dir)
+    return docs.select(
+        F.col("doc_id"), F.col("source").alias("url"), F.col("source").alias("page_title"), F.col("lang").alias("section_title"), F.col("text").alias("content"),
+        T.clean_text("text").alias("content_clean"), F.col("doc_id").alias("page_seq"), F.lit(0).alias("section_seq"),
+    )
+
+
+@_query
+def dedupe_within_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = _docs(spark, sf_dir).select("doc_id", "source", dedupe.content_fingerprint("text").alias("fingerprint"))
+    return dedupe.keep_first_slim(slim, [F.col("source"), F.col("fingerprint")], ["doc_id"]).select("doc_id", "source")
+
+
+@_query
+def duplicate_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedupe.with_duplicate_of(_as_sections(spark, sf_dir).select("doc_id", "url", "content", "page_seq", "section_seq"))
+    return found.where("duplicate_of IS NOT NULL").select("doc_id", "duplicate_of")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = _as_sections(spark, sf_dir).select("doc_id", F.col("content_clean").alias("body"))
+    whole = T.token_count("body") <= chunk.MAX_TOKENS
+    parts = F.when(whole, F.array("body")).otherwise(chunk.chunk_texts_of_clean("body"))
+    parts = body.select("doc_id", parts.alias("parts"))
+    return parts.select("doc_id", F.size("parts").alias("chunk_count"), F.posexplode("parts").alias("chunk_index", "content"))
+
+
+@_query
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", "chunk_count", T.token_count("content").alias("token_count"), T.sha256("content").alias("hash"))
+
+
+@_query
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _chunks(spark, sf_dir).select((F.col("chunk_count") > 1).alias("is_chunk"), T.token_count("content").alias("k"))
+    return counted.groupBy("is_chunk").agg(F.count("*").alias("n"), F.sum("k").alias("n_tokens"), F.max("k").alias("max_tokens"))
+
+
+@_query
+def chunk_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = _chunks(spark, sf_dir).select("doc_id", "chunk_index", T.sha256(F.lower("content")).alias("fingerprint"))
+    return dedupe.keep_first_slim(marked, [F.col("fingerprint")], ["doc_id", "chunk_index"]).select("doc_id", "chunk_index")
+
+
+@_query
+def content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = F.lit("")
+    out = _as_sections(spark, sf_dir).select("doc_id", "page_title", "section_title", "content_clean")
+    out = out.withColumn("content_type", C.content_type("content_clean", "page_title", "section_title", blank))
+    final = C.fallback_content_type("content_type", blank, F.concat_ws(" ", "page_title", "section_title"), blank, "content_clean")
+    return out.select("doc_id", "content_type", final.alias("final_type"))
+
+
+@_query
+def program_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_sections(spark, sf_dir).select("doc_id", C.program_type("content_clean", "page_title", "section_title", F.lit("")).alias("program_type"))
+
+
+@_query
+def modality_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _as_sections(spark, sf_dir).select("doc_id", "content_clean")
+    return text.select("doc_id", F.array_join(C.modality("content_clean"), ",").alias("modality"), F.array_join(C.program_tags("content_clean"), ",").alias("program_tags"))
+
+
+@_query
+def faq_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _as_sections(spark, sf_dir).select("doc_id", "content_clean")
+    return text.select("doc_id", C.faq_category("content_clean", F.lit("")).alias("faq_category"), C.course_type("content_clean").alias("course_type"))
+
+
+@_query
+def rule_classifier_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mechanism with a vocabulary of the data."""
+    own = {"legal": ("license",), "noise": ("***", " | "), "abuse": ("trash", "stupid")}
+    return _docs(spark, sf_dir).select("doc_id", C.by_table(F.lower("text"), own, "prose").alias("kind"))
+
+
+@_query
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", U.normalize_url("url", "url").alias("url"))
+
+
+@_query
+def url_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.lower(F.regexp_extract("url", "^https?://([^/?#]*)", 1))
+    path = F.lower(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1))
+    return pages.select("page_id", (host.like("%.example.com") & C.has_any(path, ("/fr/", "/en/"))).alias("allowed"))
+
+
+@_query
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.extract_links(_read(spark, sf_dir, "pages"), "url", domains=None).select("page_id", "link")
+
+
+def _page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").withColumnRenamed("page_id", "page_seq")
+    return sections.read_sections(pages)
+
+
+@_query
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def title(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: H.page_title(H.remove_noise(H.parse(x)), None))
+
+    return _read(spark, sf_dir, "pages").select("page_id", title("html").alias("page_title"))
+
+
+@_query
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _page_rows(spark, sf_dir)
+    return rows.select(
+        F.col("page_seq").alias("page_id"), F.col("title").alias("section_title"), F.col("heading_level"), F.length("content").alias("char_count"), T.sha256("content").alias("hash")
+    )
+
+
+@_query
+def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ingest plan over the pages: distinct, labelled chunks."""
+    from .ingest import ingest
+
+    pages = _read(spark, sf_dir, "pages").withColumnRenamed("page_id", "page_seq")
+    out = ingest(pages)
+    return out.select("page_seq", "section_seq", "chunk_index", "chunk_count", "doc_id", "url", "section_title", "content_type", "program_type", "token_count", F.array_join("keywords", ",").alias("keywords"))
+
+
+@_query
+def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of the pages from the first one, links of any site: those that the table holds are found."""
+    pages = _read(spark, sf_dir, "pages")
+    seeds = [r.url for r in pages.orderBy("page_id").select("url").limit(4).collect()]
+    return crawl.crawl(spark, seeds, crawl.fetch_from(pages), domains=None, checkpoint=bool(spark.sparkContext.getCheckpointDir())).select("page_id", "page_seq", "depth")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+
+
+def _asked(spark: SparkSession, sf_dir: str, condition: str = "id % 50 = 0") -> DataFrame:
+    return _vectors(spark, sf_dir).where(condition).select(F.col("id").alias("query_id"), "embedding")
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieve.topk_cosine(_vectors(spark, sf_dir), _asked(spark, sf_dir), k, exclude_same=True)
+
+
+def _rounded() -> Column:
+    return F.round("score", 6).alias("score")
+
+
+@_query
+def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.topk_cosine(_vectors(spark, sf_dir), _asked(spark, sf_dir, "id = 0"), 20, exclude_same=True).select("query_id", "id", _rounded(), "rank")
+
+
+@_query
+def topk_cosine_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _vectors(spark, sf_dir).where(retrieve.metadata_filter(label=3))
+    return retrieve.topk_cosine(part, _asked(spark, sf_dir, "id = 0"), 5, exclude_same=True).select("query_id", "id", _rounded(), "rank")
+
+
+@_query
+def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, 10).select("query_id", "id", _rounded(), "rank")
+
+
+@_query
+def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.over_threshold(_hits(spark, sf_dir, 20)).select("query_id", "id", _rounded())
+
+
+def _hits_with_labels(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Hits with the label as address and a part of the id as section."""
+    named = _vectors(spark, sf_dir).select("id", F.col("label").cast("string").alias("url"), (F.col("id") % 3).cast("string").alias("section_title"))
+    return _hits(spark, sf_dir, k).join(named, "id")
+
+
+@_query
+def dedupe_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.dedupe_hits(_hits_with_labels(spark, sf_dir, 20)).select("query_id", "id", _rounded())
+
+
+@_query
+def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.two_stage(_hits_with_labels(spark, sf_dir, 20), model=None)[1].select("query_id", "id", _rounded(), "rank")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("page_title"), F.col("lang").alias("section_title"), F.lit("overview").alias("content_type"),
+        F.lit("general").alias("program_type"), F.col("text").alias("content"), T.token_count("text").alias("token_count"), T.emails(T.clean_text("text")).alias("emails"),
+        F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("content_clean"),
+    )
+
+
+@_query
+def index_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.index_records(_records(spark, sf_dir)).select("id", "document")
+
+
+@_query
+def index_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.index_records(_records(spark, sf_dir)).select("id", *(F.col(f"metadata.{c}").alias(c) for c in ("page_title", "section_title", "token_count", "emails")))
+
+
+def _hits_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _vectors(spark, sf_dir).select("id", F.col("label").cast("string").alias("content_type"))
+    texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("source").alias("page_title"), F.col("lang").alias("section_title"))
+    hits = _hits(spark, sf_dir, 5).join(named, "id").join(texts, "id", "left").withColumn("rerank_score", F.lit(None).cast("double"))
+    fields = F.lit(None).cast("string").alias("url"), F.col("page_title"), F.col("section_title"), F.col("content_type")
+    return hits.select("query_id", "id", "score", "rerank_score", "rank", "document", F.struct(*fields).alias("metadata"))
+
+
+@_query
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = generate.context_and_sources(_hits_with_documents(spark, sf_dir))
+    return built.select("query_id", T.sha256("context").alias("context_hash"), F.size("sources").alias("n_sources"), F.element_at("sources", -1)["source_id"].alias("last_source"))
+
+
+@_query
+def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _hits_with_documents(spark, sf_dir)
+    hits = hits.withColumn("metadata", F.struct("metadata.content_type"))
+    labels = _vectors(spark, sf_dir).where("id % 50 = 0")
+    cases = labels.select(F.col("id").alias("query_id"), F.col("label").cast("string").alias("expected_content_type"), F.array(F.lit("ING")).alias("expected_keywords"))
+    return evaluate.hit_rate(cases, hits).select("query_id", "type_hit", "keyword_hit", "success")
+
+
+@_query
+def eval_final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers are the second turns of conversations, expectations the first; no retrieval."""
+    turns = _read(spark, sf_dir, "conversations").where("turn <= 1")
+    pairs = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("expected"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("answer"))
+    pairs = pairs.where("expected IS NOT NULL AND answer IS NOT NULL AND trim(expected) <> ''")
+    right, grounded = evaluate.correctness("answer", "expected"), evaluate.groundedness("answer")
+    return pairs.select("query_id", F.round(right, 9).alias("correctness"), grounded.alias("groundedness"), F.round(evaluate.final_score(right, grounded, F.lit(0.0)), 9).alias("final_score"))
+
+
+@_query
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded by the substitute model."""
+    out = index.embed(_docs(spark, sf_dir).select("doc_id", "text"), "text")
+    return out.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+
+
+@_query
+def answer_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages asked of an index of the documents, with substitute models throughout."""
+    from .ingest import ask
+
+    records = index.build_index(_records(spark, sf_dir))
+    questions = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    out = ask(records, questions)
+    return out.select("query_id", "answer", F.size("sources").alias("n_sources"), F.size("retrieved").alias("n_retrieved"), F.round(evaluate.retrieval_score("retrieved"), 6).alias("retrieval"))
+
+
+#: Substitutes that models can be replaced by; kept here so that callers find them in one place.
+SUBSTITUTES = {"embedder": models.HashedWords, "scorer": models.SharedWords, "generator": models.FirstSource}
