@@ -12,10 +12,12 @@ Links are confirmed on the full sets. A group of copies is never expanded into i
 1. documents with equal sets are one class;
 2. each class is compared with the least class that it shares a key with;
 3. then with the least class under each other key, where the two are not yet connected;
-4. then, under keys that still hold several components, with every class of another component.
+4. then, under keys that still hold several components, with every class of another component,
+   but for classes that can link with none there: those of whose shingles too few occur in other
+   components. (Heavily edited copies are such, for their edits are their own.)
 
 Classes that are connected need no comparison, so each step leaves little to the next, and after the
-last all pairs that share a key were compared or are connected.
+last all pairs that share a key were compared, are connected or cannot be similar enough.
 """
 
 from __future__ import annotations
@@ -178,6 +180,30 @@ def _with(keyed: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame
     return out.withColumn(name, F.coalesce("_root", node)).drop("_root")
 
 
+def _linkable(own: DataFrame, bodies: DataFrame, words: int, similarity: int, rounds: int = 2) -> DataFrame:
+    """The rows of ``own`` (node, root, ...) whose class can link with one of another component among them.
+
+    A link needs at least ``similarity`` percent of a class's shingles to occur in another component.
+    Once classes are out, fewer shingles occur in several components, hence the second round.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                sets = [shingler.of(text.as_py()).view(np.int64) for text in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "shingles"])
+
+    sets = saved(own.select("node", "root").distinct().join(bodies, "node").select("node", "root", "text").mapInArrow(run, "node long, root long, shingles array<long>"))
+    for _ in range(rounds):
+        each = sets.select("node", "root", F.explode("shingles").alias("shingle"))
+        shared = saved(each.groupBy("shingle").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("shingle"))
+        there = saved(each.join(shared, "shingle").groupBy("node").agg(F.count("*").alias("n_shared")))
+        sets = saved(sets.join(there, "node").where(100 * F.col("n_shared") >= similarity * F.size("shingles")).select("node", "root", "shingles"))
+    return own.join(sets.select("node"), "node")
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): row, doc_id, content, n_shingles, component_id, kept.
 
@@ -212,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) ->
 
     own = saved(_with(keyed, roots, "node", "root"))
     mixed = saved(own.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key"))
-    own = saved(own.join(mixed, "key").join(nodes.select("node", "n", "s1", "s2"), "node"))
+    own = saved(_linkable(own.join(mixed, "key"), bodies, words, similarity).join(nodes.select("node", "n", "s1", "s2"), "node"))
     x, y = own.alias("x"), own.alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") != F.col("x.first"))
     rest = x.join(y, met & _plausible("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
