@@ -157,9 +157,9 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 for w in words.difference(known):
                     known[w] = bool(bits[_slot(w)])
                 found.update(w for w in words if known[w])
-            if len(known) > 400_000:
+            if len(known) > 150_000:
                 known.clear()
-            if len(found) > 200_000:
+            if len(found) > 100_000:
                 yield _counted(found)
                 found.clear()
         yield _counted(found)

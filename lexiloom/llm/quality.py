@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import saved
+from .store import saved, small_batches
 
 #: For each order of n-grams: bits of a bucket's number. The models are as large whatever the input.
 BITS = {1: 18, 2: 16}
@@ -93,7 +93,8 @@ def _counts(docs: DataFrame, fitted: list[int], orders: tuple[int, ...]) -> Data
 
 def fit(docs: DataFrame, target_ids: list[int], priors: dict[int, float]) -> dict[int, np.ndarray]:
     """The log ratio for each bucket and order: target over raw. Fixed in size, whatever the input."""
-    rows = _counts(docs, target_ids, tuple(priors)).toArrow()
+    with small_batches(docs.sparkSession):
+        rows = _counts(docs, target_ids, tuple(priors)).toArrow()
     columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
     out = {}
     for n, prior in priors.items():

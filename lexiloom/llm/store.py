@@ -6,8 +6,10 @@ local checkpoint, outlives every executor.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within, Python workers get ``rows`` rows at once at most, so that long texts fit in little memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet, and read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexiloom_path = path
