@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import rules
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
-_LEXEME = r"(?U)(\w+|[^\w\s])"
+_LEXEME = r"(?U)(\w+|[^\w\s\x1c-\x1f])"
 _STOP = r"(?<=[.!?])(?U)[\s\x1c-\x1f]+(?-U)(?=[A-Z0-9])"
 
 
