@@ -2,8 +2,8 @@
 
 Two generative models of hashed n-grams are counted: of the target (labelled good documents) and of
 the raw text (all documents). A passage's weight is the likelihood ratio of the two; a document is
-worth what its weakest passages are, of a few words (an insult) and of a few lines (noise), so a
-long clean text cannot outweigh them. Documents are then resampled without replacement by these
+worth what its weakest passages are, of two or four words (an insult) and of a few lines (noise), so
+a long clean text cannot outweigh them. Documents are then resampled without replacement by these
 weights: the k largest of log weight / temperature + Gumbel noise stay, where k is the number of
 documents that weigh as much as target documents do.
 
@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .store import saved, small_batches
 
 #: For each order of n-grams: bits of a bucket's number. The models are as large whatever the input.
-BITS = {1: 18, 2: 16}
+BITS = {1: 20, 2: 16}
 #: For each order: the prior.
-PRIORS = {1: 10.0, 2: 200.0}
-WINDOWS = (4, 32)
+PRIORS = {1: 4.0, 2: 60.0}
+#: Passages by which a document is judged: order of n-grams, and how many of them.
+WINDOWS = ((1, 2), (1, 4), (1, 32), (2, 32))
+Windows = tuple[tuple[int, int], ...]
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,63 +65,60 @@ def _part(doc_id: int) -> float:
     return xxhash.xxh3_64_intdigest(str(doc_id)) / 2**64
 
 
-def _counts(docs: DataFrame, fitted: list[int], orders: tuple[int, ...]) -> DataFrame:
-    """(n, bucket, raw, target) summed over all documents."""
-    spark = docs.sparkSession
-    good = spark.sparkContext.broadcast(np.sort(np.array(fitted, np.int64)))
+def _counts(docs: DataFrame, labelled: dict[int, bool], orders: tuple[int, ...]) -> DataFrame:
+    """(n, bucket, raw, labelled, target): summed over all documents, over labelled ones, over good ones."""
+    ids = np.array(sorted(labelled), np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast((ids, np.array([labelled[i] for i in ids.tolist()], bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, ids = _Hasher(orders), good.value
-        raw, target = {n: np.zeros(1 << BITS[n], np.int64) for n in orders}, {n: np.zeros(1 << BITS[n], np.int64) for n in orders}
+        hasher, (ids, good) = _Hasher(orders), sent.value
+        counts = {n: np.zeros((3, 1 << BITS[n]), np.int64) for n in orders}
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for doc_id, text in zip(doc_ids, batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at = np.searchsorted(ids, doc_id) if doc_id is not None else len(ids)
-                is_target = at < len(ids) and ids[at] == doc_id
+                known = at < len(ids) and ids[at] == doc_id
                 for n, g in hasher(text.as_py()).items():
-                    np.add.at(raw[n], g, 1)
-                    if is_target:
-                        np.add.at(target[n], g, 1)
+                    for own in counts[n][: 1 + known + (known and good[at])]:
+                        np.add.at(own, g, 1)
         for n in orders:
-            seen = np.flatnonzero(raw[n])
+            seen = np.flatnonzero(counts[n][0])
             for at in range(0, len(seen), 1 << 14):
                 some = seen[at : at + (1 << 14)]
-                columns = [np.full(len(some), n, np.int32), some.astype(np.int32), raw[n][some], target[n][some]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n", "bucket", "raw", "target"])
+                columns = [np.full(len(some), n, np.int32), some.astype(np.int32), *counts[n][:, some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n", "bucket", "raw", "labelled", "target"])
 
-    counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "n int, bucket int, raw long, target long")
-    return counted.groupBy("n", "bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "n int, bucket int, raw long, labelled long, target long")
+    return counted.groupBy("n", "bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target")))
 
 
-def fit(docs: DataFrame, target_ids: list[int], priors: dict[int, float]) -> dict[int, np.ndarray]:
-    """The log ratio for each bucket and order: target over raw. Fixed in size, whatever the input."""
+def fit(docs: DataFrame, labelled: dict[int, bool], priors: dict[int, float]) -> dict[int, np.ndarray]:
+    """The log ratio for each bucket and order: target over raw. Fixed in size, whatever the input.
+
+    Raw counts are over all documents. They tell against an n-gram only as far as labelled documents,
+    good or bad, bear them out: a large group of copies that no label touches is not noise for that.
+    """
     with small_batches(docs.sparkSession):
-        rows = _counts(docs, target_ids, tuple(priors)).toArrow()
+        rows = _counts(docs, labelled, tuple(priors)).toArrow()
     columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
     out = {}
     for n, prior in priors.items():
-        own = columns["n"] == n
-        raw, target = columns["raw"][own], columns["target"][own]
-        share = target.sum() / max(1, raw.sum())
+        raw, known, target = (columns[c][columns["n"] == n].astype(np.float64) for c in ("raw", "labelled", "target"))
+        share, cover = target.sum() / max(1, known.sum()), known.sum() / max(1, raw.sum())
         ratio = np.zeros(1 << BITS[n], np.float32)
         if share:
-            ratio[columns["bucket"][own]] = np.log((target + prior * share) / (share * (raw + prior)))
+            ratio[columns["bucket"][columns["n"] == n]] = np.log((target + prior * share) / (share * (np.maximum(target, np.minimum(known, cover * raw)) + prior)))
         out[n] = ratio
     return out
 
 
-def weakest(ratios: dict[int, np.ndarray], grams: dict[int, np.ndarray], windows: tuple[int, ...]) -> list[float]:
-    """For each window length, the least log ratio of a passage so long (of the whole text, if shorter)."""
-    s = ratios[1][grams[1]].astype(np.float64) if 1 in grams else np.zeros(max(map(len, grams.values()), default=0))
-    for n, g in grams.items():
-        if n > 1 and len(g):
-            s[len(s) - len(g) :] += ratios[n][g]
-    sums = np.concatenate(([0.0], np.cumsum(s)))
-    return [float((sums[w:] - sums[:-w]).min()) if len(s) > w else float(sums[-1]) for w in windows]
+def weakest(ratios: dict[int, np.ndarray], grams: dict[int, np.ndarray], windows: Windows) -> list[float]:
+    """For each kind of passage, the least log ratio of one (of the whole text, if shorter)."""
+    sums = {n: np.concatenate(([0.0], np.cumsum(ratios[n][g], dtype=np.float64))) for n, g in grams.items()}
+    return [float((sums[n][w:] - sums[n][:-w]).min()) if len(sums[n]) > w + 1 else float(sums[n][-1]) for n, w in windows]
 
 
-def _weigh(docs: DataFrame, ratios: dict[int, np.ndarray], windows: tuple[int, ...]) -> Callable[[Column], Column]:
-    """Text to array<double>: the weakest passages at each window length."""
+def _weigh(docs: DataFrame, ratios: dict[int, np.ndarray], windows: Windows) -> Callable[[Column], Column]:
+    """Text to array<double>: the weakest passage of each kind."""
     model = docs.sparkSession.sparkContext.broadcast(ratios)
 
     @F.arrow_udf("array<double>")
@@ -162,7 +161,7 @@ class Scored:
 
     rows: DataFrame
     ratios: dict[int, np.ndarray]
-    windows: tuple[int, ...]
+    windows: Windows
     floors: tuple[float, ...]
     temperature: float
     seed: int
@@ -183,24 +182,26 @@ class Scored:
 
 def score(
     docs: DataFrame, labels: DataFrame, *, label_rows: int = 60_000, held_out: float = 0.2, floor_share: float = 0.005,
-    temperature: float = 0.05, priors: dict[int, float] | None = None, windows: tuple[int, ...] = WINDOWS, seed: int = 10,
+    temperature: float = 0.05, priors: dict[int, float] | None = None, windows: Windows = WINDOWS, seed: int = 10,
 ) -> Scored:
     """Fit the two models, weigh every row of ``docs`` (doc_id, text) and find which stay.
 
-    The target are ``labels`` (doc_id, quality, toxic) of quality 1 that aren't toxic, ``label_rows``
-    of them at most; a share ``held_out`` of these isn't counted but sets, for each window, the floor
-    below which ``floor_share`` of target documents lie. The log weight is the least excess over the
+    The target are ``labels`` (doc_id, quality, toxic) of quality 1 that aren't toxic; ``label_rows``
+    labels are read at most, chosen by hash. Of the target a share ``held_out`` isn't counted but sets, for each kind of
+    passage, the floor below which ``floor_share`` of target documents lie. The log weight is the least excess over the
     floors: 0 and more is like the target. Raw counts cover all documents.
 
     Null and empty texts have passages of weight 0. Repeated rows have equal keys: all stay or none.
-    Null labels and labels of no document are passed over; without a target, and for an empty table,
+    A document that is labelled twice is good if all its labels are. Null labels and labels of no
+    document are passed over; without a target, and for an empty table,
     all stay. Other columns are not read.
     """
     priors = priors or PRIORS
-    good = labels.where("doc_id IS NOT NULL AND quality = 1 AND (toxic IS NULL OR toxic = 0)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    picked = [r[0] for r in good.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(label_rows).collect()]
-    aside = [i for i in picked if _part(i) < held_out]
-    ratios = fit(docs, [i for i in picked if _part(i) >= held_out], priors)
+    good = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
+    judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good).alias("good"))
+    picked = {r.doc_id: r.good for r in judged.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(label_rows).collect()}
+    aside = [i for i, fine in picked.items() if fine and _part(i) < held_out]
+    ratios = fit(docs, {i: fine for i, fine in picked.items() if _part(i) >= held_out}, priors)
     slim = docs.select("doc_id", _weigh(docs, ratios, windows)(F.col("text")).alias("weakest"), _gumbel(seed, "doc_id", "text").alias("noise"))
     slim = saved(slim)
     asked = docs.sparkSession.createDataFrame([(i,) for i in aside], "doc_id long")
@@ -209,7 +210,7 @@ def score(
     floors = tuple(0.0 if f is None else float(f) for f in floors)
     log_weight = _log_weight(F.col("weakest"), floors)
     rows = slim.select("doc_id", log_weight.alias("log_weight"), (log_weight / temperature + F.col("noise")).alias("key"))
-    k = rows.where("log_weight >= 0").count() if picked else 0
+    k = rows.where("log_weight >= 0").count() if any(picked.values()) else 0
     return Scored(rows, ratios, windows, floors, temperature, seed, kth_largest(rows, "key", k) if k else None)
 
 
