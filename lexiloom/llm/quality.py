@@ -187,14 +187,14 @@ def score(
     """Fit the two models, weigh every row of ``docs`` (doc_id, text) and find which stay.
 
     The target are ``labels`` (doc_id, quality, toxic) of quality 1 that aren't toxic; ``label_rows``
-    labels are read at most, chosen by hash. Of the target a share ``held_out`` isn't counted but sets, for each kind of
-    passage, the floor below which ``floor_share`` of target documents lie. The log weight is the least excess over the
-    floors: 0 and more is like the target. Raw counts cover all documents.
+    labels are read at most, chosen by hash. Of the target a share ``held_out`` isn't counted but
+    sets, for each kind of passage, the floor below which ``floor_share`` of target documents lie.
+    The log weight is the least excess over the floors: 0 and more is like the target.
 
     Null and empty texts have passages of weight 0. Repeated rows have equal keys: all stay or none.
     A document that is labelled twice is good if all its labels are. Null labels and labels of no
-    document are passed over; without a target, and for an empty table,
-    all stay. Other columns are not read.
+    document are passed over; without a target, and for an empty table, all stay. Other columns are
+    not read.
     """
     priors = priors or PRIORS
     good = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
