@@ -32,11 +32,10 @@ def topk_cosine(index: DataFrame, queries: DataFrame, k: int, *, id: str = "id",
 
     ``queries`` (query_id, embedding) are asked in blocks of a fixed size, each sent to all tasks.
     A task scores what it scans by matrix products and passes k rows for each query, so the shuffle
-    is k rows a query and task and the index is never moved. Filter ``index`` first to search a part.
+    is k rows a query and task and the index is never moved; each block is one more scan. Filter ``index`` first to search a part.
     Vectors that are null or zero are nobody's neighbours.
     """
-    if not (rows := queries.select(query_id, "embedding").where("embedding IS NOT NULL").toLocalIterator()):
-        raise ValueError("queries can't be read")
+    rows = queries.select(query_id, "embedding").where("embedding IS NOT NULL").toLocalIterator()
     kinds = index.schema[id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     found, block = None, []
 

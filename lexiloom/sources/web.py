@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import html as H, urls as U
@@ -96,3 +96,8 @@ class _WebReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         row = fetch_page(partition.value, timeout=self.timeout)
         yield tuple(row[c] for c in _COLUMNS)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``spark.read.format("web")`` known to a session."""
+    spark.dataSource.register(WebSource)

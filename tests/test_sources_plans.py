@@ -55,6 +55,23 @@ def test_fetch_page_retries():
         web.fetch_page("http://x", lambda u, t: (u, 200, {"content-type": "image/png"}, ""), wait=(0, 0))
 
 
+def test_web_source(spark, tmp_path):
+    import http.server
+    import threading
+
+    (tmp_path / "a.html").write_text("<title>T</title>")
+    handler = lambda *a: http.server.SimpleHTTPRequestHandler(*a, directory=str(tmp_path))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/a.html"
+    web.register(spark)
+    row = spark.read.format("web").option("urls", url).load().first()
+    assert (row.url, row.status_code, row.page_title) == (url, 200, "T")
+    asked = spark.createDataFrame([(url, 0), (url + "x", 1)], "url string, seq long")
+    assert [r.url for r in web.fetcher(attempts=1)(asked).collect()] == [url]
+    server.shutdown()
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", "Same"), ("b", "same"), ("c", "other")], "id string, content_clean string").withColumn("content", F.col("content_clean")).withColumn("last_scraped_at", F.current_timestamp())
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
