@@ -135,8 +135,10 @@ METADATA_SCALARS = (
 )
 METADATA_LISTS = ("program_tags", "modality", "keywords", "dates", "emails", "course_names")
 
+SOURCE_NAME = "official_uchicago_site"
 CONTENT_TYPES = (
     "overview", "admissions", "faq", "tuition", "deadline", "curriculum", "course", "faculty", "faculty_bio", "career", "capstone", "visa",
     "stem_opt", "program_format", "mba_ms", "contact", "unknown",
 )
 PROGRAM_TYPES = ("online", "in_person", "mba_ms", "thesis_track", "general", "unknown")
+COURSE_TYPE_NAMES = ("core", "elective", "capstone", "foundational", "career_seminar", "independent_study", "unknown")

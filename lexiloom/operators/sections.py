@@ -73,7 +73,7 @@ def assemble(raw: DataFrame) -> DataFrame:
         *order,
         doc_id.alias("doc_id"), null("string").alias("parent_doc_id"), doc_id.alias("chunk_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"),
         F.col("route_url").alias("url"), F.col("canonical").alias("canonical_url"), F.lit(rules.ALLOWED_DOMAINS[0]).alias("source_domain"),
-        F.lit("official_uchicago_site").alias("source"), "page_title", F.col("title").alias("section_title"),
+        F.lit(rules.SOURCE_NAME).alias("source"), "page_title", F.col("title").alias("section_title"),
         F.coalesce("heading_path", F.array("page_title", "title")).alias("heading_path"), "heading_level", "anchor_id",
         F.col("body").alias("content"), F.col("body").alias("content_clean"), T.summary("body").alias("content_summary"), T.bullets("content").alias("bullet_points"),
         T.token_count("body").alias("token_count"), F.length("body").alias("char_count"),
@@ -93,6 +93,15 @@ def extract_sections(pages: DataFrame, min_text_length: int = 120) -> DataFrame:
     return assemble(read_sections(pages, min_text_length))
 
 
+def invalid_sections(sections: DataFrame) -> DataFrame:
+    """Sections without content or with a label that isn't one of the declared values: none, if all is well."""
+    declared = {"content_type": rules.CONTENT_TYPES, "program_type": rules.PROGRAM_TYPES, "course_type": rules.COURSE_TYPE_NAMES}
+    wrong = ~F.col("content_valid")
+    for name, values in declared.items():
+        wrong = wrong | (F.col(name).isNotNull() & ~F.col(name).isin(*values))
+    return sections.where(wrong)
+
+
 def extract_links(pages: DataFrame, base: str = "url", *, domains: tuple[str, ...] | None = rules.ALLOWED_DOMAINS, path_words: tuple[str, ...] = rules.ALLOWED_PATH_WORDS) -> DataFrame:
     """``pages`` (html and the column ``base``) exploded: link, link_seq. Normalised, distinct, no binaries, allowed ones.
 

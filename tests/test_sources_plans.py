@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.plans import config, ingest, registry
+from lexiloom.operators import evaluate
+from lexiloom.plans import cases, config, ingest, registry
 from lexiloom.sources import files, web
 from lexiloom.streaming import ingest as streaming
 from tests.conftest import DATA
@@ -26,6 +27,9 @@ def test_ingest_index_ask(spark, tmp_path):
     records = index.build_index(chunks)
     out = ingest.ask(records, spark.createDataFrame([(1, Q)], "query_id long, question string"), settings).first()
     assert out.answer.endswith("[Source 1]") and out.sources[0].content_type == "faq"
+    results = cases.evaluate_retrieval(records)
+    assert results.count() == 7 and evaluate.accuracy(results).first().total == 7
+    assert cases.evaluate_answers(records, settings).count() == 5 and cases.judged_set(records, settings).columns == ["question", "answer", "contexts", "reference"]
     with pytest.raises(FileNotFoundError, match="ingest"):
         files.read_jsonl(spark, str(tmp_path / "nothing"))
     files.write_csv(chunks.select("doc_id"), str(tmp_path / "csv"))

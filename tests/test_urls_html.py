@@ -79,11 +79,12 @@ def test_deep_nesting_and_links():
 
 
 def test_assembled_section(spark):
-    from lexiloom.operators.sections import extract_sections
+    from lexiloom.operators.sections import extract_sections, invalid_sections
 
     pages = spark.createDataFrame(
         [("http://x/faqs/", f"<h1>FAQ</h1><dl><dt>{Q}</dt><dd>{A}</dd></dl>", 0), ("http://x/instructors-staff", f"<h2>Ada Lovelace</h2><p>Engineer</p><p>{LONG}</p>", 1), ("http://x/e", "", 2)], "url string, html string, page_seq long"
     )
+    assert invalid_sections(extract_sections(pages)).count() == 0
     faq, bio = extract_sections(pages).orderBy("page_seq").collect()
     assert faq.content_type == "faq" and faq.url == "http://x/faqs" and faq.chunk_id == faq.doc_id and faq.heading_path == ["FAQs", "Curriculum", Q] and faq.content_valid
     assert bio.content_type == "faculty_bio" and bio.retrieval_priority == 80 and bio.content.startswith("Faculty: Ada Lovelace Industry role") and bio.token_count > 30
