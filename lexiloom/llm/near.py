@@ -11,7 +11,7 @@ Links are confirmed on the full sets. A group of copies is never expanded into i
 
 1. documents with equal sets are one class;
 2. each class is compared with the least class that it shares a key with;
-3. then, CENTRES times, under keys that still hold several components, with the most central class
+3. then, under keys that still hold several components, with the most central class
    of another component, the one with the least share of shingles that none but its component has;
 4. then with every class of another component under a common key.
 
@@ -41,7 +41,6 @@ SYMBOLS = CHUNKS * WIDTH
 MINIMA = 128
 #: Differing bits of the sketch allowed. At a similarity of 0.8 there are 12.8 on average, deviation 3.4.
 SKETCH = 38
-CENTRES = 2
 #: Longs of the wide sketch, for classes under contested keys alone, and its differing bits allowed: of 2048,
 #: at a similarity of 0.8, 204.8 on average, deviation 13.6.
 WIDE, WIDE_APART = 32, 268
@@ -252,19 +251,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) ->
 
     slim = nodes.select("node", "n", "s1", "s2")
     facts = ["n", "shared", "s1", "s2", *(f"w{k}" for k in range(WIDE))]
-    for _ in range(CENTRES):
-        own = saved(_contested(keyed, roots))
-        own = saved(own.join(_shares(own, bodies, words, similarity), "node").join(slim, "node"))
-        centre = F.struct((1 - F.col("shared") / F.col("n")).alias("apart"), "node", "root", *facts)
-        centres = saved(own.groupBy("key").agg(F.min(centre).alias("y")))
-        met = own.withColumnRenamed("key", "k").withColumn("x", F.struct("node", "root", *facts)).select("k", "x").join(centres, F.col("k") == F.col("key"))
-        met = met.where((F.col("x.root") != F.col("y.root")) & _plausible("x", "y", similarity))
-        near = saved(met.groupBy(F.col("x.node").alias("a")).agg(F.min(F.struct("y.apart", "y.node")).alias("y")).select("a", F.col("y.node").alias("b")))
-        links = saved(links.unionByName(_confirmed(near, bodies, words, similarity)))
-        roots = saved(components(links))
-
     own = saved(_contested(keyed, roots))
-    own = saved(own.join(_shares(own, bodies, words, similarity), "node").join(slim, "node").join(nodes.select("node", "keys"), "node"))
+    known = saved(_shares(own, bodies, words, similarity).join(slim, "node"))
+    own = saved(own.join(known, "node"))
+    centre = F.struct((1 - F.col("shared") / F.col("n")).alias("apart"), "node", "root", *facts)
+    centres = saved(own.groupBy("key").agg(F.min(centre).alias("y")))
+    met = own.withColumnRenamed("key", "k").withColumn("x", F.struct("node", "root", *facts)).select("k", "x").join(centres, F.col("k") == F.col("key"))
+    met = met.where((F.col("x.root") != F.col("y.root")) & _plausible("x", "y", similarity))
+    near = saved(met.groupBy(F.col("x.node").alias("a")).agg(F.min(F.struct("y.apart", "y.node")).alias("y")).select("a", F.col("y.node").alias("b")))
+    links = saved(links.unionByName(_confirmed(near, bodies, words, similarity)))
+    roots = saved(components(links))
+
+    # What a class shares with other components only falls as components grow: the counts still bound it.
+    own = saved(_contested(keyed.join(known.select("node"), "node", "left_semi"), roots).join(known, "node").join(nodes.select("node", "keys"), "node"))
     x, y = own.alias("x"), own.alias("y")
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
