@@ -39,8 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in windows: the pieces, with their ids."""
-    return pack(docs, default_tokenizer())
+    """Token ids in windows: the pieces, with their ids. Workers keep fewer words here, beside what earlier stages left in the executors."""
+    return pack(docs, default_tokenizer(), max_words=150_000)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near dedup", near), ("source mixing", mixing), ("packing", packing)]

@@ -19,7 +19,9 @@ _MARK = "\x01"
 #: Bytes as the characters of byte-level vocabularies: printable ones are themselves, others follow 255 in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = str.maketrans({b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)})
-_encoders: dict[str, "WordEncoder"] = {}
+#: Words that a worker keeps, once over for recent ones and once for older ones: some 200 bytes each.
+MAX_WORDS = 500_000
+_encoders: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -35,7 +37,7 @@ class WordEncoder:
     case where ``lower`` is true; a new word is then put together from the word without them.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000, max_length: int = 64, chars: int = 1 << 17) -> None:
+    def __init__(self, path: str, max_words: int = MAX_WORDS, max_length: int = 64, chars: int = 1 << 17) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -53,11 +55,11 @@ class WordEncoder:
         self._direct = all(self._letters(w) == self._encode(w) for w in tried)
 
     @classmethod
-    def of(cls, path: str) -> "WordEncoder":
+    def of(cls, path: str, max_words: int = MAX_WORDS) -> "WordEncoder":
         """The worker's encoder for this file."""
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+        if (path, max_words) not in _encoders:
+            _encoders[path, max_words] = cls(path, max_words)
+        return _encoders[path, max_words]
 
     def _encode(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

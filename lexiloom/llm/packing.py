@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .encoding import MAX_WORDS, WordEncoder
+
 TIERS = (2048, 1024, 512, 256, 128)
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 
@@ -146,21 +148,21 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end: tuple[int, ...] = (1,), tiers: tuple[int, ...] = TIERS, window_tokens: int = 1 << 20, group_tokens: int = 1 << 15) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end: tuple[int, ...] = (1,), tiers: tuple[int, ...] = TIERS, window_tokens: int = 1 << 20, group_tokens: int = 1 << 15, max_words: int = MAX_WORDS) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) in windows: the columns of ``SCHEMA``, ids as little-endian unsigned 32-bit.
 
     ``tiers`` are powers of two, longest first; ``tokenizer`` is a file for ``WordEncoder``; ``end``
     follows each document's ids. A window that isn't full has the longest tier. Null and empty texts
     have the ids ``end`` only, and none, hence no piece, if ``end`` is empty. Repeated rows and null
-    doc_ids are packed like others; ``sequence_id`` is unique over tasks. An empty table gives no row.
+    doc_ids are packed like others; ``max_words`` bounds the words that a worker keeps the ids of, which
+    trades its memory for time; ``sequence_id`` is unique over tasks. An empty table gives no row.
     """
-    from .encoding import WordEncoder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         tail = np.array(end, "<u4").tobytes()
-        encoder, packer = WordEncoder.of(tokenizer), _Packer(TaskContext.get().partitionId(), tiers, group_tokens)
+        encoder, packer = WordEncoder.of(tokenizer, max_words), _Packer(TaskContext.get().partitionId(), tiers, group_tokens)
         for batch in batches:
             texts = (text.as_py() for text in batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encoded(texts), strict=True):
