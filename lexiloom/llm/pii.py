@@ -6,8 +6,10 @@ corpus says: with P from document counts, a term's disclosure of an entity is
     PMI(entity; term) / IC(entity),  PMI = log P(entity, term) / (P(entity) P(term)),  IC = -log P(entity)
 
 which is 1 when the term occurs only where the entity does. From ``generalise`` on a term near the
-entity is replaced by a general word, from ``remove`` on it goes. A pair must occur in ``support``
-different texts: below that the estimate says nothing, and copies of one text do not add to it.
+entity is replaced by a general word, from ``remove`` on it goes. A pair that occurs in ``support``
+different texts is judged by its counts. Personal data is mostly in one text alone, so rarer pairs are
+judged too, but their P(entity | term) shrinks to P(entity): seen in r different texts, the counts are
+trusted as r / (r + 1). Copies of one text do not add to r.
 
 Texts stay where they are scanned: entities, terms and counts are shuffled, never whole groups. A
 fixed-size bitmap of the terms in question keeps the document counts to those.
@@ -183,7 +185,7 @@ def find_personal_data(docs: DataFrame, *, generalise: float = 0.7, remove: floa
     rows = saved(_scan(docs))
     near = rows.where(F.size("near") > 0).select("row", "content", F.explode("near").alias("x")).select("row", "content", "x.*")
     texts = near.groupBy("entity", "term", "content").agg(F.sum(F.col("first").cast("long")).alias("n"))
-    pairs = saved(texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"))
+    pairs = saved(texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")))
     found = rows.select("row", "doc_id", "content", "known")
     kinds = F.array(*(F.lit(k) for k in KINDS))
     if not pairs.isEmpty():
@@ -192,7 +194,9 @@ def find_personal_data(docs: DataFrame, *, generalise: float = 0.7, remove: floa
         n_term = saved(_document_counts(docs, pairs.select("term").distinct()).withColumnRenamed("n", "n_term"))
         judged = pairs.join(saved(n_entity), "entity").join(n_term, "term")
         content = -F.log2(F.col("n_entity") / n_docs)
-        mutual = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
+        told, base = F.col("n_both") / F.col("n_term"), F.col("n_entity") / n_docs
+        told = F.when(F.col("texts") >= support, told).otherwise((F.col("texts") * told + base) / (F.col("texts") + 1))
+        mutual = F.log2(told / base)
         judged = judged.withColumn("disclosure", F.when(content > 0, mutual / content).otherwise(0.0)).where(F.col("disclosure") >= generalise)
         judged = saved(judged.select("entity", "term", F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("rank")))
         told = near.select("row", "entity", "term", "start", "end").join(judged, ["entity", "term"])

@@ -123,6 +123,14 @@ def test_disclosing_terms_like_brute_force(spark):
     assert "zan@" not in out[0] and "Zanthor" not in out[0] and "[email]" in out[0] and out[15] == texts[15] and "Uniqueterm1" in out[len(texts) - 4]
 
 
+def test_terms_of_an_entity_in_one_text_are_judged(spark):
+    texts = [f"the mail of Zanthor is zed{k}@example.org and Quux{chr(97 + k)} said hello" for k in range(3)] * 2 + [f"the mail of text {k} is plain and hello said no one" for k in range(2000)]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k in range(6):  # the name is in six documents, two of them with the entity; the other word only beside it
+        assert [(texts[k][s.start : s.end], s.kind) for s in found[k]] == [("Zanthor", "generalised"), (f"zed{k % 3}@example.org", "email"), (f"Quux{chr(97 + k % 3)}", "generalised")], k
+    assert not any(found[k] for k in range(6, len(texts)))
+
+
 def test_personal_data_takes_odd_rows(spark):
     df = odd_documents(spark)
     assert pii.find_personal_data(df).count() == df.count() and pii.sanitised(df).count() == df.count()
