@@ -1,18 +1,20 @@
 """Information-theoretic sanitisation of personal data.
 
-Known forms (addresses, numbers) are protected entities. Words near them are judged by what the
-corpus says: with P from document counts, a term's disclosure of an entity is
+Known forms (addresses, numbers) are protected entities. The words of their documents are judged by
+what the corpus says: with P from document counts, a term's disclosure of an entity is
 
     PMI(entity; term) / IC(entity),  PMI = log P(entity, term) / (P(entity) P(term)),  IC = -log P(entity)
 
-which is 1 when the term occurs only where the entity does. From ``generalise`` on a term near the
-entity is replaced by a general word, from ``remove`` on it goes. A pair that occurs in ``support``
+which is 1 when the term occurs only where the entity does. From ``generalise`` on the term is
+replaced by a general word wherever a document holds the entity, from ``remove`` on it goes. A pair that occurs in ``support``
 different texts is judged by its counts. Personal data is mostly in one text alone, so rarer pairs are
 judged too, but their P(entity | term) shrinks to P(entity): seen in r different texts, the counts are
 trusted as r / (r + 1). Copies of one text do not add to r.
 
-Texts stay where they are scanned: entities, terms and counts are shuffled, never whole groups. A
-fixed-size bitmap of the terms in question keeps the document counts to those.
+Texts stay where they are scanned, and those with an entity are stored once: entities, terms and
+counts are shuffled, never whole groups. A fixed-size bitmap of the terms in question keeps the document
+counts to those. As n(entity, term) <= n(entity), a term in over n(entity)^g * N^(1 - g) of the N
+documents is below ``generalise`` = g for sure, so pairs are made of rarer terms only.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .store import dropped, saved
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
-#: Code points on each side of an entity whose words are judged.
-CONTEXT = 80
 BITMAP_BITS = 1 << 20
 
 # The forms of the contract. A run of digits that fails at its start fails at each later
@@ -40,7 +40,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W\d_]+")
 
 #: (start, kind, end, what is protected)
 Span = tuple[int, int, int, str]
@@ -84,54 +84,71 @@ def known_entities(text: str | None) -> list[Span]:
     return sorted(out)
 
 
-def nearby_terms(text: str, spans: list[Span]) -> list[tuple[str, str, int, int, bool]]:
-    """(entity, term, start, end, first) for the words near each entity that no entity covers; each word once for an entity."""
-    covered, seen, places, out = sorted((s, e) for s, _, e, _ in spans), set(), set(), []
-    for start, kind, end, what in spans:
-        entity = f"{KINDS[kind]}:{what}"
-        lo, hi = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
-        for m in _TERM.finditer(text, lo, hi):
-            s, e = m.span()
-            cut = (s == lo > 0 and text[s - 1].isalpha()) or (e == hi < len(text) and text[e].isalpha())
-            if cut or any(a < e and s < b for a, b in covered) or (entity, s) in places:
-                continue
-            places.add((entity, s))
-            term = m[0].lower()
-            out.append((entity, term, s, e, (entity, term) not in seen))
-            seen.add((entity, term))
-    return out
+def free_terms(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) for the words that none of the spans, which are in order of their starts, covers a part of."""
+    at, end = 0, 0
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        while at < len(spans) and spans[at][0] < e:
+            end, at = max(end, spans[at][1]), at + 1
+        if end <= s:
+            yield m[0].lower(), s, e
 
 
-_FOUND = "row long, doc_id long, content long, known array<struct<start:int,rank:int,end:int>>, entities array<string>, near array<struct<entity:string,term:string,start:int,end:int,first:boolean>>"
+_SPANS = "array<struct<start:int,rank:int,end:int>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
+_FOUND = f"row long, doc_id long, content long, known {_SPANS}, entities array<string>, held string"
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    span = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])
-    near = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_())])
+def _spans(found: list[list[tuple[int, int, int]]]) -> pa.Array:
+    return pa.array([[{"start": s, "rank": k, "end": e} for s, k, e in x] for x in found], _SPAN)
+
 
+def _scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            spans = []
-            terms = []
-            for text in batch.column("text"):
-                found = known_entities(text := text.as_py())
-                spans.append(found)
-                terms.append(nearby_terms(text, found) if found else [])
+            spans = [known_entities(text.as_py()) for text in batch.column("text")]
             columns = [
                 pa.array(np.arange(row, row + len(batch))), batch.column("doc_id"), batch.column("content"),
-                pa.array([[{"start": s, "rank": k, "end": e} for s, k, e, _ in found] for found in spans], pa.list_(span)),
+                _spans([[x[:3] for x in found] for found in spans]),
                 pa.array([sorted({f"{KINDS[k]}:{what}" for _, k, _, what in found}) for found in spans], pa.list_(pa.string())),
-                pa.array([[{"entity": a, "term": t, "start": s, "end": e, "first": f} for a, t, s, e, f in x] for x in terms], pa.list_(near)),
+                pa.array([text.as_py() if found else None for text, found in zip(batch.column("text"), spans, strict=True)], pa.string()),
             ]
             row += len(batch)
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "content", "known", "entities", "near"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "content", "known", "entities", "held"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(run, _FOUND)
 
 
+def _terms(holders: DataFrame) -> DataFrame:
+    """(row, term): each word outside the entities once for a document that holds some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, known in zip(batch.column("row").to_pylist(), batch.column("held"), batch.column("known"), strict=True):
+                terms = sorted({t for t, _, _ in free_terms(text.as_py(), [(x["start"], x["end"]) for x in known.as_py()])})
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["row", "term"])
+
+    return holders.select("row", "held", "known").mapInArrow(run, "row long, term string")
+
+
+def _marked(telling: DataFrame) -> DataFrame:
+    """(row, told): every place of the terms that tell, for rows of (row, held, known, terms array<struct<term, rank>>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, known, terms in zip(*(batch.column(c) for c in ("held", "known", "terms")), strict=True):
+                ranks = {x["term"]: x["rank"] for x in terms.as_py()}
+                out.append([(s, ranks[t], e) for t, s, e in free_terms(text.as_py(), [(x["start"], x["end"]) for x in known.as_py()]) if t in ranks])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _spans(out)], names=["row", "told"])
+
+    return telling.select("row", "held", "known", "terms").mapInArrow(run, f"row long, told {_SPANS}")
+
+
 def _slot(term: str) -> int:
     import xxhash
 
@@ -155,7 +172,7 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         bits, known, found = np.unpackbits(wanted.value).astype(bool), {}, Counter()
         for batch in batches:
             for text in batch.column(0):
-                words = set(_TERM.findall((text.as_py() or "").lower()))
+                words = {w.lower() for w in set(_TERM.findall(text.as_py() or ""))}
                 for w in words.difference(known):
                     known[w] = bool(bits[_slot(w)])
                 found.update(w for w in words if known[w])
@@ -177,35 +194,43 @@ def find_personal_data(docs: DataFrame, *, generalise: float = 0.7, remove: floa
     """(row, doc_id, content, spans array<struct<kind, start, end>>) for each row of ``docs`` (doc_id, text).
 
     Spans are code points of the whole text, end exclusive, by start, then kind as in ``KINDS``; those
-    of the last two kinds are terms near an entity that disclose it too well. A null text counts as
+    of the last two kinds are terms that disclose an entity of their document too well. A null text counts as
     empty; texts without an entity have no span; repeated rows are found each. An empty table gives
     no row. Other columns are not read. ``content`` is a hash of the text.
     """
     docs = docs.select("doc_id", "text")
     rows = saved(_scan(docs))
-    near = rows.where(F.size("near") > 0).select("row", "content", F.explode("near").alias("x")).select("row", "content", "x.*")
-    texts = near.groupBy("entity", "term", "content").agg(F.sum(F.col("first").cast("long")).alias("n"))
-    pairs = saved(texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")))
+    holders = rows.where("held IS NOT NULL")
     found = rows.select("row", "doc_id", "content", "known")
     kinds = F.array(*(F.lit(k) for k in KINDS))
-    if not pairs.isEmpty():
+    if not holders.isEmpty():
         n_docs = rows.count()
-        n_entity = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-        n_term = saved(_document_counts(docs, pairs.select("term").distinct()).withColumnRenamed("n", "n_term"))
-        judged = pairs.join(saved(n_entity), "entity").join(n_term, "term")
+        of_row = holders.select("row", "content", F.explode("entities").alias("entity"))
+        n_entity = saved(of_row.groupBy("entity").agg(F.count("*").alias("n_entity")))
+        of_row = of_row.join(n_entity, "entity")
+        # Entities of one and the same document have equal counts with each term: one stands for all.
+        alone = of_row.where("n_entity = 1").groupBy("row", "content", "n_entity").agg(F.min("entity").alias("entity"))
+        of_row = saved(of_row.where("n_entity > 1").unionByName(alone))
+        most = lambda n: F.pow(n, F.lit(generalise)) * F.lit(float(n_docs) ** (1 - generalise) * (1 + 1e-9))
+        terms = saved(_terms(holders))
+        n_term = _document_counts(docs, terms.select("term").distinct()).withColumnRenamed("n", "n_term")
+        n_term = saved(n_term.where(F.col("n_term") <= most(F.lit(n_entity.agg(F.max("n_entity")).first()[0]))))
+        both = saved(terms.join(n_term, "term").join(of_row, "row").where(F.col("n_term") <= most(F.col("n_entity"))))
+        texts = both.groupBy("entity", "term", "content").agg(F.count("*").alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+        judged = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
         content = -F.log2(F.col("n_entity") / n_docs)
         told, base = F.col("n_both") / F.col("n_term"), F.col("n_entity") / n_docs
         told = F.when(F.col("texts") >= support, told).otherwise((F.col("texts") * told + base) / (F.col("texts") + 1))
         mutual = F.log2(told / base)
         judged = judged.withColumn("disclosure", F.when(content > 0, mutual / content).otherwise(0.0)).where(F.col("disclosure") >= generalise)
-        judged = saved(judged.select("entity", "term", F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("rank")))
-        told = near.select("row", "entity", "term", "start", "end").join(judged, ["entity", "term"])
-        told = told.groupBy("row", "start", "end").agg(F.max("rank").alias("rank")).groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("told"))
-        found = found.join(saved(told), "row", "left")
-        dropped(n_term, judged)
+        judged = judged.select("entity", "term", F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("rank"))
+        telling = both.select("row", "entity", "term").join(judged, ["entity", "term"]).groupBy("row", "term").agg(F.max("rank").alias("rank"))
+        telling = saved(telling.groupBy("row").agg(F.collect_list(F.struct("term", "rank")).alias("terms")))
+        found = found.join(saved(_marked(holders.join(telling, "row"))), "row", "left")
+        dropped(n_entity, of_row, terms, n_term, both, telling)
     else:
-        found = found.withColumn("told", F.lit(None).cast("array<struct<start:int,rank:int,end:int>>"))
-    spans = F.array_sort(F.concat("known", F.coalesce("told", F.expr("cast(array() AS array<struct<start:int,rank:int,end:int>>)"))))
+        found = found.withColumn("told", F.lit(None).cast(_SPANS))
+    spans = F.array_sort(F.concat("known", F.coalesce("told", F.expr(f"cast(array() AS {_SPANS})"))))
     named = F.transform(spans, lambda s: F.struct(F.get(kinds, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return found.select("row", "doc_id", "content", named.alias("spans"))
 

@@ -131,6 +131,16 @@ def test_terms_of_an_entity_in_one_text_are_judged(spark):
     assert not any(found[k] for k in range(6, len(texts)))
 
 
+def test_terms_are_judged_over_the_whole_document(spark):
+    """Far from the entity, in each place, and of any length; not in documents without the entity."""
+    gap = "a plain word " * 60
+    texts = [f"Zanthor {gap} zed@example.org {gap} said zanthor, Ng of {k} Common" for k in range(4)] + [f"{gap} Common said of {k}" for k in range(500)] + ["Zanthor wrote"]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k in range(4):
+        assert [(texts[k][s.start : s.end], s.kind) for s in found[k]] == [("Zanthor", "removed"), ("zed@example.org", "email"), ("zanthor", "removed"), ("Ng", "removed")], k
+    assert not any(found[k] for k in range(4, len(texts)))
+
+
 def test_personal_data_takes_odd_rows(spark):
     df = odd_documents(spark)
     assert pii.find_personal_data(df).count() == df.count() and pii.sanitised(df).count() == df.count()
