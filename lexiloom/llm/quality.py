@@ -66,47 +66,46 @@ def _part(doc_id: int) -> float:
 
 
 def _counts(docs: DataFrame, labelled: dict[int, bool], orders: tuple[int, ...]) -> DataFrame:
-    """(n, bucket, raw, labelled, target): summed over all documents, over labelled ones, over good ones."""
-    ids = np.array(sorted(labelled), np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast((ids, np.array([labelled[i] for i in ids.tolist()], bool)))
+    """(n, bucket, raw, target): summed over all texts and over good ones, copies of a text counted once."""
+    judged = docs.sparkSession.createDataFrame(list(labelled.items()), "_id long, good boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(judged), F.col("doc_id") == F.col("_id"), "left")
+    texts = rows.groupBy("text").agg(F.coalesce(F.min("good"), F.lit(False)).alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, (ids, good) = _Hasher(orders), sent.value
-        counts = {n: np.zeros((3, 1 << BITS[n]), np.int64) for n in orders}
+        hasher = _Hasher(orders)
+        counts = {n: np.zeros((2, 1 << BITS[n]), np.int64) for n in orders}
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at = np.searchsorted(ids, doc_id) if doc_id is not None else len(ids)
-                known = at < len(ids) and ids[at] == doc_id
+            for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 for n, g in hasher(text.as_py()).items():
-                    for own in counts[n][: 1 + known + (known and good[at])]:
+                    for own in counts[n][: 1 + good]:
                         np.add.at(own, g, 1)
         for n in orders:
             seen = np.flatnonzero(counts[n][0])
             for at in range(0, len(seen), 1 << 14):
                 some = seen[at : at + (1 << 14)]
                 columns = [np.full(len(some), n, np.int32), some.astype(np.int32), *counts[n][:, some]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n", "bucket", "raw", "labelled", "target"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n", "bucket", "raw", "target"])
 
-    counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "n int, bucket int, raw long, labelled long, target long")
-    return counted.groupBy("n", "bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "labelled", "target")))
+    counted = texts.select("text", "good").mapInArrow(run, "n int, bucket int, raw long, target long")
+    return counted.groupBy("n", "bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "target")))
 
 
 def fit(docs: DataFrame, labelled: dict[int, bool], priors: dict[int, float]) -> dict[int, np.ndarray]:
     """The log ratio for each bucket and order: target over raw. Fixed in size, whatever the input.
 
-    Raw counts are over all documents. They tell against an n-gram only as far as labelled documents,
-    good or bad, bear them out: a large group of copies that no label touches is not noise for that.
+    Raw counts are over all texts, labelled or not; a group of copies is one text, so its size alone
+    doesn't make it noise.
     """
     with small_batches(docs.sparkSession):
         rows = _counts(docs, labelled, tuple(priors)).toArrow()
     columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
     out = {}
     for n, prior in priors.items():
-        raw, known, target = (columns[c][columns["n"] == n].astype(np.float64) for c in ("raw", "labelled", "target"))
-        share, cover = target.sum() / max(1, known.sum()), known.sum() / max(1, raw.sum())
+        raw, target = (columns[c][columns["n"] == n].astype(np.float64) for c in ("raw", "target"))
+        share = target.sum() / max(1, raw.sum())
         ratio = np.zeros(1 << BITS[n], np.float32)
         if share:
-            ratio[columns["bucket"][columns["n"] == n]] = np.log((target + prior * share) / (share * (np.maximum(target, np.minimum(known, cover * raw)) + prior)))
+            ratio[columns["bucket"][columns["n"] == n]] = np.log((target + prior * share) / (share * (raw + prior)))
         out[n] = ratio
     return out
 

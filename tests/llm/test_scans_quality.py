@@ -168,6 +168,17 @@ def test_quality_on_held_out_labels(spark):
     assert scored.filtered(docs).count() == scored.rows.where(scored.kept()).count()
 
 
+def test_quality_tells_noise_that_no_label_covers(spark):
+    r = random.Random(5)
+    prose, noise = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)], [f"junk{chr(97 + k)}" for k in range(20)]
+    texts = [" ".join(r.choices(prose, k=60)) for _ in range(600)] + [" ".join(r.choices(noise, k=60)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(k, texts[599]) for k in range(800, 1100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    scored = quality.score(docs, labels)
+    kept = {x.doc_id for x in scored.rows.where(scored.kept()).collect()}
+    assert not kept & set(range(600, 800)) and len(kept & set(range(600))) > 500 and set(range(800, 1100)) <= kept
+
+
 def test_quality_takes_odd_rows(spark):
     df = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (6, 1, None), (9, 0, 0), (99, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
