@@ -156,6 +156,7 @@ l AS (SELECT page_id, rtrim(site || replace(unnest(hrefs), '&amp;', '&'), '/') A
     "topk_cosine": _topk("e.vec_id <> 0", 20),
     "topk_cosine_filtered": _topk("e.vec_id <> 0 AND e.label = 3", 5),
     "topk_batch": f"{_HITS} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM h WHERE rank <= 10",
+    "topk_batch_filtered": f"{_HITS}, f AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM h WHERE label = 3) SELECT query_id, id, round(score, 6) AS score, rank FROM f WHERE rank <= 5",
     "threshold": f"{_HITS} SELECT query_id, id, round(score, 6) AS score FROM h WHERE rank <= 20 AND score >= 0.35",
     "dedupe_hits": f"{_DISTINCT} SELECT query_id, id, round(score, 6) AS score FROM k WHERE nth = 1",
     "two_stage": f"{_DISTINCT} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM k WHERE nth = 1 AND score >= 0.35 QUALIFY rank <= 5",

@@ -237,6 +237,13 @@ def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir, 10).select("query_id", "id", _rounded(), "rank")
 
 
+@_query
+def topk_batch_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered search for every vector asked; ``topk_cosine_filtered`` asks one, as its SQL does."""
+    part = _vectors(spark, sf_dir).where(retrieve.metadata_filter(label=3))
+    return retrieve.topk_cosine(part, _asked(spark, sf_dir), 5, exclude_same=True).select("query_id", "id", _rounded(), "rank")
+
+
 @_query
 def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.over_threshold(_hits(spark, sf_dir, 20)).select("query_id", "id", _rounded())

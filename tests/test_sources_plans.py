@@ -113,3 +113,8 @@ def test_query(spark, duck, name):
 
 def test_oracles_name_queries():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_filtered_search_asks_every_query(spark):
+    got = registry.QUERIES["topk_batch_filtered"](spark, DATA).toPandas()
+    assert set(got["query_id"]) == set(range(0, 500, 50)) and (got.groupby("query_id").size() == 5).all()
