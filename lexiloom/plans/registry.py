@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify as C, html as H, text as T, urls as U
 from ..operators import chunk, crawl, dedupe, evaluate, generate, index, models, retrieve, sections
@@ -317,6 +317,16 @@ def eval_final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("query_id", F.round(right, 9).alias("correctness"), grounded.alias("groundedness"), F.round(evaluate.final_score(right, grounded, F.lit(0.0)), 9).alias("final_score"))
 
 
+@_query
+def eval_turn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers are all assistant turns, expectations the user turns just before; ``eval_final_score`` reads two turns, as its SQL does."""
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    turns = _read(spark, sf_dir, "conversations").withColumns({"expected": F.lag("text").over(before), "asker": F.lag("role").over(before)})
+    pairs = turns.where("role = 'assistant' AND asker = 'user' AND text IS NOT NULL AND trim(expected) <> ''").withColumnRenamed("text", "answer")
+    right, grounded = evaluate.correctness("answer", "expected"), evaluate.groundedness("answer")
+    return pairs.select(F.col("conv_id").alias("query_id"), "turn", F.round(right, 9).alias("correctness"), grounded.alias("groundedness"), F.round(evaluate.final_score(right, grounded, F.lit(0.0)), 9).alias("final_score"))
+
+
 @_query
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents embedded by the substitute model."""

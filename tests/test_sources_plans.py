@@ -118,3 +118,11 @@ def test_oracles_name_queries():
 def test_filtered_search_asks_every_query(spark):
     got = registry.QUERIES["topk_batch_filtered"](spark, DATA).toPandas()
     assert set(got["query_id"]) == set(range(0, 500, 50)) and (got.groupby("query_id").size() == 5).all()
+
+
+def test_every_answered_question_is_scored(spark, duck):
+    turns = duck.execute("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn").fetchall()
+    want = {(b[0], b[1]) for a, b in zip(turns, turns[1:]) if a[0] == b[0] and (a[2], b[2]) == ("user", "assistant") and (a[3] or "").strip() and b[3] is not None}
+    got = registry.QUERIES["eval_turn_scores"](spark, DATA).collect()
+    print(len(turns), len(want))
+    assert len(got) == len(want) and {(r.query_id, r.turn) for r in got} == want and max(r.turn for r in got) > 1
