@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
+
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -29,6 +33,39 @@ def blocks(text: Column, size: int) -> Column:
     return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(cut)
 
 
+def running(lengths: Column, step: int = 512) -> Column:
+    """array<int>: for each of ``lengths``, the sum of those before it.
+
+    Sums are made within runs of ``step`` items, then over the runs, so no long array is copied once for each item.
+    """
+    ints = F.expr("cast(array() AS array<int>)")
+
+    def sums(part: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("total"), ints.alias("before"))
+        return F.aggregate(part, begin, lambda s, n: F.struct((s["total"] + n).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
+
+    def of(x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / step).cast("int")), lambda k: sums(F.slice(x, k * step + 1, step)))
+        whole = lambda r: F.zip_with(r, sums(F.transform(r, lambda y: y["total"]))["before"], lambda y, t: F.transform(y["before"], lambda b: b + t))
+        return F.when(F.size(x) > 0, F.flatten(let(runs, whole))).otherwise(ints)
+
+    return let(lengths, of)
+
+
+def substrings(text: Column, places: Column, make: Callable[[Column], Column], block: int = 4096) -> Column:
+    """``make`` of what the text holds at each of ``places`` (array<struct<start, end>>, code points, end exclusive).
+
+    The text is cut into blocks once: a substring of a long text would look for its start from the text's beginning.
+    """
+
+    def of(cut: Column) -> Column:
+        first = lambda p: F.floor(p["start"] / block).cast("int")
+        some = lambda p: F.array_join(F.slice(cut, first(p) + 1, F.floor(p["end"] / block).cast("int") - first(p) + 1), "")
+        return F.transform(places, lambda p: make(F.substr(some(p), p["start"] - first(p) * block + 1, p["end"] - p["start"])))
+
+    return let(blocks(text, block), of)
+
+
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``kept`` names by (doc_id, content), content being the hash of the text; of repeated rows one.
 
