@@ -43,6 +43,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._split: dict[tuple[str, str], bool] = {}
         self._max_words, self._max_length, self._chars = max_words, max_length, chars
         alone = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
         mark = alone(_MARK)
@@ -70,6 +71,14 @@ class WordEncoder:
             word = word.encode().decode("latin-1").translate(_BYTES)
         return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
 
+    def _parts(self, letter: str, mark: str) -> bool:
+        """Whether the mark is split off after this letter. Some end in an accent of their own in lower case, which it stays with."""
+        if letter.isascii():
+            return True
+        if (letter, mark) not in self._split:
+            self._split[letter, mark] = all(self._encode(f"{w}{letter}{mark}") == self._encode(f"{w}{letter}") + self._tails[mark] for w in ("", "ab"))
+        return self._split[letter, mark]
+
     def _learn(self, words: set[str]) -> None:
         """Put the ids of new words into the table: those of plain words are found together, a mark between them."""
         known, older, tails = self._known, self._older, self._tails
@@ -81,7 +90,7 @@ class WordEncoder:
             elif self._mark is None or len(w) > self._max_length or _MARK in w:
                 known[w] = self._encode(w)
             else:
-                base, tail = (w[:-1], tails[w[-1]]) if w[-1] in tails and w[:-1].isalpha() else (w, b"")
+                base, tail = (w[:-1], tails[w[-1]]) if w[-1] in tails and w[:-1].isalpha() and self._parts(w[-2], w[-1]) else (w, b"")
                 if self._lower and base.isalpha() and not base.islower() and "\u0130" not in base and "\u03a3" not in base:
                     base = base.lower()
                 bases[w] = base, tail

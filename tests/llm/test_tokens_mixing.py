@@ -30,6 +30,19 @@ def test_encoder_like_the_tokenizer(tokenizer):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_encoder_over_all_code_points(tokenizer):
+    """Each code point alone, before and after marks, within and at the end of a word; of ideographs, syllables and what is unassigned every 97th."""
+    plain = lambda k: k % 97 and (0x3400 <= k < 0xD800 or k >= 0x17000 and not 0x1AFF0 <= k < 0x20000)
+    points = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000 and not plain(k)]
+    texts = []
+    for at in range(0, len(points), 500):
+        some = points[at : at + 500]
+        texts += [" ".join(f.format(c) for c in some) for f in ("{}", "{},", "{}.", "{}'", ",{}", ".{}", "'{}", "ab{}", "ab{}.", "Ab{},", "A{}b.", "{}b,")]
+    encoder = encoding.WordEncoder(PATH)
+    want = (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False))
+    assert all(a == b for a, b in zip(encoder.encoded(texts), want, strict=True))
+
+
 def check_pieces(rows, ids):
     docs, windows = defaultdict(list), defaultdict(list)
     for r in rows:
