@@ -48,7 +48,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "shard", F.array_join("places", ",").alias("places"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -123,9 +124,52 @@ def words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10], [3, 1, 2], 45, 2) == [20, 25 / 3, 50 / 3] and mixing.targets([0, 5], [1, 1], 7.5, 2) == [0, 7.5]
-    assert mixing.targets([], [], 0, 2) == []
+def targets(sizes, weights, total, most):
+    """Shares of the total by weight; what exceeds ``most`` times a size is shared anew, source by source."""
+    out, free, rest = [0.0] * len(sizes), list(range(len(sizes))), float(total)
+    while free:
+        unit = rest / sum(weights[k] for k in free)
+        if not (over := [k for k in free if unit * weights[k] > most * sizes[k]]):
+            for k in free:
+                out[k] = unit * weights[k]
+            break
+        for k in over:
+            out[k] = most * sizes[k]
+            rest -= out[k]
+        free = [k for k in free if k not in over]
+    return out
+
+
+def test_targets(spark):
+    assert targets([10, 10, 10], [3, 1, 2], 45, 2) == [20, 25 / 3, 50 / 3] and targets([0, 5], [1, 1], 7.5, 2) == [0, 7.5]
+    r = random.Random(5)
+    for n in (0, 1, 7, 300):
+        names = sorted({"".join(r.choice("aZé😀\uffee") for _ in range(r.randint(0, 6))) for _ in range(n)}) + [None] * (n > 1)
+        sizes = [r.choice([0, 1, 10, 1000, 10**12]) for _ in names]
+        rows = list(zip(names, sizes, strict=True))
+        r.shuffle(rows)
+        got = {x.source: x for x in mixing.source_targets(spark.createDataFrame(rows, "source string, size long").repartition(5), (3, 1, 2), 1.5, 2).collect()}
+        want = targets(sizes, [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(sizes), 2)
+        assert len(got) == len(names) and [got[s].k for s in names] == list(range(len(names))) and np.allclose([got[s].target for s in names], want)
+
+
+def test_hypergeometric():
+    """Against exact probabilities where these can be listed, against mean and spread where not."""
+    from math import comb
+
+    for good, bad, draws in ((7, 5, 4), (30, 50, 20), (50, 30, 60), (200, 1000, 500), (1000, 3, 15)):
+        rng, n = np.random.default_rng(good), 20_000
+        seen = np.bincount([mixing.hypergeometric(rng, good, bad, draws) for _ in range(n)], minlength=draws + 1)
+        want = np.array([comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) for k in range(draws + 1)])
+        assert not seen[want == 0].any()
+        often = want * n > 5
+        assert ((seen - want * n)[often] ** 2 / (want * n)[often]).sum() < often.sum() + 5 * math.sqrt(2 * often.sum()) + 1, (good, bad, draws)
+    for good, bad, draws in ((3 * 10**9, 7 * 10**9, 10**9), (10**15, 10**14, 9 * 10**14), (10**13, 10**13, 5)):
+        rng, total = np.random.default_rng(1), good + bad
+        x = np.array([mixing.hypergeometric(rng, good, bad, draws) for _ in range(2000)], dtype=np.float64)
+        mean, spread = draws * good / total, math.sqrt(draws * good / total * bad / total * (total - draws) / (total - 1))
+        z = (x - mean) / spread
+        assert abs(z.mean()) < 0.1 and abs(z.std() - 1) < 0.08 and (draws < 10 or abs((z**3).mean()) < 0.3 and len(set(x)) > 1900)
 
 
 def test_split_quota():
@@ -135,8 +179,8 @@ def test_split_quota():
         q = r.randint(0, sum(sizes))
         out = mixing.split_quota(sizes, q, [k])
         assert sum(out) == q and all(0 <= a <= b for a, b in zip(out, sizes, strict=True)) and out == mixing.split_quota(sizes, q, [k])
-    big = mixing.split_quota([10**10] * 4, 2 * 10**10, [1])
-    assert sum(big) == 2 * 10**10 and all(abs(x - 5 * 10**9) < 10**6 for x in big)
+    big = mixing.split_quota([10**13] * 4, 2 * 10**13, [1])
+    assert sum(big) == 2 * 10**13 and all(0 < abs(x - 5 * 10**12) < 10**8 for x in big)
 
 
 def test_mix(spark):
@@ -155,6 +199,43 @@ def test_mix(spark):
     assert mixing.mix(no_documents(spark)).count() == 0 == mixing.mixed(no_documents(spark)).count()
 
 
+def test_tree_of_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 3)
+    r = random.Random(8)
+    leaves = [(k, s, r.randint(0, 50)) for k in range(4) for s in range(40) if r.random() < 0.8]
+    sums = Counter()
+    for k, _, n in leaves:
+        sums[k] += n
+    plan = spark.createDataFrame([(k, n // 3) for k, n in sums.items()], "k long, quota long")
+    got = {(x.k, x.shard): x.share for x in mixing._quotas(spark.createDataFrame(leaves, "k long, shard int, size long"), plan, 40, 1).collect()}
+    assert len(got) == len(leaves) and all(0 <= got[k, s] <= n for k, s, n in leaves)
+    assert all(sum(v for (j, _), v in got.items() if j == k) == n // 3 for k, n in sums.items())
+
+
+@pytest.mark.parametrize("per_shard", [20_000, 20])
+def test_local_shuffle(spark, per_shard):
+    """Places are distinct in a shard, sources are interleaved and the copies of a row apart; rows that repeat are spread."""
+    docs = [(k, f"text {k} of some words", f"s{k % 4}") for k in range(400)] + [(7777, "one row again and again", "s1")] * 200
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(6)
+    rows = mixing.mix(df, shards=4, rows_per_shard=per_shard).collect()
+    assert len(rows) == 600 and sum(r.taken for r in rows) == round(1.5 * 5 * 600)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard] += [(p, r.source, r.doc_id) for p in r.places]
+        assert len(r.places) == r.epochs + (r.drawn > 0)
+    assert len({r.shard for r in rows if r.doc_id == 7777}) == (1 if per_shard == 20_000 else len(by))
+    changes = near = 0
+    for own in by.values():
+        own.sort()
+        assert [p for p, *_ in own] == list(range(1, len(own) + 1))
+        changes += sum(a[1] != b[1] for a, b in zip(own, own[1:], strict=False))
+        near += sum(a[2] == b[2] != 7777 for a, b in zip(own, own[1:], strict=False))
+    assert changes > 300 and near < (20 if per_shard == 20_000 else 60)  # small shards hold many copies side by side by chance
+    out = [(r.source, r.text) for part in mixing.mixed(df, shards=4, rows_per_shard=per_shard).rdd.glom().collect() for r in part]
+    assert Counter(out)[("s1", "one row again and again")] >= 200 and sum(words(t) for _, t in out) == sum(r.taken for r in rows)
+    assert sum(a[0] != b[0] for a, b in zip(out, out[1:], strict=False)) > 300
+
+
 def test_cut_text_keeps_its_white_space(spark):
     df = spark.createDataFrame([(1, "  a\n\nb  c d", "s", 11)], "doc_id long, text string, source string, n_chars long")
     out = mixing.mixed(df, share=0.5, shards=1).collect()
@@ -169,7 +250,7 @@ def test_op5_query(spark):
     for d in docs:
         by[d.source] += size[d.doc_id]
     names = sorted(by)
-    aims = dict(zip(names, mixing.targets([by[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(by.values()), 2), strict=True))
+    aims = dict(zip(names, targets([by[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(by.values()), 2), strict=True))
     source = {d.doc_id: d.source for d in docs}
     assert all(r["size"] == size[r.doc_id] and r.source_size == by[source[r.doc_id]] and abs(r.target - aims[source[r.doc_id]]) < 1e-6 for r in rows)
     got = defaultdict(int)
