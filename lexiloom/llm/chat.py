@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import text as X
+
 START, TEXT, PART, END = "<|start|>", "<|text|>", "<|part|>", "<|end|>\n"
 
 
@@ -34,7 +36,8 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_mask array<struct<start, end>>, n_messages) for ``turns`` (conv_id, turn, role, text).
 
     Turns are sorted by turn (null first), then role and text; a null role or text counts as empty.
-    Repeated rows stay, as turns of their own. Rows with a null conv_id make up one conversation.
+    Repeated rows stay, as turns of their own. Rows with a null conv_id make up one conversation. An
+    empty table gives no row. Other columns, whatever their names, are not read.
     The mask's spans are code points of ``formatted``, end exclusive, one for each text of ``loss_role``.
     """
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -63,8 +66,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         ),
     )
     chats = chats.select("conv_id", written.alias("messages"))
-    # One pass over all parts; each step sees the length so far.
-    steps = F.flatten(
+    parts = F.flatten(
         F.transform(
             "messages",
             lambda m: F.transform(
@@ -78,36 +80,28 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
             ),
         )
     )
-    begin = F.struct(F.lit(0).cast("int").alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("mask"))
 
-    def step(so_far: Column, x: Column) -> Column:
-        start = so_far["at"] + x["before"]
-        end = start + x["length"]
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + x["after"]).cast("int").alias("at"), F.when(x["loss"], F.concat(so_far["mask"], span)).otherwise(so_far["mask"]).alias("mask"))
+    def placed(x: Column) -> Column:
+        at = X.running(F.transform(x, lambda p: p["before"] + p["length"] + p["after"]))
+        start = lambda p, t: t + p["before"]
+        each = F.zip_with(x, at, lambda p, t: F.struct(p["loss"].alias("loss"), start(p, t).alias("start"), (start(p, t) + p["length"]).alias("end")))
+        return F.transform(F.filter(each, lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
 
     return chats.select(
         "conv_id",
         F.array_join(F.transform("messages", lambda m: m["string"]), "").alias("formatted"),
-        F.aggregate(steps, begin, step)["mask"].alias("loss_mask"),
+        X.let(parts, placed).alias("loss_mask"),
         F.size("messages").cast("long").alias("n_messages"),
     )
 
 
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>>: the turns that a formatted conversation holds, unescaped."""
-    messages = F.filter(F.split(formatted, _mark(END)), lambda m: m != "")
-    return F.flatten(
-        F.transform(
-            messages,
-            lambda m: F.transform(
-                F.split(F.split(m, _mark(TEXT))[1], _mark(PART)),
-                lambda t: F.struct(unescaped(F.substr(F.split(m, _mark(TEXT))[0], F.lit(len(START) + 1))).alias("role"), unescaped(t).alias("text")),
-            ),
-        )
-    )
+    halves = F.transform(F.filter(F.split(formatted, _mark(END)), lambda m: m != ""), lambda m: F.split(m, _mark(TEXT)))
+    messages = F.transform(halves, lambda h: F.struct(unescaped(F.substr(h[0], F.lit(len(START) + 1))).alias("role"), F.split(h[1], _mark(PART)).alias("parts")))
+    return F.flatten(F.transform(messages, lambda m: F.transform(m["parts"], lambda t: F.struct(m["role"].alias("role"), unescaped(t).alias("text")))))
 
 
 def under_mask(formatted: Column, mask: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(mask, lambda s: unescaped(F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    return F.array_join(X.substrings(formatted, mask, unescaped), "")

@@ -69,6 +69,17 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_long_conversations(spark):
+    """Many turns of one role make one message; time grows with their number, not its square."""
+    rows = [(1, t, "assistant", f"é text {t} <|part|> \\ " * (1 + t % 3)) for t in range(20_000)] + [(2, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(20_000)] + [(3, 0, "assistant", "😀" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.format_chats(df).select("conv_id", "n_messages", F.size("loss_mask").alias("n"), chat.read_back(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    for x in got.collect():
+        own = [(role, text) for c, _, role, text in rows if c == x.conv_id]
+        assert [tuple(t) for t in x.turns] == own and x.loss == "".join(text for role, text in own if role == "assistant")
+        assert x.n_messages == (1, 20_000, 1)[x.conv_id - 1] and x.n == sum(role == "assistant" for role, _ in own)
+
+
 @pytest.mark.parametrize("name", ["op8_exact_dedup", "op9_chat_format"])
 def test_query_like_its_sql(spark, name):
     import duckdb
