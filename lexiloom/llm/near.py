@@ -15,12 +15,13 @@ Links are confirmed on the full sets. A group of copies is never expanded into i
    of another component, the one with the least share of shingles that none but its component has;
 4. then with every class of another component under a common key.
 
-In steps 3 and 4 classes are left out that can link with none there, and pairs that cannot link: those
-of whose shingles too few occur in other components. (Edits are a copy's own, so copies too far
-from the rest of their group are such.)
+In steps 3 and 4 classes are left out that can link with none there, and pairs that cannot link, by bounds
+that hold for all sets: a class shares no more than what of it occurs in other components; and two classes
+no more than the bits that their bitmaps have in common and the shingles of the smaller rest, those
+beyond one for each bit. (Edits are a copy's own, so copies too far from the rest of their group are such.)
 
 Classes that are connected need no comparison, so each step leaves little to the next, and after the
-last all pairs that share a key were compared, are connected or cannot be similar enough.
+last all pairs that share a key were compared, are connected or are proven not to be similar enough.
 """
 
 from __future__ import annotations
@@ -37,20 +38,13 @@ from .store import dropped, saved
 
 CHUNKS, WIDTH = 8, 5
 SYMBOLS = CHUNKS * WIDTH
-#: Minima in all: one bit of each makes the sketch, by which step 4 passes over unlike pairs.
-MINIMA = 128
-#: Differing bits of the sketch allowed. At a similarity of 0.8 there are 12.8 on average, deviation 3.4.
-SKETCH = 38
-#: Longs of the wide sketch, for classes under contested keys alone, and its differing bits allowed: of 2048,
-#: at a similarity of 0.8, 204.8 on average, deviation 13.6.
-WIDE, WIDE_APART = 32, 268
+#: Longs of a class's bitmap, for classes under contested keys alone: a bit for each remainder of a shingle's hash.
+MAP = 32
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20)
-_A = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
-_WIDE_A = _rng.integers(0, 2**32, WIDE * 64, dtype=np.uint32) | np.uint32(1)
-_WIDE_B = _rng.integers(0, 2**32, WIDE * 64, dtype=np.uint32)
+_A = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
 _C = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _D = _rng.integers(0, 2**63, (CHUNKS, WIDTH), dtype=np.uint64)
 
@@ -93,31 +87,32 @@ class Shingler:
         return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
-def minima(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+def minima(shingles: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set that is not empty."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out, step = None, max(64, (1 << 17) // len(a))
+    out, step = None, (1 << 17) // SYMBOLS
     for at in range(0, len(x), step):
-        low = (np.multiply.outer(a, x[at : at + step]) + b[:, None]).min(axis=1)
+        low = (np.multiply.outer(_A, x[at : at + step]) + _B[:, None]).min(axis=1)
         out = low if out is None else np.minimum(out, low)
     return out
 
 
 def signature_keys(low: np.ndarray) -> np.ndarray:
     """For rows of minima: a key for each chunk and each position of it left out."""
-    symbols = (_mixed(low[:, :SYMBOLS].astype(np.uint64)) >> np.uint64(48)).reshape(-1, CHUNKS, WIDTH)
+    symbols = (_mixed(low.astype(np.uint64)) >> np.uint64(48)).reshape(-1, CHUNKS, WIDTH)
     parts = (symbols + np.uint64(1)) * _C
     keys = _mixed(parts.sum(axis=2, dtype=np.uint64)[:, :, None] - parts + _D)
     return keys.reshape(len(low), -1).view(np.int64)
 
 
-def sketches(low: np.ndarray) -> np.ndarray:
-    """For rows of minima: a bit of each, as longs."""
-    bits = (_mixed(low.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """MAP longs with the bits of all remainders that occur."""
+    bits = np.zeros(MAP * 64, np.uint8)
+    bits[(shingles % np.uint64(MAP * 64)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
-_FEATURES = "row long, doc_id long, content long, n long, hi long, lo long, keys array<long>, s1 long, s2 long"
+_FEATURES = "row long, doc_id long, content long, n long, hi long, lo long, keys array<long>"
 
 
 def _features(docs: DataFrame, words: int) -> DataFrame:
@@ -132,7 +127,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
                 n = np.zeros(len(batch), np.int64)
-                low = np.zeros((len(batch), MINIMA), np.uint32)
+                low = np.zeros((len(batch), SYMBOLS), np.uint32)
                 ids = np.zeros((len(batch), 2), np.int64)
                 for k, text in enumerate(batch.column("text")):
                     s = shingler.of(text.as_py())
@@ -140,11 +135,11 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
                     if len(s):
                         low[k] = minima(s)
                         ids[k] = np.frombuffer(xxhash.xxh3_128_digest(s), np.int64)
-                keys, sketch, rows = signature_keys(low), sketches(low), np.arange(row, row + len(batch))
+                keys, rows = signature_keys(low), np.arange(row, row + len(batch))
                 row += len(batch)
                 offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, keys.shape[1], 0)))).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel()))
-                columns = [pa.array(rows), batch.column("doc_id"), batch.column("content"), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in ids.T), keys, *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
+                columns = [pa.array(rows), batch.column("doc_id"), batch.column("content"), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in ids.T), keys]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(run, _FEATURES)
@@ -189,26 +184,26 @@ def _with(keyed: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame
 
 
 def _shares(own: DataFrame, bodies: DataFrame, words: int, similarity: int, rounds: int = 2) -> DataFrame:
-    """(node, shared, w0, w1, ...) for the classes of ``own`` (key, node, root) that can link with one of another component.
+    """(node, shared, rest, w0, w1, ...) for the classes of ``own`` (key, node, root) that can link with one of another component.
 
     ``shared`` counts a class's shingles that occur in another component here; a link needs at least
     ``similarity`` percent of them. Once classes are out, fewer shingles occur in several components,
-    hence the second round. w0 and on are the wide sketch.
+    hence the second round. w0 and on are the bitmap, ``rest`` counts the shingles beyond one for each of its bits.
     """
-
-    wide = [f"w{k}" for k in range(WIDE)]
+    maps = [f"w{k}" for k in range(MAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             sets = [shingler.of(text.as_py()) for text in batch.column("text")]
-            bits = sketches(np.array([minima(s, _WIDE_A, _WIDE_B) for s in sets], np.uint32).reshape(len(sets), -1))
-            columns = [batch.column("node"), batch.column("root"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "shingles", *wide])
+            bits = np.array([bitmap(s) for s in sets], np.int64).reshape(len(sets), MAP)
+            rest = np.array([len(s) for s in sets], np.int64) - np.bitwise_count(bits.view(np.uint64)).sum(axis=1, dtype=np.int64)
+            columns = [batch.column("node"), batch.column("root"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(rest), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "shingles", "rest", *maps])
 
-    schema = "node long, root long, shingles array<long>, " + ", ".join(f"{w} long" for w in wide)
+    schema = "node long, root long, shingles array<long>, rest long, " + ", ".join(f"{w} long" for w in maps)
     sets = saved(own.select("node", "root").distinct().join(bodies, "node").select("node", "root", "text").mapInArrow(run, schema))
-    slim = sets.select("node", *wide)
+    slim = sets.select("node", "rest", *maps)
     for _ in range(rounds):
         each = sets.select("node", "root", F.explode("shingles").alias("shingle"))
         common = saved(each.groupBy("shingle").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("shingle"))
@@ -249,8 +244,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) ->
     links = saved(_confirmed(near, bodies, words, similarity))
     roots = saved(components(links))
 
-    slim = nodes.select("node", "n", "s1", "s2")
-    facts = ["n", "shared", "s1", "s2", *(f"w{k}" for k in range(WIDE))]
+    slim = nodes.select("node", "n")
+    facts = ["n", "shared", "rest", *(f"w{k}" for k in range(MAP))]
     own = saved(_contested(keyed, roots))
     known = saved(_shares(own, bodies, words, similarity).join(slim, "node"))
     own = saved(own.join(known, "node"))
@@ -292,9 +287,8 @@ def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _plausible(x: str, y: str, similarity: int) -> Column:
-    """Whether the sizes, sketches and shared shingles of two classes allow the similarity."""
+    """Whether the sizes, shared shingles and bitmaps of two classes allow the similarity: false only if it is out of reach."""
     least, most = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    common = F.least(f"{x}.shared", f"{y}.shared")
-    apart = F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) + F.bit_count(F.col(f"{x}.s2").bitwiseXOR(F.col(f"{y}.s2")))
-    wide = sum((F.bit_count(F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))) for k in range(1, WIDE)), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
-    return (100 * least >= similarity * most) & (100 * common >= similarity * (least + most - common)) & (apart <= SKETCH) & (wide <= WIDE_APART)
+    both = lambda k: F.bit_count(F.col(f"{x}.w{k}").bitwiseAND(F.col(f"{y}.w{k}")))
+    enough = lambda common: 100 * common >= similarity * (least + most - common)
+    return enough(least) & enough(F.least(f"{x}.shared", f"{y}.shared")) & enough(sum((both(k) for k in range(1, MAP)), both(0)) + F.least(f"{x}.rest", f"{y}.rest"))

@@ -88,7 +88,7 @@ def test_near_takes_odd_rows(spark):
 def test_signatures_guarantee():
     """Signatures that differ in fewer than twice as many symbols as chunks share a key."""
     rng = np.random.default_rng(2)
-    low = rng.integers(0, 2**32, (1, near.MINIMA), dtype=np.uint32)
+    low = rng.integers(0, 2**32, (1, near.SYMBOLS), dtype=np.uint32)
     for _ in range(300):
         other = low.copy()
         at = rng.choice(near.SYMBOLS, 2 * near.CHUNKS - 1, replace=False)
@@ -96,6 +96,24 @@ def test_signatures_guarantee():
         assert set(near.signature_keys(low)[0]) & set(near.signature_keys(other)[0])
 
 
+def test_bounds_hold_for_all_sets(spark):
+    """No pair that is similar enough is ever left out, whatever the sizes."""
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for _ in range(150):
+        n = int(rng.choice([1, 5, 60, 900, 6000]))
+        union = rng.integers(0, 2**64, n + 1, dtype=np.uint64)
+        drop = int(rng.integers(0, n // 4 + 1))
+        a, b = union[: n - drop // 2], union[drop - drop // 2 :]
+        side = lambda s: {"n": len(s), "shared": len(s), "rest": len(s) - int(np.bitwise_count(near.bitmap(s).view(np.uint64)).sum()), **{f"w{k}": int(v) for k, v in enumerate(near.bitmap(s))}}
+        rows.append((side(a), side(b)))
+        both = len(np.intersect1d(a, b))
+        want.append(100 * both >= 80 * (len(a) + len(b) - both))
+    kind = "struct<n:long,shared:long,rest:long," + ",".join(f"w{k}:long" for k in range(near.MAP)) + ">"
+    got = [r.p for r in spark.createDataFrame(rows, f"x {kind}, y {kind}").select(near._plausible("x", "y", 80).alias("p")).collect()]
+    assert all(g or not w for g, w in zip(got, want, strict=True)) and not all(got) and any(want)
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5, 5)]
