@@ -6,7 +6,9 @@ what the corpus says: with P from document counts, a term's disclosure of an ent
     PMI(entity; term) / IC(entity),  PMI = log P(entity, term) / (P(entity) P(term)),  IC = -log P(entity)
 
 which is 1 when the term occurs only where the entity does. From ``generalise`` on the term is
-replaced by a general word wherever a document holds the entity, from ``remove`` on it goes. A pair that occurs in ``support``
+replaced by a more general one wherever a document holds the entity, from ``remove`` on it goes. The general
+terms are what the corpus has that begins alike: the longest beginning of at most ``PREFIX`` letters that occurs in so many
+documents that it discloses none of the entities; above all of them is any word. A pair that occurs in ``support``
 different texts is judged by its counts. Personal data is mostly in one text alone, so rarer pairs are
 judged too, but their P(entity | term) shrinks to P(entity): seen in r different texts, the counts are
 trusted as r / (r + 1). Copies of one text do not add to r.
@@ -31,6 +33,8 @@ from .store import dropped, saved
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 BITMAP_BITS = 1 << 20
+#: Letters of the longest beginning that a term is generalised to.
+PREFIX = 4
 
 # The forms of the contract. A run of digits that fails at its start fails at each later
 # digit, so runs are entered at their start alone; what follows never lets a possessive run give back.
@@ -95,13 +99,13 @@ def free_terms(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, i
             yield m[0].lower(), s, e
 
 
-_SPANS = "array<struct<start:int,rank:int,end:int>>"
-_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
+_SPANS = "array<struct<start:int,rank:int,end:int,into:string>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("into", pa.string())]))
 _FOUND = f"row long, doc_id long, content long, known {_SPANS}, entities array<string>, held string"
 
 
-def _spans(found: list[list[tuple[int, int, int]]]) -> pa.Array:
-    return pa.array([[{"start": s, "rank": k, "end": e} for s, k, e in x] for x in found], _SPAN)
+def _spans(found: list[list[tuple[int, int, int, str | None]]]) -> pa.Array:
+    return pa.array([[{"start": s, "rank": k, "end": e, "into": into} for s, k, e, into in x] for x in found], _SPAN)
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -113,7 +117,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             spans = [known_entities(text.as_py()) for text in batch.column("text")]
             columns = [
                 pa.array(np.arange(row, row + len(batch))), batch.column("doc_id"), batch.column("content"),
-                _spans([[x[:3] for x in found] for found in spans]),
+                _spans([[(*x[:3], None) for x in found] for found in spans]),
                 pa.array([sorted({f"{KINDS[k]}:{what}" for _, k, _, what in found}) for found in spans], pa.list_(pa.string())),
                 pa.array([text.as_py() if found else None for text, found in zip(batch.column("text"), spans, strict=True)], pa.string()),
             ]
@@ -136,14 +140,14 @@ def _terms(holders: DataFrame) -> DataFrame:
 
 
 def _marked(telling: DataFrame) -> DataFrame:
-    """(row, told): every place of the terms that tell, for rows of (row, held, known, terms array<struct<term, rank>>)."""
+    """(row, told): every place of the terms that tell, for rows of (row, held, known, terms array<struct<term, rank, into>>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, known, terms in zip(*(batch.column(c) for c in ("held", "known", "terms")), strict=True):
-                ranks = {x["term"]: x["rank"] for x in terms.as_py()}
-                out.append([(s, ranks[t], e) for t, s, e in free_terms(text.as_py(), [(x["start"], x["end"]) for x in known.as_py()]) if t in ranks])
+                told = {x["term"]: (x["rank"], x["into"]) for x in terms.as_py()}
+                out.append([(s, told[t][0], e, told[t][1]) for t, s, e in free_terms(text.as_py(), [(x["start"], x["end"]) for x in known.as_py()]) if t in told])
             yield pa.RecordBatch.from_arrays([batch.column("row"), _spans(out)], names=["row", "told"])
 
     return telling.select("row", "held", "known", "terms").mapInArrow(run, f"row long, told {_SPANS}")
@@ -155,13 +159,18 @@ def _slot(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term) % BITMAP_BITS
 
 
+def beginnings(term: str) -> list[str]:
+    """A term's beginnings as terms of their own, marked by a star: ``ab*`` for all that begins with ab."""
+    return [f"{term[:k]}*" for k in range(1, min(len(term), PREFIX) + 1)]
+
+
 def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): over all documents, how many hold the term; for these terms, and a few more."""
+    """(term, n): over all documents, how many hold the term; for these terms and their beginnings, and a few more."""
     spark = docs.sparkSession
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_slot(t) for t in batch.column(0).to_pylist()], pa.int32())], names=["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array([_slot(x) for t in batch.column(0).to_pylist() for x in (t, *beginnings(t))], pa.int32())], names=["slot"])
 
     bitmap = np.zeros(BITMAP_BITS, bool)  # as many slots at most, whatever the number of terms
     taken = terms.mapInArrow(slots, "slot int").distinct().toArrow()
@@ -174,9 +183,9 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 words = {w.lower() for w in set(_TERM.findall(text.as_py() or ""))}
                 for w in words.difference(known):
-                    known[w] = bool(bits[_slot(w)])
-                found.update(w for w in words if known[w])
-            if len(known) > 150_000:
+                    known[w] = tuple(x for x in (w, *beginnings(w)) if bits[_slot(x)])
+                found.update(set().union(*(known[w] for w in words)))
+            if len(known) > 100_000:
                 known.clear()
             if len(found) > 100_000:
                 yield _counted(found)
@@ -191,10 +200,10 @@ def _counted(found: Counter) -> pa.RecordBatch:
 
 
 def find_personal_data(docs: DataFrame, *, generalise: float = 0.7, remove: float = 0.9, support: int = 3) -> DataFrame:
-    """(row, doc_id, content, spans array<struct<kind, start, end>>) for each row of ``docs`` (doc_id, text).
+    """(row, doc_id, content, spans array<struct<kind, start, end, into>>) for each row of ``docs`` (doc_id, text).
 
     Spans are code points of the whole text, end exclusive, by start, then kind as in ``KINDS``; those
-    of the last two kinds are terms that disclose an entity of their document too well. A null text counts as
+    of the last two kinds are terms that disclose an entity of their document too well, ``into`` being what these become. A null text counts as
     empty; texts without an entity have no span; repeated rows are found each. An empty table gives
     no row. Other columns are not read. ``content`` is a hash of the text.
     """
@@ -213,7 +222,8 @@ def find_personal_data(docs: DataFrame, *, generalise: float = 0.7, remove: floa
         of_row = saved(of_row.where("n_entity > 1").unionByName(alone))
         most = lambda n: F.pow(n, F.lit(generalise)) * F.lit(float(n_docs) ** (1 - generalise) * (1 + 1e-9))
         terms = saved(_terms(holders))
-        n_term = _document_counts(docs, terms.select("term").distinct()).withColumnRenamed("n", "n_term")
+        counts = saved(_document_counts(docs, terms.select("term").distinct()))
+        n_term = counts.where(~F.col("term").endswith("*")).withColumnRenamed("n", "n_term")
         n_term = saved(n_term.where(F.col("n_term") <= most(F.lit(n_entity.agg(F.max("n_entity")).first()[0]))))
         both = saved(terms.join(n_term, "term").join(of_row, "row").where(F.col("n_term") <= most(F.col("n_entity"))))
         texts = both.groupBy("entity", "term", "content").agg(F.count("*").alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
@@ -223,25 +233,31 @@ def find_personal_data(docs: DataFrame, *, generalise: float = 0.7, remove: floa
         told = F.when(F.col("texts") >= support, told).otherwise((F.col("texts") * told + base) / (F.col("texts") + 1))
         mutual = F.log2(told / base)
         judged = judged.withColumn("disclosure", F.when(content > 0, mutual / content).otherwise(0.0)).where(F.col("disclosure") >= generalise)
-        judged = judged.select("entity", "term", F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("rank"))
-        telling = both.select("row", "entity", "term").join(judged, ["entity", "term"]).groupBy("row", "term").agg(F.max("rank").alias("rank"))
-        telling = saved(telling.groupBy("row").agg(F.collect_list(F.struct("term", "rank")).alias("terms")))
+        judged = judged.select("entity", "term", "n_entity", F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("rank"))
+        telling = both.select("row", "entity", "term").join(judged, ["entity", "term"])
+        telling = saved(telling.groupBy("row", "term").agg(F.max("rank").alias("rank"), F.max("n_entity").alias("n_entity")))
+        kinds_of = telling.where("rank = 4").select("term", "n_entity").distinct()
+        upward = kinds_of.select("term", "n_entity", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(PREFIX))), lambda k: F.concat(F.substring("term", F.lit(1), k), F.lit("*")))).alias("general"))
+        upward = upward.join(counts.select(F.col("term").alias("general"), "n"), "general").where(F.col("n") > most(F.col("n_entity")))
+        upward = saved(upward.groupBy("term", "n_entity").agg(F.max_by("general", F.length("general")).alias("into")))
+        telling = telling.join(upward, ["term", "n_entity"], "left").select("row", "term", "rank", F.when(F.col("rank") == 4, F.coalesce("into", F.lit("[word]"))).otherwise("").alias("into"))
+        telling = saved(telling.groupBy("row").agg(F.collect_list(F.struct("term", "rank", "into")).alias("terms")))
         found = found.join(saved(_marked(holders.join(telling, "row"))), "row", "left")
-        dropped(n_entity, of_row, terms, n_term, both, telling)
+        dropped(n_entity, of_row, terms, counts, n_term, both, upward, telling)
     else:
         found = found.withColumn("told", F.lit(None).cast(_SPANS))
     spans = F.array_sort(F.concat("known", F.coalesce("told", F.expr(f"cast(array() AS {_SPANS})"))))
-    named = F.transform(spans, lambda s: F.struct(F.get(kinds, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    named = F.transform(spans, lambda s: F.struct(F.get(kinds, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["into"].alias("into")))
     return found.select("row", "doc_id", "content", named.alias("spans"))
 
 
 def replaced(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets, removed terms by nothing; spans that overlap are one place."""
+    """The text with each span replaced by its kind in brackets, terms by what they become, removed ones by nothing; spans that overlap are one place."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         gap = F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        mask = F.when(x["kind"] == "removed", "").when(x["kind"] == "generalised", "[word]").otherwise(F.concat(F.lit("["), x["kind"], F.lit("]")))
+        mask = F.coalesce(x["into"], F.concat(F.lit("["), x["kind"], F.lit("]")))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], gap, mask)).otherwise(s["out"]).alias("out"))
 
     done = F.aggregate(spans, begin, step)

@@ -145,6 +145,21 @@ def test_terms_of_an_entity_in_one_text_are_judged(spark):
     assert not any(found[k] for k in range(6, len(texts)))
 
 
+def test_terms_become_more_general_ones(spark):
+    """The longest beginning that is common enough in the corpus, checked by counting all documents."""
+    texts = [f"mail zed{k}@example.org of Hamburgerin{chr(97 + k)} from Xq" for k in range(3)] + [f"a hamster ham{'burg' * (k % 3 == 0)} and text {k} is plain" for k in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]+", t)} for t in texts]
+    for k in range(3):
+        terms = {texts[k][s.start : s.end]: (s.kind, s.into) for s in found[k] if s.kind in ("generalised", "removed")}
+        name = f"Hamburgerin{chr(97 + k)}"
+        common = [n for n in range(1, 5) if sum(any(w.startswith(name[:n].lower()) for w in own) for own in words) > len(texts) ** 0.3]
+        assert terms[name] == ("generalised", f"{name[: max(common)].lower()}*") == ("generalised", "hamb*")
+    out = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert "hamb*" in out[0] and "Hamburgerin" not in out[0] and out[5] == texts[5]
+
+
 def test_terms_are_judged_over_the_whole_document(spark):
     """Far from the entity, in each place, and of any length; not in documents without the entity."""
     gap = "a plain word " * 60
