@@ -208,6 +208,55 @@ def test_quality_tells_noise_that_no_label_covers(spark):
     assert not kept & set(range(600, 800)) and len(kept & set(range(600))) > 500 and set(range(800, 1100)) <= kept
 
 
+def test_weights_and_sample_like_brute_force(spark):
+    """Counts, ratios, passages, floors and the draw, each by plain loops over a small table; only the hash is shared."""
+    r = random.Random(11)
+    good, bad = [f"fine{chr(97 + k)}" for k in range(24)], [f"bad{chr(97 + k)}" for k in range(6)]
+    texts = [" ".join(r.choice(good) for _ in range(r.randint(0, 50))) for _ in range(90)] + [" ".join(r.choice(good + bad * 3) for _ in range(r.randint(3, 50))) for _ in range(40)]
+    texts += [texts[3]] * 5 + [None, ""]
+    rows = list(enumerate(texts))
+    labels = [(k, 1, 0) for k in range(60)] + [(k, 0, 0) for k in range(90, 110)] + [(5, 0, 0), (7, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = quality.score(docs.repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), temperature=0.5, floor_share=0.1, seed=4)
+    fine = {k: all(q == 1 and not t for i, q, t in labels if i == k) for k, _, _ in labels}
+    counted = {k for k in fine if quality._part(k) >= 0.2}
+    hasher = quality._Hasher((1, 2))
+    grams = {t: {n: [int(x) for x in g] for n, g in hasher(t).items()} for t in set(texts)}
+    ratio = {}
+    for n, prior in quality.PRIORS.items():
+        raw, target = {}, {}
+        for t in set(texts):
+            own = [fine[k] for k, x in rows if x == t and k in counted]
+            for g in grams[t][n]:
+                raw[g] = raw.get(g, 0) + 1
+                if own and all(own):
+                    target[g] = target.get(g, 0) + 1
+        share = sum(target.values()) / sum(raw.values())
+        ratio[n] = {g: math.log((target.get(g, 0) + prior * share) / (share * (raw[g] + prior))) for g in raw}
+
+    def passages(t):
+        out = []
+        for n, w in quality.WINDOWS:
+            v = [ratio[n][g] for g in grams[t][n]]
+            out.append(min(sum(v[k : k + w]) for k in range(len(v) - w + 1)) if len(v) > w else sum(v))
+        return out
+
+    weakest = {k: passages(t) for k, t in rows}
+    aside = sorted(k for k in fine if fine[k] and k not in counted)
+    floors = []
+    for j in range(len(quality.WINDOWS)):
+        v = sorted(weakest[k][j] for k in aside)
+        at = 0.1 * (len(v) - 1)
+        floors.append(v[int(at)] + (at - int(at)) * (v[min(len(v) - 1, int(at) + 1)] - v[int(at)]))
+    want = {k: min(w - f for w, f in zip(weakest[k], floors, strict=True)) for k in weakest}
+    got = {x.doc_id: x for x in scored.rows.select("*", scored.kept().alias("kept")).collect()}
+    assert all(abs(got[k].log_weight - want[k]) < 1e-4 for k in want)
+    noise = {x.doc_id: x.g for x in docs.select("doc_id", quality._gumbel(4, "doc_id", "text").alias("g")).collect()}
+    keys = sorted(((got[k].log_weight / 0.5 + noise[k], k) for k in want), reverse=True)
+    kept = {k for _, k in keys[: sum(got[k].log_weight >= 0 for k in want)]}
+    assert {k for k in got if got[k].kept} == kept and 0 < len(kept) < len(rows)
+
+
 def test_quality_takes_odd_rows(spark):
     df = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (6, 1, None), (9, 0, 0), (99, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
