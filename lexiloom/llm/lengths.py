@@ -17,7 +17,10 @@ SPAN = 512
 
 
 def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(length, n_docs) for ``docs`` (text): each encoded length that occurs. A null text has length 0."""
+    """(length, n_docs) for ``docs`` (text): each encoded length that occurs.
+
+    A null or empty text has length 0. Repeated rows count each. An empty table gives no row. Other columns are not read.
+    """
     from .encoding import WordEncoder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,10 +36,12 @@ def with_suffix_sums(hist: DataFrame) -> DataFrame:
     """The histogram with, for each length, over the documents at least as long:
 
     docs_ge, tokens_ge; over all: docs_le (rank for quantiles) and truncated_tokens, the tokens that
-    stay when each document is cut at this length. An empty histogram stays empty.
+    stay when each document is cut at this length. Documents of one length are one row of ``hist``, whose
+    lengths must differ. An empty histogram stays empty; other columns are dropped.
     """
     hist = hist.withColumn("span", F.expr(f"length div {SPAN}"))
     totals = hist.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
+    # One row for each span of lengths, as many at most as the longest document has spans: not a matter of how many documents there are.
     above = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     below = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(

@@ -17,9 +17,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, else an error: executors would not share it."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -58,6 +60,19 @@ def dropped(*tables: DataFrame) -> None:
             _written.remove(path)
 
 
+def marked() -> int:
+    """A mark for :func:`dropped_since`."""
+    return len(_written)
+
+
+def dropped_since(mark: int, *kept: DataFrame) -> None:
+    """Delete the tables saved since ``mark`` but for ``kept``, once what was made of them is written."""
+    paths = {getattr(table, "_lexiloom_path", None) for table in kept}
+    for path in [p for p in _written[mark:] if p not in paths]:
+        _delete(kept[0].sparkSession, path)
+        _written.remove(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that this process has saved. Call it once all results are written."""
     while _written:
