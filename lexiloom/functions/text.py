@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,21 +29,51 @@ def normalize_whitespace(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_text(c), _SPACE, " "))
 
 
+def _small(c: Column) -> Column:
+    """In lower case, with the letters that a pattern without regard to case takes for s, k and i as such."""
+    return F.translate(F.lower(c), "\u017f\u212a\u0131\u0130\u0307", "skii")
+
+
+def _without(c: Column, junk: Sequence[str]) -> Column:
+    """The phrases deleted one after the other, each only where the text may hold it: a pattern without regard to case is slow."""
+
+    def one(phrase: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(_small(t).contains(phrase.lower()), F.regexp_replace(t, rf"(?iuU)\b{phrase}\b", "")).otherwise(t)
+
+    out = c
+    for phrase in junk:
+        out = let(out, one(phrase))
+    return out
+
+
 def clean_text(c: Column | str, junk: Sequence[str] = rules.UI_JUNK) -> Column:
     """White space normalised, zero-width spaces and phrases of the user interface deleted."""
     out = normalize_whitespace(F.translate(_text(c), "\u00a0\u200b", " "))
-    for phrase in junk:
-        out = F.regexp_replace(out, rf"(?iuU)\b{phrase}\b", "")
-    return normalize_whitespace(out)
+    spaced = lambda t: normalize_whitespace(_without(t, junk))
+    return let(out, lambda t: F.when(holds_junk(t, junk), spaced(t)).otherwise(t)) if junk else out
+
+
+def holds_junk(c: Column, junk: Sequence[str] = rules.UI_JUNK) -> Column:
+    """Whether a text may hold one of the phrases. False only where none can match."""
+    return let(_small(c), lambda t: reduce(or_, (t.contains(p.lower()) for p in junk)))
 
 
 def sha256(c: Column | str) -> Column:
     return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
 
 
+def lexeme_count(c: Column | str) -> Column:
+    """Words and punctuation marks."""
+    return F.regexp_count(_text(c), F.lit(_LEXEME))
+
+
+def tokens_of(lexemes: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(lexemes / 0.75).cast("int"))
+
+
 def token_count(c: Column | str) -> Column:
     """Words and punctuation marks, by 4/3, rounded down; 1 at least."""
-    return F.greatest(F.lit(1), F.floor(F.regexp_count(_text(c), F.lit(_LEXEME)) / 0.75).cast("int"))
+    return tokens_of(lexeme_count(c))
 
 
 def sentences_of_clean(c: Column | str) -> Column:

@@ -1,6 +1,6 @@
 """Chunking: sentences packed greedily under a token budget, the last ones repeated in the next chunk.
 
-A fold over each text's sentences, in the JVM.
+A fold over the counts of each text's sentences, in the JVM.
 """
 
 from __future__ import annotations
@@ -20,28 +20,42 @@ def word_slices(sentence: Column, max_tokens: int = MAX_TOKENS) -> Column:
 
 
 def chunk_texts_of_clean(text: Column | str, max_tokens: int = MAX_TOKENS, overlap: int = 1) -> Column:
-    """array<string>: the chunks of a clean text. A chunk that begins with a repeated sentence may exceed the budget."""
-    counted = F.transform(T.sentences_of_clean(text), lambda s: F.struct(s.alias("s"), T.token_count(s).alias("k")))
-    strings = F.expr("cast(array() AS array<string>)")
-    zero = F.lit(0)
-    begin = F.struct(strings.alias("done"), strings.alias("open"), zero.alias("n"))
-
-    def step(st: Column, x: Column) -> Column:
-        flushed = F.when(F.size(st["open"]) > 0, F.concat(st["done"], F.array(F.array_join(st["open"], " ")))).otherwise(st["done"])
-        one = F.array(x["s"])
-        over = F.struct(F.concat(flushed, word_slices(x["s"], max_tokens)).alias("done"), strings.alias("open"), zero.alias("n"))
-        again = F.slice(st["open"], -overlap, overlap) if overlap else strings
-        again = F.when(F.size(st["open"]) <= overlap, st["open"]).otherwise(again) if overlap else again
-        carried = T.token_count(F.array_join(again, " ")) if overlap else zero
-        new = F.struct(flushed.alias("done"), F.concat(again, one).alias("open"), (carried + x["k"]).alias("n"))
-        more = F.struct(st["done"].alias("done"), F.concat(st["open"], one).alias("open"), (st["n"] + x["k"]).alias("n"))
-        full = (F.size(st["open"]) > 0) & (st["n"] + x["k"] > max_tokens)
-        return F.when(x["k"] > max_tokens, over).when(full, new).otherwise(more)
-
-    def finish(st: Column) -> Column:
-        return F.when(F.size(st["open"]) > 0, F.concat(st["done"], F.array(F.array_join(st["open"], " ")))).otherwise(st["done"])
-
-    return F.filter(F.transform(F.aggregate(counted, begin, step, finish), lambda c: T.clean_text(c)), lambda c: c != "")
+    """array<string>: the chunks of a clean text. A chunk that begins with a repeated sentence may exceed the budget.
+
+    The fold goes over the sentences' counts alone: its state is where the open chunk begins, what it holds and the
+    ends of chunks so far. A chunk's text is put together once, and cleaned again where joining may have made a phrase.
+    """
+    places = "cast(array() AS array<struct<first:int,n:int>>)"
+    place = lambda first, n: F.array(F.struct(first.cast("int").alias("first"), n.cast("int").alias("n")))
+
+    def folded(lexemes: Column) -> Column:
+        """(first sentence, number of sentences) of each chunk; 0 sentences: one beyond the budget, to be sliced."""
+        begin = F.struct(F.expr(places).alias("done"), F.lit(1).alias("at"), F.lit(1).alias("first"), F.lit(0).alias("n"))
+
+        def step(st: Column, x: Column) -> Column:
+            k, at, size = T.tokens_of(x), st["at"], st["at"] - st["first"]
+            flushed = F.when(size > 0, F.concat(st["done"], place(st["first"], size))).otherwise(st["done"])
+            state = lambda done, first, n: F.struct(done.alias("done"), (at + 1).alias("at"), first.cast("int").alias("first"), n.cast("int").alias("n"))
+            over = state(F.concat(flushed, place(at, F.lit(0))), at + 1, F.lit(0))
+            back = F.least(size, F.lit(overlap))
+            carried = F.when(back > 0, T.tokens_of(F.aggregate(F.slice(lexemes, at - back, back), F.lit(0), lambda a, b: a + b))).otherwise(0)
+            new = state(flushed, at - back, carried + k)
+            more = state(st["done"], st["first"], st["n"] + k)
+            return F.when(k > max_tokens, over).when((size > 0) & (st["n"] + k > max_tokens), new).otherwise(more)
+
+        def finish(st: Column) -> Column:
+            size = st["at"] - st["first"]
+            return F.when(size > 0, F.concat(st["done"], place(st["first"], size))).otherwise(st["done"])
+
+        return F.aggregate(lexemes, begin, step, finish)
+
+    def of(sentences: Column) -> Column:
+        found = T.let(F.transform(sentences, lambda s: T.lexeme_count(s)), folded)
+        cut = lambda p: F.when(p["n"] > 0, F.array(F.array_join(F.slice(sentences, p["first"], p["n"]), " "))).otherwise(word_slices(F.get(sentences, p["first"] - 1), max_tokens))
+        return F.flatten(F.transform(found, cut))
+
+    chunks = F.transform(T.let(T.sentences_of_clean(text), of), lambda c: F.when(T.holds_junk(c), T.clean_text(c)).otherwise(F.trim(c)))
+    return F.filter(chunks, lambda c: c != "")
 
 
 def chunk_texts(text: Column | str, max_tokens: int = MAX_TOKENS, overlap: int = 1) -> Column:
@@ -51,7 +65,8 @@ def chunk_texts(text: Column | str, max_tokens: int = MAX_TOKENS, overlap: int =
 def chunk_sections(sections: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = 1) -> DataFrame:
     """Sections within the budget as they are, others as chunks that inherit their labels."""
     text = F.coalesce(F.nullif("content_clean", F.lit("")), F.col("content"))
-    parts = F.when(F.col("token_count") > max_tokens, chunk_texts(text, max_tokens, overlap)).otherwise(F.expr("cast(array() AS array<string>)"))
+    cut = lambda t: chunk_texts_of_clean(t, max_tokens, overlap)
+    parts = F.when(F.col("token_count") > max_tokens, T.let(T.clean_text(text), cut)).otherwise(F.expr("cast(array() AS array<string>)"))
     rows = sections.withColumn("_parts", parts).select("*", F.posexplode_outer("_parts").alias("_i", "_text"))
     is_part = F.col("_text").isNotNull()
     chunk_id = T.sha256(F.lower(F.concat_ws("|", "doc_id", F.lit("chunk"), F.col("_i").cast("string"), "_text")))

@@ -12,34 +12,41 @@ from .sections import extract_links
 
 def crawl(
     spark: SparkSession, seeds: Sequence[str], fetch: Callable[[DataFrame], DataFrame], *, max_pages: int = 100,
-    domains: tuple[str, ...] | None = rules.ALLOWED_DOMAINS, path_words: tuple[str, ...] = rules.ALLOWED_PATH_WORDS, checkpoint: bool = True,
+    domains: tuple[str, ...] | None = rules.ALLOWED_DOMAINS, path_words: tuple[str, ...] = rules.ALLOWED_PATH_WORDS,
 ) -> DataFrame:
     """Pages in breadth-first order, with page_seq and depth, until nothing is new or ``max_pages`` were fetched.
 
     ``fetch`` maps (url, seq) to pages (url, html, final_url, ...) of those that could be fetched:
     the rest stay visited, and don't count. Seeds needn't be allowed. A level of the crawl is one
-    set of jobs; order within it is that of the parent pages and of links on them. Each level is cut
-    off from its lineage by ``checkpoint``, in the folder that ``spark.checkpoint.dir`` names.
+    set of jobs, or several where pages fail while few are wanted: no more addresses are fetched at once than pages
+    are still wanted. Order within a level is that of the parent pages and of links on them. Each level is cut off from
+    its lineage by a checkpoint, in the session's checkpoint folder.
     """
-    keep = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df.cache())
     frontier = spark.createDataFrame([(s, k) for k, s in enumerate(seeds)], "url string, seq long").select(U.canonicalize_url("url").alias("url"), "seq")
     frontier = _first_of_each(frontier)
     visited = frontier.select("url")
     pages, n, depth = None, 0, 0
     while True:
-        got = fetch(frontier).withColumn("depth", F.lit(depth))
-        place = F.row_number().over(Window.orderBy("seq"))  # a level holds max_pages pages at most
-        got = keep(got.orderBy("seq").limit(max_pages - n).withColumn("page_seq", F.lit(n) + place - 1))
-        n += (fresh := got.count())
-        pages = got if pages is None else pages.unionByName(got)
-        if not fresh or n >= max_pages:
+        level, last = None, -1
+        while n < max_pages:
+            some = frontier.where(F.col("seq") > last).orderBy("seq").limit(max_pages - n).checkpoint()
+            if (end := some.agg(F.max("seq")).first()[0]) is None:
+                break
+            place = F.row_number().over(Window.orderBy("seq"))  # max_pages rows at most
+            got = fetch(some).withColumn("depth", F.lit(depth)).withColumn("page_seq", F.lit(n) + place - 1).checkpoint()
+            n, last = n + got.count(), end
+            level = got if level is None else level.unionByName(got)
+        pages = level if pages is None else pages if level is None else pages.unionByName(level)
+        if pages is None:
+            return fetch(frontier.where("false")).withColumns({"depth": F.lit(depth), "page_seq": F.lit(0)}).drop("seq")
+        if level is None or level.isEmpty() or n >= max_pages:
             return pages.drop("seq")
-        at = got.withColumn("base", F.coalesce("final_url", "url")).select("html", "base", "page_seq")
+        at = level.withColumn("base", F.coalesce("final_url", "url")).select("html", "base", "page_seq")
         found = extract_links(at, "base", domains=domains, path_words=path_words)
-        order = F.row_number().over(Window.orderBy("page_seq", "link_seq"))
+        order = F.col("page_seq").cast("long") * 2**32 + F.col("link_seq")
         found = _first_of_each(found.select(U.canonicalize_url("link").alias("url"), order.alias("seq")))
-        frontier = keep(found.join(visited, "url", "left_anti"))
-        visited = keep(visited.unionByName(frontier.select("url")))
+        frontier = found.join(visited, "url", "left_anti").checkpoint()
+        visited = visited.unionByName(frontier.select("url")).checkpoint()
         depth += 1
 
 
@@ -47,13 +54,20 @@ def _first_of_each(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("url").agg(F.min("seq").alias("seq"))
 
 
-def fetch_from(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A ``fetch`` that looks addresses up in a table of pages (url, html): a crawl without a network."""
+def fetch_from(pages: DataFrame, order: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A ``fetch`` that looks addresses up in a table of pages (url, html): a crawl without a network.
+
+    Of pages whose addresses are written alike once canonical, the first by ``order`` is found, or by its own address and text.
+    """
     columns = pages.columns
     if "final_url" not in columns:
         pages = pages.withColumn("final_url", F.col("url"))
+    of_url = pages.withColumn("_key", U.canonicalize_url("url"))
+    row = F.struct(*([order] if order else []), "url", "html")
+    first = of_url.groupBy("_key").agg(F.min_by(F.struct(*pages.columns), row).alias("_page"))
+    first = first.select(F.col("_key").alias("url"), *(F.col("_page")[c].alias(c) for c in pages.columns if c != "url"))
 
     def fetch(frontier: DataFrame) -> DataFrame:
-        return frontier.join(pages.withColumn("url", U.canonicalize_url("url")).dropDuplicates(["url"]), "url")
+        return frontier.join(first, "url")
 
     return fetch

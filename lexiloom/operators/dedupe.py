@@ -10,23 +10,21 @@ from ..functions import text as T
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each group.
-
-    The whole rows of a group meet in one task only to be sorted; where groups are large and rows
-    wide, :func:`keep_first_slim` sends the keys alone.
-    """
+    """The first row of each group, by a window: for groups that are small by their nature, and any order."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
 def keep_first_slim(df: DataFrame, keys: Sequence[Column], order: Sequence[str]) -> DataFrame:
-    """As :func:`keep_first`, by a partial aggregate: a group of any size is one row for each map task.
+    """As :func:`keep_first`, by a partial aggregate: ``df`` is read once, and a group of any size is one row for each map task.
 
-    ``order`` must tell rows apart.
+    ``order`` are columns, ascending, null first, that tell rows apart.
     """
     key = F.struct(*(k.alias(f"k{n}") for n, k in enumerate(keys)))
-    first = df.groupBy(key.alias("_key")).agg(F.min(F.struct(*order)).alias("_first")).select(F.col("_first").alias("_order"))
-    rows = df.withColumn("_order", F.struct(*order))
-    return rows.join(first, "_order", "left_semi").drop("_order")
+    rest = [c for c in df.columns if c not in order]
+    # The least struct has the least order; what follows in it only travels along.
+    row = F.struct(*(F.col(c) for c in order), F.struct(*rest).alias("_rest")) if rest else F.struct(*order)
+    first = df.groupBy(key.alias("_key")).agg(F.min_by(row, F.struct(*order)).alias("_first"))
+    return first.select(*((F.col("_first")[c] if c in order else F.col("_first")["_rest"][c]).alias(c) for c in df.columns))
 
 
 def content_fingerprint(content: Column | str) -> Column:
@@ -42,23 +40,22 @@ def dedupe_sections(sections: DataFrame, order: Sequence[str] = ("page_seq", "se
     """
     near = content_fingerprint("content")
     if contiguous:
-        return keep_first(sections, [F.col("url"), near], order)
+        return keep_first_slim(sections, [F.col("url"), near], order)
     key = T.sha256(F.lower(F.concat_ws("|", "url", "section_title", F.coalesce(F.nullif("content_clean", F.lit("")), "content"))))
-    slim = sections.select(near.alias("near"), F.struct(*order, F.col("url").alias("url"), key.alias("key")).alias("x"))
-    begin = F.struct(F.lit("").alias("url"), F.expr("cast(array() AS array<string>)").alias("keys"), F.lit(False).alias("any"))
-
-    def state(upto: Column, rows: Column) -> Column:
-        def step(s: Column, x: Column) -> Column:
-            drop = F.array_contains(s["keys"], x["key"]) | (s["any"] & (s["url"] == x["url"]))
-            kept = F.struct(x["url"].alias("url"), F.concat(s["keys"], F.array(x["key"])).alias("keys"), F.lit(True).alias("any"))
-            return F.when(drop, s).otherwise(kept)
+    place = F.struct(*order)
+    slim = sections.select(near.alias("near"), F.struct(place.alias("place"), F.col("url").alias("url"), key.alias("key")).alias("x"))
+    kind = slim.schema["x"].dataType["place"].dataType.simpleString()
+    begin = F.struct(F.lit("").alias("url"), F.expr("cast(array() AS array<string>)").alias("keys"), F.expr(f"cast(array() AS array<{kind}>)").alias("kept"))
 
-        return F.aggregate(F.slice(rows, 1, upto), begin, step)
+    def step(s: Column, x: Column) -> Column:
+        drop = F.array_contains(s["keys"], x["key"]) | ((F.size(s["keys"]) > 0) & (s["url"] == x["url"]))
+        kept = F.struct(x["url"].alias("url"), F.concat(s["keys"], F.array(x["key"])).alias("keys"), F.concat(s["kept"], F.array(x["place"])).alias("kept"))
+        return F.when(drop, s).otherwise(kept)
 
+    # Keys and places of the sections with one content, in one row: not their texts.
     groups = slim.groupBy("near").agg(F.array_sort(F.collect_list("x")).alias("rows"))
-    kept = F.filter(F.transform("rows", lambda x, i: F.struct(x.alias("x"), (F.size(state(i + 1, F.col("rows"))["keys"]) > F.size(state(i, F.col("rows"))["keys"])).alias("new"))), lambda y: y["new"])
-    places = groups.select(F.explode(kept).alias("k")).select(F.struct(*(F.col(f"k.x.{c}") for c in order)).alias("_order"))
-    return sections.withColumn("_order", F.struct(*order)).join(places, "_order", "left_semi").drop("_order")
+    places = groups.select(F.explode(F.aggregate("rows", begin, step)["kept"]).alias("_order"))
+    return sections.withColumn("_order", place).join(places, "_order", "left_semi").drop("_order")
 
 
 def with_duplicate_of(sections: DataFrame, order: Sequence[str] = ("page_seq", "section_seq")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules, text as T
 from .models import EMBEDDING_PREFIX, Embedder, HashedWords
@@ -56,12 +56,12 @@ def build_index(chunks: DataFrame, model: Callable[[], Embedder] = HashedWords)
 
 
 def upsert(index: DataFrame, records: DataFrame, version: str | None = None) -> DataFrame:
-    """The index with ``records`` put in by id; of several records with one id the last by ``version`` wins.
+    """The index with ``records`` put in by id; of several records with one id the last wins.
 
-    Old records are passed by an anti-join, so only new ones are sorted.
+    The last is that of the largest ``version``, or, without such a column, that which comes last in ``records``. Old
+    records are passed by an anti-join; of new ones a group is one row for each map task.
     """
-    if version:
-        records = records.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(version)))).where("_nth = 1").drop("_nth", version)
-    else:
-        records = records.dropDuplicates(["id"])
-    return index.join(records.select("id"), "id", "left_anti").unionByName(records)
+    last = records.withColumn("_at", F.monotonically_increasing_id() if version is None else F.col(version))
+    columns = [c for c in records.columns if c != version]
+    last = last.groupBy("id").agg(F.max_by(F.struct(*columns), "_at").alias("_last")).select(*(F.col("_last")[c].alias(c) for c in columns))
+    return index.join(last.select("id"), "id", "left_anti").unionByName(last)

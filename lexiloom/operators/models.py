@@ -60,7 +60,7 @@ class FirstSource:
     def generate(self, system: list[str], prompts: list[str]) -> list[str]:
         out = []
         for prompt in prompts:
-            block = prompt.partition("[Source 1]")[2].partition("[Source 2]")[0].partition("USER QUESTION:")[0].strip()
+            block = prompt.partition("[Source 1]")[2].partition("[Source 2]")[0].partition("\n\nQuestion: ")[0].strip()
             body = block.partition("Content type:")[2].partition("\n")[2].strip() or block
             out.append(f"{re.split(r'(?<=[.!?])\s', body)[0]} [Source 1]")
         return out

@@ -27,33 +27,40 @@ def metadata_filter(**wanted: str | None) -> Column:
     return out
 
 
+def _sound_units(vectors: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, rows of unit length) of the vectors with ``dims`` finite components, not all zero; scaled first, so none over- or underflows."""
+    none = [np.nan] * dims
+    v = np.array([x if x is not None and len(x) == dims else none for x in vectors], np.float64).reshape(len(vectors), dims)
+    most = np.abs(v).max(axis=1, initial=0)
+    live = np.flatnonzero(np.isfinite(most) & (most > 0))
+    v = v[live] / most[live, None]
+    return live, v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def topk_cosine(index: DataFrame, queries: DataFrame, k: int, *, id: str = "id", vector: str = "embedding", query_id: str = "query_id", exclude_same: bool = False) -> DataFrame:
     """(query_id, id, score, rank): for each query the k nearest by cosine, exactly; ties by id.
 
     ``queries`` (query_id, embedding) are asked in blocks of a fixed size, each sent to all tasks.
     A task scores what it scans by matrix products and passes k rows for each query, so the shuffle
     is k rows a query and task and the index is never moved; each block is one more scan. Filter ``index`` first to search a part.
-    Vectors that are null or zero are nobody's neighbours.
+    Vectors that are null or zero, hold null or non-finite components or have another length are nobody's neighbours.
     """
     rows = queries.select(query_id, "embedding").where("embedding IS NOT NULL").toLocalIterator()
     kinds = index.schema[id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     found, block = None, []
 
     def ask(block: list) -> DataFrame:
-        vectors = np.array([r[1] for r in block], np.float64)
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        sent = index.sparkSession.sparkContext.broadcast(([r[0] for r in block], vectors / np.where(norms == 0, 1, norms), (norms > 0).ravel()))
+        live, units = _sound_units([r[1] for r in block], len(block[0][1]))
+        sent = index.sparkSession.sparkContext.broadcast(([block[at][0] for at in live], units))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q, sound = sent.value
+            names, q = sent.value
             best: list[list[tuple[float, object]]] = [[] for _ in names]
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                v = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-                n = np.linalg.norm(v, axis=1)
-                live = np.flatnonzero(n > 0)
-                scores = q @ (v[live] / n[live, None]).T if len(live) else np.zeros((len(names), 0))
-                for j in np.flatnonzero(sound):
+                live, units = _sound_units(batch.column(1).to_pylist(), q.shape[1])
+                scores = q @ units.T
+                for j in range(len(names)):
                     own = scores[j]
                     room = k + exclude_same
                     least = np.partition(own, -room)[-room] if len(own) > room else -np.inf

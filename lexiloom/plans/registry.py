@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,6 +25,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _checkpointed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, once the session has a checkpoint folder: that of ``spark.checkpoint.dir``, in local mode a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return _read(spark, sf_dir, name)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents")
 
@@ -200,9 +212,9 @@ def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of the pages from the first one, links of any site: those that the table holds are found."""
-    pages = _read(spark, sf_dir, "pages")
+    pages = _checkpointed(spark, sf_dir, "pages")
     seeds = [r.url for r in pages.orderBy("page_id").select("url").limit(4).collect()]
-    return crawl.crawl(spark, seeds, crawl.fetch_from(pages), domains=None, checkpoint=bool(spark.sparkContext.getCheckpointDir())).select("page_id", "page_seq", "depth")
+    return crawl.crawl(spark, seeds, crawl.fetch_from(pages, "page_id"), domains=None).select("page_id", "page_seq", "depth")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
