@@ -118,6 +118,8 @@ _DATES = rules.DATE_PATTERN
 _BLOCK = """'[Source ' || rank || ']' || chr(10) || 'URL: Unknown URL' || chr(10) || 'Page title: ' || coalesce(d.source, 'Unknown page') || chr(10)
   || 'Section title: ' || coalesce(d.lang, 'Unknown section') || chr(10) || 'Content type: ' || h.label || chr(10) || chr(10) || coalesce(d.text, '')"""
 
+_NAMED = "['Machine Learning II', 'Machine Learning I', 'Time Series Analysis and Forecasting', 'Python for Data Science', 'Data Visualization Techniques']"
+
 ORACLES: dict[str, str] = {
     "token_stats_by_lang": f"{_DOCS} SELECT lang, count(*) AS n_docs, sum({tokens('body')})::BIGINT AS n_tokens, max({tokens('body')}) AS max_tokens, round(avg({tokens('body')}), 6) AS mean_tokens FROM d GROUP BY lang",
     "clean_text": f"{_DOCS} SELECT doc_id, body AS content_clean FROM d",
@@ -147,8 +149,30 @@ ORACLES: dict[str, str] = {
     "rule_classifier_generic": "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'legal' WHEN contains(lower(text), '***') OR contains(lower(text), ' | ') THEN 'noise' "
     "WHEN contains(lower(text), 'trash') OR contains(lower(text), 'stupid') THEN 'abuse' ELSE 'prose' END AS kind FROM documents",
     "url_normalize": f"SELECT page_id, {_URL} AS url FROM pages",
-    "url_allowed": "WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host, lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) AS path FROM pages) "
-    "SELECT page_id, host LIKE '%.example.com' AND (contains(path, '/fr/') OR contains(path, '/en/')) AS allowed FROM p",
+    "url_allowed": "WITH p AS (SELECT page_id, replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), 'www.', '') AS host, lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) AS path FROM pages) "
+    "SELECT page_id, host IN ('blog.tionsh.example.net', 'thther.example.org', 'cheap-pills.example.com') AND (contains(path, '/fr/') OR contains(path, '/en/') OR contains(path, '/buy')) AS allowed FROM p",
+    "crawl_tree": "SELECT s_suppkey AS page_id, s_suppkey AS page_seq, floor(log2(s_suppkey + 1))::INT AS depth FROM supplier",
+    "entities_titlecase": f"WITH f AS (SELECT doc_id, regexp_extract_all(text, {lit(rules.TITLECASE_PATTERN)}) AS found FROM documents) SELECT doc_id, array_to_string({ordered_distinct('found')}[1:25], '|') AS entities FROM f WHERE len(found) > 0",
+    "entities_course": _found(rf"\b(?:{'|'.join(rules.COURSE_NAMES)})\b", "course_names"),
+    "dates_and_sums": "SELECT o_orderkey, strftime(o_orderdate, '%B %-d, %Y') || '|' || strftime(o_orderdate, '%-m/%-d/%Y') || '|AUTUMN ' || strftime(o_orderdate, '%Y') AS dates, format('${:,.2f}', o_totalprice) || '|$ 5' AS sums FROM orders",
+    "courses_named": f"WITH n AS (SELECT p_partkey, {_NAMED}[p_partkey % 5 + 1] AS a, {_NAMED}[(2 * p_partkey + 1) % 5 + 1] AS b FROM part) SELECT p_partkey, CASE WHEN a = b THEN a ELSE a || '|' || b END AS courses FROM n",
+    "faq_pages": f"WITH q AS (SELECT item_id AS page_seq, 'What does item ' || item_id || ' of the set say?' AS question, {clean('text')} AS answer FROM benchmark WHERE length({clean('text')}) >= 25), "
+    f"k AS (SELECT *, {table("lower(question || ' ' || answer)", rules.FAQ_CATEGORIES, 'General')} AS faq_category FROM q) "
+    "SELECT page_seq, question, sha256(answer) AS answer_hash, faq_category, sha256('Question: ' || question || chr(10) || 'Answer: ' || answer) AS content_hash, 'FAQs|' || faq_category || '|' || question AS path, 95 AS retrieval_priority FROM k",
+    "course_pages": """WITH c AS (
+  SELECT p_partkey AS page_seq, 'Machine Learning for a ' || p_name AS course_name, 'core' AS course_type, p_brand || ' of the kind ' || p_type || ' in size ' || p_size || ' and more' AS body, 'Core Courses' AS above FROM part
+  UNION ALL SELECT p_partkey, 'Bayesian ' || p_name, 'elective', p_type, 'Elective Courses' FROM part)
+SELECT page_seq, course_name, course_type, 'Course: ' || course_name || chr(10) || 'Course type: ' || course_type || chr(10) || chr(10) || CASE WHEN length(body) >= 40 THEN body ELSE course_name END AS content,
+  'Courses|' || above || '|' || course_name AS path, 3 AS heading_level FROM c""",
+    "faculty_pages": """WITH s AS (SELECT s_suppkey AS page_seq, 'Ada ' || s_name AS faculty_name, CASE s_suppkey % 3 WHEN 0 THEN 'Professor' WHEN 1 THEN 'Senior Lecturer' ELSE '' END AS academic_title,
+  CASE s_suppkey % 3 WHEN 0 THEN 'Head of Data' WHEN 1 THEN '' ELSE 'Manager of things' END AS industry_role, 'Lives in nation ' || s_nationkey || ' and has written of many things there.' AS bio FROM supplier)
+SELECT page_seq, faculty_name, academic_title, industry_role, 'Faculty: ' || faculty_name || chr(10) || CASE WHEN academic_title <> '' THEN 'Academic role: ' || academic_title || chr(10) ELSE '' END
+  || CASE WHEN industry_role <> '' THEN 'Industry role: ' || industry_role || chr(10) ELSE '' END || bio AS content FROM s""",
+    "eval_answer_scores": f"""{_HITS}, r AS (SELECT query_id, avg(score) AS retrieval FROM h WHERE rank <= 5 GROUP BY query_id),
+t AS (SELECT conv_id AS query_id, max(CASE WHEN turn = 0 THEN text END) AS expected, max(CASE WHEN turn = 1 THEN text END) AS answer FROM conversations WHERE turn <= 1 GROUP BY conv_id),
+w AS (SELECT *, list_filter(string_split_regex(lower(expected), '\\s+'), lambda x: x <> '') AS words FROM t WHERE expected IS NOT NULL AND answer IS NOT NULL),
+c AS (SELECT w.query_id, len(list_filter(words, lambda x: contains(lower(answer), x))) / len(words) AS correctness, CASE WHEN contains(answer, '[Source') THEN 1.0 ELSE 0.0 END::DOUBLE AS groundedness, coalesce(retrieval, 0.0) AS retrieval FROM w LEFT JOIN r USING (query_id) WHERE len(words) > 0)
+SELECT query_id, round(correctness, 6) AS correctness, groundedness, round(retrieval, 6) AS retrieval, round(0.5 * correctness + 0.2 * groundedness + 0.3 * retrieval, 6) AS final_score FROM c""",
     "links": """WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages),
 l AS (SELECT page_id, rtrim(site || replace(unnest(hrefs), '&amp;', '&'), '/') AS link FROM p) SELECT DISTINCT page_id, link FROM l""",
     "page_title": f"{_PAGE} SELECT page_id, title AS page_title FROM p",

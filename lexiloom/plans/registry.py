@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify as C, html as H, text as T, urls as U
-from ..operators import chunk, crawl, dedupe, evaluate, generate, index, models, retrieve, sections
+from ..operators import chunk, crawl, dedupe, evaluate, generate, index, retrieve, sections
 from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,31 @@ for _name, _column, _make in (
     )
 
 
+@_query
+def dates_and_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and amounts in sentences about the orders."""
+    day, total = F.col("o_orderdate"), F.format_number("o_totalprice", 2)
+    said = F.concat(
+        F.lit("Placed on "), F.date_format(day, "MMMM d, yyyy"), F.lit(" ("), F.date_format(day, "M/d/yyyy"), F.lit("), again "), F.date_format(day, "M/d/yyyy"),
+        F.lit(", for AUTUMN "), F.date_format(day, "yyyy"), F.lit(": it cost $"), total, F.lit(", not $ 5."),
+    )
+    text = _read(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
+    return text.select("o_orderkey", F.array_join(T.dates("said"), "|").alias("dates"), F.array_join(T.money("said"), "|").alias("sums"))
+
+
+#: Courses that sentences about the parts name.
+_COURSES = ("Machine Learning II", "Machine Learning I", "Time Series Analysis and Forecasting", "Python for Data Science", "Data Visualization Techniques")
+
+
+@_query
+def courses_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses in sentences about the parts."""
+    named = lambda k: F.element_at(F.array(*map(F.lit, _COURSES)), (k % len(_COURSES) + 1).cast("int"))
+    key = F.col("p_partkey")
+    said = F.concat("p_name", F.lit(": "), named(key), F.lit(", then "), named(key * 2 + 1), F.lit(" or python for data science."))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(T.course_names(said), "|").alias("courses"))
+
+
 @_query
 def keywords_top18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.keyword_rows(_docs(spark, sf_dir), "doc_id", "text")
@@ -91,8 +117,8 @@ def _as_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def dedupe_within_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim = _docs(spark, sf_dir).select("doc_id", "source", dedupe.content_fingerprint("text").alias("fingerprint"))
-    return dedupe.keep_first_slim(slim, [F.col("source"), F.col("fingerprint")], ["doc_id"]).select("doc_id", "source")
+    slim = _as_sections(spark, sf_dir).select("doc_id", "url", "content", "page_seq", "section_seq")
+    return dedupe.dedupe_sections(slim).select("doc_id", F.col("url").alias("source"))
 
 
 @_query
@@ -102,28 +128,27 @@ def duplicate_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = _as_sections(spark, sf_dir).select("doc_id", F.col("content_clean").alias("body"))
-    whole = T.token_count("body") <= chunk.MAX_TOKENS
-    parts = F.when(whole, F.array("body")).otherwise(chunk.chunk_texts_of_clean("body"))
-    parts = body.select("doc_id", parts.alias("parts"))
-    return parts.select("doc_id", F.size("parts").alias("chunk_count"), F.posexplode("parts").alias("chunk_index", "content"))
+    """Clean documents as sections of their own, chunked: page_seq is the document."""
+    body = _as_sections(spark, sf_dir).select("page_seq", "section_seq", F.col("content_clean").alias("content"), "content_clean")
+    whole = {"chunk_id": F.lit(None).cast("string"), "chunk_index": F.lit(0), "chunk_count": F.lit(1)}
+    body = body.withColumns({"doc_id": F.col("page_seq").cast("string"), "token_count": T.token_count("content"), **whole})
+    return chunk.chunk_sections(body)
 
 
 @_query
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("doc_id", "chunk_index", "chunk_count", T.token_count("content").alias("token_count"), T.sha256("content").alias("hash"))
+    return _chunks(spark, sf_dir).select(F.col("page_seq").alias("doc_id"), "chunk_index", "chunk_count", "token_count", T.sha256("content").alias("hash"))
 
 
 @_query
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = _chunks(spark, sf_dir).select((F.col("chunk_count") > 1).alias("is_chunk"), T.token_count("content").alias("k"))
+    counted = _chunks(spark, sf_dir).select((F.col("chunk_count") > 1).alias("is_chunk"), F.col("token_count").alias("k"))
     return counted.groupBy("is_chunk").agg(F.count("*").alias("n"), F.sum("k").alias("n_tokens"), F.max("k").alias("max_tokens"))
 
 
 @_query
 def chunk_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = _chunks(spark, sf_dir).select("doc_id", "chunk_index", T.sha256(F.lower("content")).alias("fingerprint"))
-    return dedupe.keep_first_slim(marked, [F.col("fingerprint")], ["doc_id", "chunk_index"]).select("doc_id", "chunk_index")
+    return dedupe.dedupe_chunks(_chunks(spark, sf_dir)).select(F.col("page_seq").alias("doc_id"), "chunk_index")
 
 
 @_query
@@ -166,10 +191,8 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def url_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
-    host = F.lower(F.regexp_extract("url", "^https?://([^/?#]*)", 1))
-    path = F.lower(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1))
-    return pages.select("page_id", (host.like("%.example.com") & C.has_any(path, ("/fr/", "/en/"))).alias("allowed"))
+    allowed = U.is_allowed_url("url", ("blog.tionsh.example.net", "WWW.thther.example.org", "cheap-pills.example.com"), ("/FR/", "/en/", "/buy"))
+    return _read(spark, sf_dir, "pages").select("page_id", allowed.alias("allowed"))
 
 
 @_query
@@ -199,6 +222,44 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def faq_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about the benchmark, one a page, answered in each of the layouts in turn; and a call to act, which isn't one."""
+    key, text = F.col("item_id"), F.col("text")
+    asked = F.concat(F.lit("What does item "), key.cast("string"), F.lit(" of the set say?"))
+    layouts = ("<dl><dt>{q}</dt><dd>{a}</dd></dl>", "<details><summary>{q}</summary><p>{a}</p></details>", "<h3>{q}</h3><p>{a}</p><h3>Next</h3>", "<div><button aria-controls='p'>{q}</button><i>x</i><p id='p'>{a}</p></div>")
+    pieces = [F.concat(*(asked if x == "q" else text if x == "a" else F.lit(x) for x in re.split("[{}]", one))) for one in layouts]
+    body = F.element_at(F.array(*pieces), (key % len(layouts) + 1).cast("int"))
+    html = F.concat(F.lit("<h1>All about it</h1><nav><dt>Is this navigation, or is it not?</dt></nav>"), body, F.lit("<h4>Are you ready to apply to it today?</h4><p>Start my app and see what it says to you.</p>"))
+    pages = _read(spark, sf_dir, "benchmark").select(key.alias("page_seq"), F.concat(F.lit("https://x.example/faqs/"), key.cast("string")).alias("url"), html.alias("html"))
+    return sections.read_sections(pages).select("page_seq", "question", T.sha256("answer").alias("answer_hash"), "faq_category", T.sha256("content").alias("content_hash"), F.array_join("heading_path", "|").alias("path"), "retrieval_priority")
+
+
+@_query
+def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two courses a page, made of the parts, under headings of their kinds."""
+    c = F.col
+    html = F.concat(
+        F.lit("<h1>Courses</h1><h2>Core Courses</h2><h3>Machine Learning for a "), c("p_name"), F.lit("</h3><p>"), c("p_brand"), F.lit(" of the kind "), c("p_type"), F.lit(" in size "), c("p_size").cast("string"),
+        F.lit(" and more</p><h2>Elective Courses</h2><h3>Bayesian "), c("p_name"), F.lit("</h3><p>"), c("p_type"), F.lit("</p><h3>Program overview: machine learning</h3><p>none</p>"),
+    )
+    pages = _read(spark, sf_dir, "part").select(c("p_partkey").alias("page_seq"), F.concat(F.lit("https://x.example/course-progressions/"), c("p_partkey").cast("string")).alias("url"), html.alias("html"))
+    return sections.read_sections(pages).select("page_seq", "course_name", "course_type", "content", F.array_join("heading_path", "|").alias("path"), "heading_level")
+
+
+@_query
+def faculty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People made of the suppliers, on cards or under headings."""
+    key = F.col("s_suppkey")
+    name, role = F.concat(F.lit("Ada "), F.col("s_name")), F.element_at(F.array(F.lit("Professor; Head of Data"), F.lit("Senior Lecturer"), F.lit("Manager of things")), (key % 3 + 1).cast("int"))
+    bio = F.concat(F.lit("Lives in nation "), F.col("s_nationkey").cast("string"), F.lit(" and has written of many things there."))
+    paragraphs = F.concat(F.lit("<p>"), role, F.lit("</p><p>"), bio, F.lit("</p>"))
+    card = F.concat(F.lit("<div class='people-grid__item x'><h3>"), name, F.lit("</h3>"), paragraphs, F.lit("</div><div class='people-grid__item'><h3>Our staff</h3></div>"))
+    html = F.concat(F.lit("<h1>People</h1>"), F.when(key % 2 == 0, card).otherwise(F.concat(F.lit("<h2>"), name, F.lit("</h2>"), paragraphs)))
+    pages = _read(spark, sf_dir, "supplier").select(key.alias("page_seq"), F.concat(F.lit("https://x.example/instructors-staff/"), key.cast("string")).alias("url"), html.alias("html"))
+    return sections.read_sections(pages).select("page_seq", "faculty_name", "academic_title", "industry_role", "content")
+
+
 @_query
 def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ingest plan over the pages: distinct, labelled chunks."""
@@ -217,6 +278,18 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl(spark, seeds, crawl.fetch_from(pages, "page_id"), domains=None).select("page_id", "page_seq", "depth")
 
 
+@_query
+def crawl_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of a site made of the suppliers: each page links to two more, back, off the site and to a file."""
+    key, at = F.col("s_suppkey"), lambda k: F.concat(F.lit('<a href="/n/'), k.cast("string"), F.lit('?utm_source=x#top">next</a>'))
+    away = F.lit('<a href="http://other.example/n/1">away</a><a href="/n/file.PDF">file</a><a href="mailto:a@b.c">mail</a>')
+    made = _checkpointed(spark, sf_dir, "supplier").select(
+        key.alias("page_id"), F.concat(F.lit("https://site.example/n/"), key.cast("string")).alias("url"), F.concat(at(key / 2), at(2 * key + 1), away, at(2 * key + 2), at(2 * key + 1)).alias("html")
+    )
+    found = crawl.crawl(spark, ["https://site.example/n/0/"], crawl.fetch_from(made), max_pages=10**6, domains=("site.example",), path_words=("/n/",))
+    return found.select("page_id", F.col("page_seq").cast("long").alias("page_seq"), "depth")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
 
@@ -339,6 +412,17 @@ def eval_turn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("conv_id").alias("query_id"), "turn", F.round(right, 9).alias("correctness"), grounded.alias("groundedness"), F.round(evaluate.final_score(right, grounded, F.lit(0.0)), 9).alias("final_score"))
 
 
+@_query
+def eval_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two turns of conversations as expectation and answer; the hits of the vector of that number, if asked for, as what was retrieved."""
+    turns = _read(spark, sf_dir, "conversations").where("turn <= 1")
+    pairs = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("expected"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("answer"))
+    pairs = pairs.where("expected IS NOT NULL AND answer IS NOT NULL AND trim(expected) <> ''")
+    hits = _hits(spark, sf_dir, 5).groupBy("query_id").agg(F.collect_list(F.struct(F.lit(None).cast("double").alias("rerank_score"), "score")).alias("retrieved"))
+    scored = evaluate.score_answers(pairs.select("query_id", "answer").join(hits, "query_id", "left"), pairs.select("query_id", "expected"))
+    return scored.select("query_id", *(F.round(c, 6).alias(c) for c in ("correctness", "groundedness", "retrieval", "final_score")))
+
+
 @_query
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents embedded by the substitute model."""
@@ -355,7 +439,3 @@ def answer_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     out = ask(records, questions)
     return out.select("query_id", "answer", F.size("sources").alias("n_sources"), F.size("retrieved").alias("n_retrieved"), F.round(evaluate.retrieval_score("retrieved"), 6).alias("retrieval"))
-
-
-#: Substitutes that models can be replaced by; kept here so that callers find them in one place.
-SUBSTITUTES = {"embedder": models.HashedWords, "scorer": models.SharedWords, "generator": models.FirstSource}

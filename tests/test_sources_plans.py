@@ -98,7 +98,7 @@ def canon(df):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark", "labels", "supplier", "part", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     return con
 
