@@ -52,29 +52,49 @@ def tag_list(blob: str, *tables: dict[str, tuple[str, ...]]) -> str:
 _DOCS = f"WITH d AS (SELECT *, {clean('text')} AS body FROM documents)"
 _SENT = f"{_DOCS}, s AS (SELECT *, {sentences('body')} AS sents FROM d)"
 
-_BODY, _BOTH = "lower(body[1:2500])", "lower(source || ' ' || lang || ' ') || ' ' || lower(body[1:2500])"
-_COURSE = f"(contains({_BODY}, 'course:') OR {any_of('lower(lang)', rules.COURSE_SUBJECTS)})"
-_CONTENT_TYPE = f"""CASE
-  WHEN starts_with({_BODY}, 'question:') OR starts_with({_BODY}, 'q:') THEN 'faq'
-  WHEN {any_of(_BOTH, ('tuition', 'financial aid', 'fees'))} OR regexp_matches({_BOTH}, '\\$\\s?[0-9]') THEN 'tuition'
-  WHEN {any_of(_BOTH, ('deadline', 'application round', 'apply by'))} THEN 'deadline'
-  WHEN contains({_BOTH}, 'stem') AND contains({_BOTH}, 'opt') THEN 'stem_opt'
-  WHEN {any_of(_BOTH, ('visa', 'toefl', 'ielts', 'cpt', 'international student'))} THEN 'visa'
-  WHEN contains({_BOTH}, 'capstone') THEN 'capstone'
-  WHEN {_COURSE} AND {any_of(_BOTH, rules.COURSE_SUBJECTS)} THEN 'course'
-  WHEN {_COURSE} THEN 'curriculum'
-  {" ".join(f"WHEN {any_of(_BOTH, w)} THEN {lit(k)}" for k, w in rules.LATE_CONTENT_TYPES.items())}
-  WHEN length({_BODY}) > 250 THEN 'overview' ELSE 'unknown' END"""
-_SHORT = "lower(source || ' ' || lang || '  ' || body[1:1200])"
-_PROGRAM_TYPE = f"""CASE WHEN {any_of(_SHORT, rules.PROGRAM_TAGS['mba_ms'])} THEN 'mba_ms' WHEN {any_of(_SHORT, rules.PROGRAM_TAGS['thesis_track'])} THEN 'thesis_track'
-  WHEN contains({_SHORT}, 'online') AND NOT {any_of(_SHORT, rules.IN_PERSON)} THEN 'online'
-  WHEN {any_of(_SHORT, rules.IN_PERSON)} AND NOT contains({_SHORT}, 'online') THEN 'in_person' ELSE 'general' END"""
-_FALLBACK = f"""CASE WHEN kind <> 'unknown' THEN kind WHEN {any_of(_SHORT, ('/events/', 'q&a', 'admission', 'apply'))} THEN 'admissions'
-  WHEN contains({_SHORT}, '/news/') AND {any_of(_SHORT, ('staff', 'student', 'alumni', 'speaker'))} THEN 'career'
-  WHEN {any_of(_SHORT, ('speaker', 'current masters', 'enrollment management'))} THEN 'admissions'
-  WHEN {any_of(_SHORT, ('faculty', 'instructor', 'staff'))} THEN 'faculty' ELSE 'overview' END"""
-
-_FOLD = f"""WITH RECURSIVE d AS (SELECT doc_id, {clean('text')} AS body FROM documents),
+
+def _content_type(page_title: str, section_title: str, url: str) -> str:
+    """The type of ``body`` by rules, those for the address included."""
+    body = "lower(body[1:2500])"
+    both, link = f"lower({page_title} || ' ' || {section_title} || ' ' || {url}) || ' ' || {body}", f"lower({url})"
+    course = f"(contains({body}, 'course:') OR contains({link}, 'course-progressions') OR {any_of(f'lower({section_title})', rules.COURSE_SUBJECTS)})"
+    return f"""CASE
+  WHEN contains({link}, '/faqs') OR starts_with({body}, 'question:') OR starts_with({body}, 'q:') THEN 'faq'
+  WHEN {any_of(both, ('tuition', 'financial aid', 'fees'))} OR regexp_matches({both}, '\\$\\s?[0-9]') THEN 'tuition'
+  WHEN {any_of(both, ('deadline', 'application round', 'apply by'))} THEN 'deadline'
+  WHEN contains({both}, 'stem') AND contains({both}, 'opt') THEN 'stem_opt'
+  WHEN {any_of(both, ('visa', 'toefl', 'ielts', 'cpt', 'international student'))} THEN 'visa'
+  WHEN contains({both}, 'capstone') THEN 'capstone'
+  WHEN {course} AND {any_of(both, rules.COURSE_SUBJECTS)} THEN 'course'
+  WHEN {course} THEN 'curriculum'
+  {" ".join(f"WHEN {any_of(both, w)} THEN {lit(k)}" for k, w in rules.LATE_CONTENT_TYPES.items())}
+  WHEN length({body}) > 250 THEN 'overview' ELSE 'unknown' END"""
+
+
+def _program_type(heads: str) -> str:
+    short = f"lower({heads} || ' ' || body[1:1200])"
+    return f"""CASE WHEN {any_of(short, rules.PROGRAM_TAGS['mba_ms'])} THEN 'mba_ms' WHEN {any_of(short, rules.PROGRAM_TAGS['thesis_track'])} THEN 'thesis_track'
+  WHEN contains({short}, 'online') AND NOT {any_of(short, rules.IN_PERSON)} THEN 'online'
+  WHEN {any_of(short, rules.IN_PERSON)} AND NOT contains({short}, 'online') THEN 'in_person' ELSE 'general' END"""
+
+
+def _fallback(heads: str) -> str:
+    short = f"lower({heads} || ' ' || body[1:1200])"
+    return f"""CASE WHEN kind <> 'unknown' THEN kind WHEN {any_of(short, ('/events/', 'q&a', 'admission', 'apply'))} THEN 'admissions'
+  WHEN contains({short}, '/news/') AND {any_of(short, ('staff', 'student', 'alumni', 'speaker'))} THEN 'career'
+  WHEN {any_of(short, ('speaker', 'current masters', 'enrollment management'))} THEN 'admissions'
+  WHEN {any_of(short, ('faculty', 'instructor', 'staff'))} THEN 'faculty' ELSE 'overview' END"""
+
+
+_CONTENT_TYPE, _PROGRAM_TYPE, _FALLBACK = _content_type("source", "lang", "''"), _program_type("source || ' ' || lang || ' '"), _fallback("source || ' ' || lang || ' '")
+
+
+def _fold(before: str, texts: str) -> str:
+    """The chunks c (doc_id, chunk_index, chunk_count, content) of ``texts``, a table expression with doc_id and body."""
+    return _FOLD.replace("@BEFORE@", before).replace("@TEXTS@", texts)
+
+
+_FOLD = f"""WITH RECURSIVE @BEFORE@ d AS (@TEXTS@),
 s0 AS (SELECT doc_id, body, {sentences('body')} AS ss, {tokens('body')} AS total FROM d),
 s AS (SELECT *, list_transform(ss, lambda x: {tokens('x')}) AS ks FROM s0 WHERE total > 690),
 f AS (
@@ -91,12 +111,26 @@ packed AS (SELECT f.doc_id, CASE WHEN len(open) > 0 THEN list_append(done, array
 all_parts AS (
   SELECT doc_id, parts FROM packed UNION ALL SELECT doc_id, [body] FROM s0 WHERE total <= 690),
 c AS (SELECT doc_id, unnest(range(0, len(parts)))::INT AS chunk_index, len(parts)::INT AS chunk_count, unnest(parts) AS content FROM all_parts)"""
+_CHUNKS = _fold("", f"SELECT doc_id, {clean('text')} AS body FROM documents")
 
 _URL = "rtrim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])utm_[^&]*', '\\1', 'g'), '&+', '&', 'g'), '\\?&?$|&$', ''), '/')"
 _UNESCAPE = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')"
 _PAGE = f"""WITH p AS (SELECT page_id, {clean(_UNESCAPE.format(x="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS title,
   {clean(_UNESCAPE.format(x="regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')"))} AS body FROM pages)"""
 
+_SECTIONS = f"""{_PAGE.removeprefix('WITH ')}, u AS (SELECT page_id, {_URL} AS url FROM pages),
+s9 AS (SELECT page_id AS page_seq, url, title, body, sha256(lower(url || '|' || title || '|' || body)) AS section_id FROM p JOIN u USING (page_id) WHERE length(body) >= 120 AND length(title) BETWEEN 1 AND 160
+  QUALIFY row_number() OVER (PARTITION BY url, sha256(lower(body)) ORDER BY page_id) = 1),"""
+_INGEST = f"""{_fold(_SECTIONS, "SELECT page_seq AS doc_id, body FROM s9")},
+k AS (SELECT *, {_content_type("title", "title", "url")} AS kind FROM s9),
+l AS (SELECT *, {_fallback("url || ' ' || title || ' ' || title")} AS content_type, {_program_type("title || ' ' || title || ' ' || url")} AS program_type FROM k),
+w1 AS (SELECT page_seq, lower(unnest(regexp_extract_all(title || ' ' || title || ' ' || body, '[A-Za-z][A-Za-z\\-]{{2,}}'))) AS word FROM s9),
+w2 AS (SELECT page_seq, word, row_number() OVER (PARTITION BY page_seq ORDER BY count(*) DESC, word) AS nth FROM w1 WHERE length(word) >= 4 AND word NOT IN ({', '.join(map(lit, rules.STOPWORDS))}) GROUP BY page_seq, word),
+w3 AS (SELECT page_seq, string_agg(word, ',' ORDER BY nth) AS keywords FROM w2 WHERE nth <= 18 GROUP BY page_seq),
+o AS (SELECT l.page_seq, 0 AS section_seq, chunk_index, chunk_count, CASE WHEN {tokens('body')} > 690 THEN sha256(lower(section_id || '|chunk|' || chunk_index || '|' || content)) ELSE section_id END AS doc_id,
+  url, title AS section_title, content_type, program_type, {tokens('content')} AS token_count, coalesce(keywords, '') AS keywords, content FROM l JOIN c ON c.doc_id = l.page_seq LEFT JOIN w3 USING (page_seq))
+SELECT * EXCLUDE (content) FROM o QUALIFY row_number() OVER (PARTITION BY sha256(lower(content)) ORDER BY page_seq, section_seq, chunk_index) = 1"""
+
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
 _ASKED = "WITH q AS (SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0)"
 _HITS = f"""{_ASKED}, h0 AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score, e.label FROM q JOIN embeddings e ON e.vec_id <> q.query_id),
@@ -139,9 +173,9 @@ ORACLES: dict[str, str] = {
     "dedupe_within_source": f"WITH f AS (SELECT doc_id, source, sha256(lower({clean('text')})) AS fp FROM documents) SELECT min(doc_id) AS doc_id, source FROM f GROUP BY source, fp",
     "duplicate_of": f"WITH f AS (SELECT doc_id, source, sha256(lower({clean('text')})) AS fp FROM documents), "
     "g AS (SELECT *, min(doc_id) OVER (PARTITION BY source, fp) AS first_id FROM f) SELECT doc_id, first_id AS duplicate_of FROM g WHERE doc_id <> first_id",
-    "chunks": f"{_FOLD} SELECT doc_id, chunk_index, chunk_count, {tokens('content')} AS token_count, sha256(content) AS hash FROM c",
-    "chunk_stats": f"{_FOLD} SELECT (chunk_count > 1) AS is_chunk, count(*) AS n, sum({tokens('content')})::BIGINT AS n_tokens, max({tokens('content')}) AS max_tokens FROM c GROUP BY 1",
-    "chunk_dedupe": f"{_FOLD} SELECT doc_id, chunk_index FROM c QUALIFY row_number() OVER (PARTITION BY sha256(lower(content)) ORDER BY doc_id, chunk_index) = 1",
+    "chunks": f"{_CHUNKS} SELECT doc_id, chunk_index, chunk_count, {tokens('content')} AS token_count, sha256(content) AS hash FROM c",
+    "chunk_stats": f"{_CHUNKS} SELECT (chunk_count > 1) AS is_chunk, count(*) AS n, sum({tokens('content')})::BIGINT AS n_tokens, max({tokens('content')}) AS max_tokens FROM c GROUP BY 1",
+    "chunk_dedupe": f"{_CHUNKS} SELECT doc_id, chunk_index FROM c QUALIFY row_number() OVER (PARTITION BY sha256(lower(content)) ORDER BY doc_id, chunk_index) = 1",
     "content_type": f"{_DOCS}, k AS (SELECT *, {_CONTENT_TYPE} AS kind FROM d) SELECT doc_id, kind AS content_type, {_FALLBACK} AS final_type FROM k",
     "program_type": f"{_DOCS} SELECT doc_id, {_PROGRAM_TYPE} AS program_type FROM d",
     "modality_tags": f"{_DOCS} SELECT doc_id, {tag_list('lower(body)', rules.MODALITIES)} AS modality, {tag_list('lower(body)', rules.MODALITIES, rules.PROGRAM_TAGS)} AS program_tags FROM d",
@@ -177,6 +211,7 @@ SELECT query_id, round(correctness, 6) AS correctness, groundedness, round(retri
 l AS (SELECT page_id, rtrim(site || replace(unnest(hrefs), '&amp;', '&'), '/') AS link FROM p) SELECT DISTINCT page_id, link FROM l""",
     "page_title": f"{_PAGE} SELECT page_id, title AS page_title FROM p",
     "page_sections": f"{_PAGE} SELECT page_id, title AS section_title, 1 AS heading_level, length(body) AS char_count, sha256(body) AS hash FROM p WHERE length(body) >= 120 AND length(title) BETWEEN 1 AND 160",
+    "ingest_pages": _INGEST,
     "topk_cosine": _topk("e.vec_id <> 0", 20),
     "topk_cosine_filtered": _topk("e.vec_id <> 0 AND e.label = 3", 5),
     "topk_batch": f"{_HITS} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM h WHERE rank <= 10",
