@@ -179,26 +179,35 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known, found = np.unpackbits(wanted.value).astype(bool), {}, Counter()
+        begun = {k: Counter() for k in range(PREFIX, 0, -1)}
+
+        def counted() -> pa.RecordBatch:
+            for k, own in begun.items():
+                found.update({f"{x}*": n for x, n in own.items() if len(x) == k and bits[_slot(f"{x}*")]})
+                own.clear()
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+            found.clear()
+            return out
+
         for batch in batches:
             for text in batch.column(0):
                 words = {w.lower() for w in set(_TERM.findall(text.as_py() or ""))}
                 for w in words.difference(known):
-                    known[w] = tuple(x for x in (w, *beginnings(w)) if bits[_slot(x)])
-                found.update(set().union(*(known[w] for w in words)))
-            if len(known) > 100_000:
+                    known[w] = bool(bits[_slot(w)])
+                found.update(w for w in words if known[w])
+                some = words
+                for k, own in begun.items():
+                    some = {w[:k] for w in some}
+                    own.update(some)
+            if len(known) > 150_000:
                 known.clear()
-            if len(found) > 100_000:
-                yield _counted(found)
-                found.clear()
-        yield _counted(found)
+            if len(found) + len(begun[PREFIX]) > 100_000:
+                yield counted()
+        yield counted()
 
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _counted(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
-
-
 def find_personal_data(docs: DataFrame, *, generalise: float = 0.7, remove: float = 0.9, support: int = 3) -> DataFrame:
     """(row, doc_id, content, spans array<struct<kind, start, end, into>>) for each row of ``docs`` (doc_id, text).
 
