@@ -61,11 +61,6 @@ def is_course_title(c: Column) -> Column:
     return F.length(c).between(8, 140) & ~c.endswith("?") & ~has_any(c, rules.NOT_COURSE_TITLES) & has_any(c, rules.COURSE_TITLES)
 
 
-def is_course_label(c: Column) -> Column:
-    """For a lower-case heading that names a group of courses."""
-    return has_any(c, rules.COURSE_LABELS) & (F.length(c) < 80)
-
-
 def content_type(text: Column | str, page_title: Column | str, section_title: Column | str, url: Column | str) -> Column:
     """The first type that fits; only the start of the text is read."""
     col = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -128,40 +123,3 @@ def faq_category(question: Column | str, answer: Column | str) -> Column:
 
 def course_type(heading: Column | str) -> Column:
     return by_table(_blob(heading), rules.COURSE_TYPES, "elective")
-
-
-def is_question(c: Column | str) -> Column:
-    """Whether a text is a question that someone would ask, not a call to act."""
-    return T.let(T.clean_text(c), lambda t: t.contains("?") & F.length(t).between(18, 260) & ~has_any(F.lower(t), rules.CTA_QUESTIONS))
-
-
-def is_cta_pair(question: Column | str, answer: Column | str) -> Column:
-    answer = F.col(answer) if isinstance(answer, str) else answer
-    return has_any(_blob(question, answer), rules.CTA_ANSWERS) & (F.length(answer) < 180)
-
-
-def is_noise_line(c: Column) -> Column:
-    return has_any(F.lower(c), rules.NOISE_LINES)
-
-
-def split_role_line(c: Column | str) -> Column:
-    """struct<academic, industry> of a line such as ``Professor; Head of Data``."""
-
-    def of(line: Column) -> Column:
-        both, parts, academic = line.contains(";"), F.split(line, ";", 2), has_any(F.lower(line), rules.ACADEMIC_ROLES)
-        left = first_match([(both, F.trim(parts[0])), (academic, line)], "")
-        right = first_match([(both, F.trim(F.get(parts, F.lit(1)))), (academic, "")], line)
-        return F.struct(left.alias("academic"), right.alias("industry"))
-
-    return T.let(T.clean_text(c), of)
-
-
-def faculty_content(name: Column, academic: Column, industry: Column, bio: Column) -> Column:
-    labelled = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
-    return F.concat_ws("\n", F.concat(F.lit("Faculty: "), name), labelled("Academic role: ", academic), labelled("Industry role: ", industry), labelled("", bio))
-
-
-def allows_course_headings(route_url: Column | str) -> Column:
-    """Whether headings of a page may be taken for courses though it isn't a page of courses."""
-    link = F.lower(F.col(route_url) if isinstance(route_url, str) else route_url)
-    return ~has_any(link, rules.NO_COURSE_PATHS) & has_any(link, rules.COURSE_PATHS)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -33,8 +36,26 @@ def raw_pages(pages: DataFrame) -> DataFrame:
 
 
 def write_raw_pages(pages: DataFrame, path: str) -> None:
-    """Each page under a folder named for it: ``name=<hash>.html/part-*.txt``."""
-    raw_pages(pages).write.mode("overwrite").partitionBy("name").text(path)
+    """Each page in a file of its own, ``<hash>.html``, in a folder that all executors reach: a path or the address of a file system.
+
+    A file is written under a name of the attempt's own and then moved, so a task that runs anew leaves whole files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        mine = f".{TaskContext.get().taskAttemptId()}.part"
+        for batch in batches:
+            for name, html in zip(batch.column("name").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                with system.open_output_stream(f"{folder}/{name}{mine}") as out:
+                    out.write((html or "").encode())
+                system.move(f"{folder}/{name}{mine}", f"{folder}/{name}")
+            yield batch.select(["name"])
+
+    raw_pages(pages).where("name IS NOT NULL").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 
 
 def write_csv(df: DataFrame, path: str) -> None:

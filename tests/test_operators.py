@@ -105,6 +105,14 @@ def test_topk(spark):
     assert retrieve.topk_cosine(table, q.limit(0), 3).count() == 0
 
 
+def test_topk_passes_over_unsound_vectors(spark):
+    v = [[1.0, 0.0], [0.9, 0.1], [0.5, 0.5], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], [1.0], None, [0.0, 0.0], [1e-200, 0.0], [1e200, 0.0]]
+    table = spark.createDataFrame(list(enumerate(v)), "id long, embedding array<double>").coalesce(1)
+    q = table.withColumnRenamed("id", "query_id")
+    got = retrieve.topk_cosine(table, q, 4).where("query_id = 0").orderBy("rank").collect()
+    assert [r.id for r in got] == [0, 9, 10, 1] and {r.query_id for r in retrieve.topk_cosine(table, q, 4).collect()} == {0, 1, 2, 9, 10}
+
+
 HITS = "query_id long, id string, url string, section_title string, score double, document string, question string"
 
 
@@ -160,6 +168,8 @@ def test_index(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
     new = spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "id string, v int, at int")
     assert sorted(tuple(x) for x in index.upsert(old, new, "at").collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    last = spark.createDataFrame([("b", k) for k in range(50)] + [("c", 4)], "id string, v int").repartition(1)
+    assert sorted(tuple(x) for x in index.upsert(old, last).collect()) == [("a", 1), ("b", last.where("id = 'b'").collect()[-1].v), ("c", 4)]
     assert [x.tolist() for x in models.HashedWords(4).embed([""])] == [[0.0] * 4]
 
 
@@ -168,6 +178,12 @@ def test_crawl(spark):
     pages = spark.createDataFrame([(u, "".join(f"<a href='{h}'>x</a>" for h in hs)) for u, hs in site.items()], "url string, html string")
     walk = lambda most: [r.url for r in crawl.crawl(spark, ["http://s/1/"], crawl.fetch_from(pages), max_pages=most, domains=("s",), path_words=("",)).orderBy("page_seq").collect()]
     assert walk(100) == ["http://s/1", "http://s/2", "http://s/3", "http://s/4", "http://s/5"] and walk(3) == ["http://s/1", "http://s/2", "http://s/3"]
+    asked = []
+    lookup = crawl.fetch_from(pages)
+    found = crawl.crawl(spark, ["http://s/2", "http://s/missing", "http://s/1", "http://s/3"], lambda f: (asked.append(f.count()), lookup(f))[1], max_pages=2, domains=("s",), path_words=("",))
+    assert [r.url for r in found.orderBy("page_seq").collect()] == ["http://s/2", "http://s/1"] and asked == [2, 1]
+    twice = spark.createDataFrame([("http://s/1/", "b", 2), ("http://s/1#x", "a", 1)], "url string, html string, n long")
+    assert [r.html for r in crawl.crawl(spark, ["http://s/1"], crawl.fetch_from(twice, "n")).collect()] == ["a"]
 
 
 def test_overlap_repeats_last_sentence(spark):

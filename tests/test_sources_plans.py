@@ -82,7 +82,29 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = streaming.upsert_stream(streaming.new_chunks(stream).select("id", "content_clean"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
-    assert q.exception() is None and spark.read.parquet(str(tmp_path / "out/v=0")).count() == 2
+    assert q.exception() is None and streaming.current(spark, str(tmp_path / "out")).count() == 2
+
+
+def test_stream_puts_later_records_in_place_of_earlier_ones(spark, tmp_path):
+    path = lambda name: str(tmp_path / name)
+    for rows in ([("a", "old"), ("b", "stays")], [("a", "between"), ("a", "new"), ("c", "more")]):
+        spark.createDataFrame(rows, "id string, content string").coalesce(1).write.mode("append").parquet(path("in"))
+        stream = spark.readStream.schema("id string, content string").parquet(path("in"))
+        streaming.upsert_stream(stream, path("out"), path("cp")).awaitTermination()
+    want = {("a", "new"), ("b", "stays"), ("c", "more")}
+    assert {tuple(r) for r in streaming.current(spark, path("out")).collect()} == want and len(os.listdir(path("out"))) == 2
+    streaming.compact(spark, path("out"), path("small"))
+    assert {tuple(r) for r in streaming.current(spark, path("small")).collect()} == want
+
+
+def test_raw_pages(spark, tmp_path):
+    import hashlib
+
+    rows = [("http://x/a", "<p>é</p>"), ("http://x/b", None), (None, "nowhere")]
+    files.write_raw_pages(spark.createDataFrame(rows, "url string, html string").repartition(2), str(tmp_path / "raw"))
+    name = lambda url: hashlib.sha256(url.encode()).hexdigest() + ".html"
+    assert sorted(os.listdir(tmp_path / "raw")) == sorted([name("http://x/a"), name("http://x/b")])
+    assert (tmp_path / "raw" / name("http://x/a")).read_text() == "<p>é</p>"
 
 
 def canon(df):
