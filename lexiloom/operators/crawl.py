@@ -11,31 +11,32 @@ from .sections import extract_links
 
 
 def crawl(
-    spark: SparkSession, seeds: Sequence[str], fetch: Callable[[DataFrame], DataFrame], *, max_pages: int = 100,
+    spark: SparkSession, seeds: Sequence[str] | DataFrame, fetch: Callable[[DataFrame], DataFrame], *, max_pages: int = 100,
     domains: tuple[str, ...] | None = rules.ALLOWED_DOMAINS, path_words: tuple[str, ...] = rules.ALLOWED_PATH_WORDS,
 ) -> DataFrame:
     """Pages in breadth-first order, with page_seq and depth, until nothing is new or ``max_pages`` were fetched.
 
-    ``fetch`` maps (url, seq) to pages (url, html, final_url, ...) of those that could be fetched:
+    ``seeds`` are addresses, or a table of them (url, seq). ``fetch`` maps (url, seq) to pages (url, html, final_url, ...) of those that could be fetched:
     the rest stay visited, and don't count. Seeds needn't be allowed. A level of the crawl is one
     set of jobs, or several where pages fail while few are wanted: no more addresses are fetched at once than pages
     are still wanted. Order within a level is that of the parent pages and of links on them. Each level is cut off from
     its lineage by a checkpoint, in the session's checkpoint folder.
     """
-    frontier = spark.createDataFrame([(s, k) for k, s in enumerate(seeds)], "url string, seq long").select(U.canonicalize_url("url").alias("url"), "seq")
-    frontier = _first_of_each(frontier)
+    if not isinstance(seeds, DataFrame):
+        seeds = spark.createDataFrame([(s, k) for k, s in enumerate(seeds)], "url string, seq long")
+    frontier = _first_of_each(seeds.select(U.canonicalize_url("url").alias("url"), F.col("seq").cast("long").alias("seq"))).checkpoint()
     visited = frontier.select("url")
     pages, n, depth = None, 0, 0
     while True:
-        level, last = None, -1
-        while n < max_pages:
-            some = frontier.where(F.col("seq") > last).orderBy("seq").limit(max_pages - n).checkpoint()
-            if (end := some.agg(F.max("seq")).first()[0]) is None:
-                break
-            place = F.row_number().over(Window.orderBy("seq"))  # max_pages rows at most
-            got = fetch(some).withColumn("depth", F.lit(depth)).withColumn("page_seq", F.lit(n) + place - 1).checkpoint()
-            n, last = n + got.count(), end
-            level = got if level is None else level.unionByName(got)
+        level, left = None, frontier
+        while n < max_pages and (waiting := left.count()):
+            some = left if waiting <= max_pages - n else left.orderBy("seq").limit(max_pages - n).checkpoint()
+            got = fetch(some).checkpoint()
+            places = got.select("seq", (F.lit(n) + F.row_number().over(Window.orderBy("seq")) - 1).alias("page_seq"))  # numbers alone, in one task
+            level_part = got.join(places, "seq").withColumn("depth", F.lit(depth)).checkpoint()
+            n += level_part.count()
+            level = level_part if level is None else level.unionByName(level_part)
+            left = left.join(some.select("seq"), "seq", "left_anti").select("url", "seq").checkpoint()
         pages = level if pages is None else pages if level is None else pages.unionByName(level)
         if pages is None:
             return fetch(frontier.where("false")).withColumns({"depth": F.lit(depth), "page_seq": F.lit(0)}).drop("seq")

@@ -185,6 +185,7 @@ ORACLES: dict[str, str] = {
     "url_normalize": f"SELECT page_id, {_URL} AS url FROM pages",
     "url_allowed": "WITH p AS (SELECT page_id, replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), 'www.', '') AS host, lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) AS path FROM pages) "
     "SELECT page_id, host IN ('blog.tionsh.example.net', 'thther.example.org', 'cheap-pills.example.com') AND (contains(path, '/fr/') OR contains(path, '/en/') OR contains(path, '/buy')) AS allowed FROM p",
+    "crawl_bfs": f"WITH u AS (SELECT min(page_id) AS page_id FROM (SELECT page_id, {_URL} AS address FROM pages) GROUP BY address) SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS page_seq, 0 AS depth FROM u",
     "crawl_tree": "SELECT s_suppkey AS page_id, s_suppkey AS page_seq, floor(log2(s_suppkey + 1))::INT AS depth FROM supplier",
     "entities_titlecase": f"WITH f AS (SELECT doc_id, regexp_extract_all(text, {lit(rules.TITLECASE_PATTERN)}) AS found FROM documents) SELECT doc_id, array_to_string({ordered_distinct('found')}[1:25], '|') AS entities FROM f WHERE len(found) > 0",
     "entities_course": _found(rf"\b(?:{'|'.join(rules.COURSE_NAMES)})\b", "course_names"),

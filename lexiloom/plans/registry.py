@@ -272,10 +272,11 @@ def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl of the pages from the first one, links of any site: those that the table holds are found."""
+    """A crawl from all pages, links of any site: of those with one address the first is found, at depth 0."""
     pages = _checkpointed(spark, sf_dir, "pages")
-    seeds = [r.url for r in pages.orderBy("page_id").select("url").limit(4).collect()]
-    return crawl.crawl(spark, seeds, crawl.fetch_from(pages, "page_id"), domains=None).select("page_id", "page_seq", "depth")
+    seeds = pages.select("url", F.col("page_id").alias("seq"))
+    found = crawl.crawl(spark, seeds, crawl.fetch_from(pages, "page_id"), max_pages=2**31 - 1, domains=None)
+    return found.select("page_id", F.col("page_seq").cast("long").alias("page_seq"), "depth")
 
 
 @_query

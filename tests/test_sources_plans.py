@@ -1,6 +1,10 @@
+import math
 import os
+import re
+import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +152,50 @@ def test_every_answered_question_is_scored(spark, duck):
     got = registry.QUERIES["eval_turn_scores"](spark, DATA).collect()
     print(len(turns), len(want))
     assert len(got) == len(want) and {(r.query_id, r.turn) for r in got} == want and max(r.turn for r in got) > 1
+
+
+def hashed(text, dims=64):
+    """The substitute embedding, by a loop over words."""
+    out = [0.0] * dims
+    for w in re.findall(r"\w+", text.lower()):
+        h = zlib.crc32(w.encode())
+        out[h % dims] += 1 if (h >> 16) % 2 else -1
+    norm = math.sqrt(sum(x * x for x in out))
+    return [x / norm for x in out] if norm else out
+
+
+def test_hash_embed_like_a_loop(spark):
+    docs = {d.doc_id: d.text for d in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in registry.QUERIES["hash_embed"](spark, DATA).collect()}
+    assert set(got) == {k for k, t in docs.items() if t and t.strip()}
+    assert all(r.dims == 64 and abs(r.norm - sum(x * x for x in hashed(docs[k].strip()))) < 1e-3 for k, r in got.items())
+
+
+def test_answer_offline_like_a_loop(spark):
+    """Search over all records, the best of each section, threshold, reranking by shared words, the first source's first sentence."""
+    records = [(r.id, r.document, r.metadata.section_title or "") for r in registry.index.index_records(registry._records(spark, DATA)).collect()]
+    vectors = np.array([np.float32(hashed(d.strip())) for _, d, _ in records], float)
+    words = lambda t: set(re.findall(r"\w+", t.lower()))
+    got = {r.query_id: r for r in registry.QUERIES["answer_offline"](spark, DATA).collect()}
+    asked = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
+    assert set(got) == {q.item_id for q in asked}
+    close = 0
+    for q in asked:
+        v = np.float32(hashed(q.text.strip())).astype(float)
+        scores = vectors @ v / np.linalg.norm(vectors, axis=1) / np.linalg.norm(v)
+        top = sorted((-s, *r) for s, r in zip(scores, records, strict=True))[:20]
+        best = {}
+        for s, i, d, section in top:
+            best.setdefault(section, (-s, i, d))
+        good = [x for x in best.values() if x[0] >= 0.35]
+        final = sorted((-len(words(q.text) & words(d)) / len(words(q.text)), -s, i, d) for s, i, d in good)[:5]
+        x = got[q.item_id]
+        assert (x.n_sources, x.n_retrieved) == (len(final), len(final) or len(best)), q
+        used = [-r if r else -s for r, s, *_ in final] or [s for s, *_ in best.values()]
+        assert abs(x.retrieval - sum(used) / len(used)) < 1e-5
+        if final:
+            assert x.answer.endswith("[Source 1]") and x.answer.removesuffix(" [Source 1]") in final[0][3]
+            close += 1
+        else:
+            assert x.answer == registry.generate.refusal()
+    assert close > 5
