@@ -59,10 +59,15 @@ def dedupe_sections(sections: DataFrame, order: Sequence[str] = ("page_seq", "se
 
 
 def with_duplicate_of(sections: DataFrame, order: Sequence[str] = ("page_seq", "section_seq")) -> DataFrame:
-    """Every section with the doc_id that it repeats, null for the first: a view to audit what goes."""
-    group = Window.partitionBy("url", content_fingerprint("content")).orderBy(*order)
-    first = F.first("doc_id").over(group)
-    return sections.withColumn("duplicate_of", F.when(F.row_number().over(group) > 1, first))
+    """Every section with the doc_id that it repeats, null for the first: a view to audit what goes.
+
+    The first of each group is found by a partial aggregate of keys; texts meet it in a join, which adaptive execution can split.
+    """
+    rows = sections.drop("duplicate_of").withColumns({"_near": content_fingerprint("content"), "_place": F.struct(*order)})
+    first = rows.groupBy(F.col("url").alias("_url"), F.col("_near").alias("_content")).agg(F.min(F.struct("_place", "doc_id")).alias("_first"))
+    out = rows.join(first, F.col("url").eqNullSafe(F.col("_url")) & (F.col("_near") == F.col("_content")))
+    repeats = F.when(F.col("_place") != F.col("_first._place"), F.col("_first.doc_id"))
+    return out.withColumn("duplicate_of", repeats).drop("_near", "_place", "_url", "_content", "_first")
 
 
 def dedupe_chunks(chunks: DataFrame, order: Sequence[str] = ("page_seq", "section_seq", "chunk_index")) -> DataFrame:

@@ -436,7 +436,8 @@ def answer_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages asked of an index of the documents, with substitute models throughout."""
     from .ingest import ask
 
-    records = index.build_index(_records(spark, sf_dir))
+    _checkpointed(spark, sf_dir, "documents")
+    records = index.build_index(_records(spark, sf_dir)).checkpoint()  # read by the search, and for the records of its hits
     questions = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     out = ask(records, questions)
     return out.select("query_id", "answer", F.size("sources").alias("n_sources"), F.size("retrieved").alias("n_retrieved"), F.round(evaluate.retrieval_score("retrieved"), 6).alias("retrieval"))
