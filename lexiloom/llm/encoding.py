@@ -20,7 +20,7 @@ _MARK = "\x01"
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = str.maketrans({b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)})
 #: Words that a worker keeps, once over for recent ones and once for older ones: some 200 bytes each.
-MAX_WORDS = 500_000
+MAX_WORDS = 800_000
 _encoders: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -80,44 +80,52 @@ class WordEncoder:
         return self._split[letter, mark]
 
     def _learn(self, words: set[str]) -> None:
-        """Put the ids of new words into the table: those of plain words are found together, a mark between them."""
+        """Put the ids of new words into the table: those that aren't plain are found together, a mark between them."""
         known, older, tails = self._known, self._older, self._tails
-        bases: dict[str, tuple[str, bytes]] = {}
-        asked: dict[str, None] = {}
+        todo: dict[str, list[tuple[str, bytes]]] = {}
         for w in words:
-            if w in older:
-                known[w] = older[w]
-            elif self._mark is None or len(w) > self._max_length or _MARK in w:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+                continue
+            if self._mark is None or len(w) > self._max_length or _MARK in w:
                 known[w] = self._encode(w)
-            else:
-                base, tail = (w[:-1], tails[w[-1]]) if w[-1] in tails and w[:-1].isalpha() and self._parts(w[-2], w[-1]) else (w, b"")
-                if self._lower and base.isalpha() and not base.islower() and "\u0130" not in base and "\u03a3" not in base:
+                continue
+            base, tail = w, b""
+            if w[-1] in tails and (b := w[:-1]).isalpha() and (b[-1].isascii() or self._parts(b[-1], w[-1])):
+                base, tail = b, tails[w[-1]]
+            if base.isalpha():
+                if not base.islower() and self._lower and "\u0130" not in base and "\u03a3" not in base:
                     base = base.lower()
-                bases[w] = base, tail
-                asked[base] = None
-        todo = []
-        for base in asked:
-            if base not in known:
-                if base in older:
-                    known[base] = older[base]
-                elif self._direct and base.isalpha() and base.islower() and (base.isascii() or unicodedata.is_normalized("NFC", base)):
-                    known[base] = self._letters(base)
-                else:
-                    todo.append(base)
+                if base is not w and (ids := known.get(base) or older.get(base)):
+                    known[base], known[w] = ids, ids + tail
+                    continue
+                if self._direct and base.islower() and (base.isascii() or unicodedata.is_normalized("NFC", base)):
+                    known[base] = ids = self._letters(base)
+                    known[w] = ids + tail
+                    continue
+            todo.setdefault(base, []).append((w, tail))
         if todo:
             raw = self._encode(f" {_MARK} ".join(todo))
             ends = (np.flatnonzero(np.frombuffer(raw, "<u4") == self._mark) * 4).tolist()
-            known.update((w, raw[a:b]) for w, a, b in zip(todo, [0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True))
-        for w, (base, tail) in bases.items():
-            known[w] = known[base] + tail
+            for (base, own), a, b in zip(todo.items(), [0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True):
+                known[base] = raw[a:b]
+                for w, tail in own:
+                    known[w] = raw[a:b] + tail
 
     def _batch(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if _CONTROL.search(t) else t.split() for t in texts]
         known = self._known
-        if new := {w for words in split if words for w in words if w not in known}:
+        get = known.get
+        split = [None if _CONTROL.search(t) else t.split() for t in texts]
+        found = [words and [get(w) for w in words] for words in split]
+        if new := {w for words, ids in zip(split, found, strict=True) if words and None in ids for w, x in zip(words, ids, strict=True) if x is None}:
             self._learn(new)
-        for text, words in zip(texts, split, strict=True):
-            yield self._encode(text) if words is None else b"".join([known[w] for w in words])
+        for text, words, ids in zip(texts, split, found, strict=True):
+            if words is None:
+                yield self._encode(text)
+            elif new and None in ids:
+                yield b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)])
+            else:
+                yield b"".join(ids)
         if len(known) > self._max_words:
             self._known, self._older = {}, known
 
