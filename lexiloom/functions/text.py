@@ -108,12 +108,15 @@ def _keyword_candidates(c: Column | str, stopwords: Sequence[str]) -> Column:
 
 
 def keywords(c: Column | str, limit: int = 18, stopwords: Sequence[str] = rules.STOPWORDS) -> Column:
-    """The most frequent words, ties by code point. For sections; for long documents use :func:`keyword_rows`."""
-    counted = let(
-        _keyword_candidates(c, stopwords),
-        lambda words: F.transform(F.array_distinct(words), lambda w: F.struct((F.size(F.array_remove(words, w)) - F.size(words)).alias("n"), w.alias("w"))),
-    )
-    return F.transform(F.slice(F.array_sort(counted), 1, limit), lambda x: x["w"])
+    """The most frequent words, ties by code point: runs of equal words, once they are sorted."""
+
+    def counted(words: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        run = lambda h: F.transform(h, lambda i, j: F.struct((i - F.coalesce(F.get(h, j + 1), F.size(words))).alias("n"), F.get(words, i).alias("w")))
+        return F.when(F.size(words) > 0, let(heads, run)).otherwise(F.expr("cast(array() AS array<struct<n:int,w:string>>)"))
+
+    ranked = F.array_sort(let(F.array_sort(_keyword_candidates(c, stopwords)), counted))
+    return F.transform(F.slice(ranked, 1, limit), lambda x: x["w"])
 
 
 def keyword_rows(df: DataFrame, key: str, text: str, limit: int = 18, stopwords: Sequence[str] = rules.STOPWORDS) -> DataFrame:
