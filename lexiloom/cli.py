@@ -1,4 +1,4 @@
-"""spark-submit lexiloom/cli.py ingest|index|ask|search|peek ...: a thin command line."""
+"""spark-submit lexiloom/cli.py ingest|index|ask|search|peek|chat ...: a thin command line."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexiloom import chat
 from lexiloom.operators import generate, index, retrieve
 from lexiloom.operators.crawl import crawl
 from lexiloom.plans.config import Settings
@@ -29,10 +30,11 @@ def _questions(spark: SparkSession, lines: list[str]) -> DataFrame:
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("step", choices=("ingest", "index", "count", "peek", "search", "ask"))
+    parser.add_argument("step", choices=("ingest", "index", "count", "peek", "search", "ask", "chat"))
     parser.add_argument("--content-type")
     parser.add_argument("--program-type")
     parser.add_argument("--top-k", type=int, default=5)
+    parser.add_argument("--port", type=int, default=8501)
     given = parser.parse_args(args)
     settings, spark = Settings.from_env(), SparkSession.builder.appName("lexiloom").getOrCreate()
     chunks = f"{settings.output_dir}/chunks.jsonl"
@@ -46,6 +48,8 @@ def main(args: list[str] | None = None) -> None:
         print(spark.read.parquet(settings.index_dir).count())
     elif given.step == "peek":
         files.peek(files.read_jsonl(spark, chunks)).show(truncate=False)
+    elif given.step == "chat":
+        chat.server(chat.answerer(spark.read.parquet(settings.index_dir).cache(), settings), given.port).serve_forever()
     else:
         records = spark.read.parquet(settings.index_dir)
         for line in _lines():

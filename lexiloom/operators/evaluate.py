@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .models import Judge, SharedWordsJudge
+
 
 def hit_rate(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """One row for each of ``cases`` (query_id, expected_content_type, expected_keywords): type_hit, keyword_hit, success.
@@ -59,3 +64,19 @@ def judged_set(answers: DataFrame, references: DataFrame) -> DataFrame:
     """(question, answer, contexts, reference) for an external judge: contexts are the documents that aren't empty."""
     documents = F.filter(F.transform("retrieved", lambda c: c["document"]), lambda d: d.isNotNull() & (d != ""))
     return answers.join(references, "query_id").select("question", "answer", documents.alias("contexts"), "reference")
+
+
+def judged_scores(judged: DataFrame, model: Callable[[], Judge] = SharedWordsJudge) -> DataFrame:
+    """``judged`` (question, answer, contexts, reference) with faithfulness, response_relevancy and context_precision by a judge.
+
+    Nulls count as empty. The judge is made once in each task.
+    """
+
+    @F.pandas_udf("faithfulness double, response_relevancy double, context_precision double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        made = model()
+        for rows in parts:
+            scores = [made.judge(q or "", a or "", [] if c is None else list(c), r or "") for q, a, c, r in zip(*rows, strict=True)]
+            yield pd.DataFrame(scores, columns=["faithfulness", "response_relevancy", "context_precision"])
+
+    return judged.withColumn("_scores", run("question", "answer", "contexts", "reference")).select(*judged.columns, "_scores.*")

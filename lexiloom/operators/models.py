@@ -30,6 +30,11 @@ class Generator(Protocol):
     def generate(self, system: list[str], prompts: list[str]) -> list[str]: ...
 
 
+class Judge(Protocol):
+    def judge(self, question: str, answer: str, contexts: list[str], reference: str) -> tuple[float, float, float]:
+        """Faithfulness of the answer to the contexts, its relevance to the question, precision of the contexts: 0 to 1 each."""
+
+
 class HashedWords:
     """Substitute embedder: signed hashed word counts, normalised."""
 
@@ -64,3 +69,15 @@ class FirstSource:
             body = block.partition("Content type:")[2].partition("\n")[2].strip() or block
             out.append(f"{re.split(r'(?<=[.!?])\s', body)[0]} [Source 1]")
         return out
+
+
+class SharedWordsJudge:
+    """Substitute judge: shares of words. Precision is the mean share of good contexts down to each good one; one is good that has half of the reference's words."""
+
+    def judge(self, question: str, answer: str, contexts: list[str], reference: str) -> tuple[float, float, float]:
+        asked, said, wanted = (set(_WORD.findall(t.lower())) for t in (question, answer, reference))
+        given = [set(_WORD.findall(c.lower())) for c in contexts]
+        share = lambda of, among: len(of & among) / len(of) if of else 0.0
+        good = [share(wanted, c) >= 0.5 for c in given]
+        ranks = [sum(good[: k + 1]) / (k + 1) for k, fine in enumerate(good) if fine]
+        return share(said, set().union(*given)), share(asked, said), sum(ranks) / len(ranks) if ranks else 0.0

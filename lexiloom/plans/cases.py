@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import evaluate, index, retrieve
+from ..operators import evaluate, index, models, retrieve
 from .config import Settings
 from .ingest import ask
 
@@ -73,3 +75,8 @@ def judged_set(records: DataFrame, settings: Settings = Settings(), cases: tuple
     spark = records.sparkSession
     answers = ask(records, questions(spark, tuple(c[0] for c in cases)), settings, **models)
     return evaluate.judged_set(answers, spark.createDataFrame([(k, c[1]) for k, c in enumerate(cases)], "query_id long, reference string"))
+
+
+def evaluate_judged(records: DataFrame, settings: Settings = Settings(), judge: Callable[[], models.Judge] = models.SharedWordsJudge, **options) -> DataFrame:
+    """The judged set with the judge's three scores, to be written with ``files.write_csv`` once ``contexts`` is dropped or joined."""
+    return evaluate.judged_scores(judged_set(records, settings, **options), judge)

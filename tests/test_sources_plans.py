@@ -1,3 +1,4 @@
+import json
 import math
 import os
 import re
@@ -34,12 +35,47 @@ def test_ingest_index_ask(spark, tmp_path):
     results = cases.evaluate_retrieval(records)
     assert results.count() == 7 and evaluate.accuracy(results).first().total == 7
     assert cases.evaluate_answers(records, settings).count() == 5 and cases.judged_set(records, settings).columns == ["question", "answer", "contexts", "reference"]
+    assert cases.evaluate_judged(records, settings).where("faithfulness IS NULL").count() == 0
+    from lexiloom import chat
+
+    said = chat.answerer(records, settings)(Q)
+    assert said["answer"] == out.answer and said["sources"][0]["content_type"] == "faq"
     with pytest.raises(FileNotFoundError, match="ingest"):
         files.read_jsonl(spark, str(tmp_path / "nothing"))
     files.write_csv(chunks.select("doc_id"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
 
 
+def test_judge(spark):
+    rows = [("what is red", "red is a colour", ["red is a colour of light", "blue", "a colour"], "a colour"), ("why", None, None, None)]
+    got = evaluate.judged_scores(spark.createDataFrame(rows, "question string, answer string, contexts array<string>, reference string")).collect()
+    assert [(r.faithfulness, round(r.response_relevancy, 4), round(r.context_precision, 4)) for r in got] == [(1.0, 0.6667, 0.8333), (0.0, 0.0, 0.0)]
+
+
+def test_chat_page():
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from lexiloom import chat
+
+    def answer(question):
+        if question == "fail":
+            raise RuntimeError("down\nat line 1")
+        return {"answer": question.upper(), "sources": []}
+
+    served = chat.server(answer, port=0, title="A & B")
+    threading.Thread(target=served.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{served.server_port}/"
+    post = lambda body: urllib.request.urlopen(urllib.request.Request(at + "ask", data=body.encode())).read()
+    assert b"A &amp; B" in urllib.request.urlopen(at).read() and json.loads(post('{"question": " why? "}')) == {"answer": "WHY?", "sources": []}
+    for body, status in (("nothing", 400), ('{"question": "fail"}', 500)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            post(body)
+        assert e.value.code == status and "error" in json.loads(e.value.read())
+    served.shutdown()
+
+
 def test_settings_from_env(monkeypatch):
     monkeypatch.setenv("MAX_PAGES", "7")
     monkeypatch.setenv("USE_RERANKER", "no")
