@@ -162,15 +162,24 @@ def _drawn(docs: DataFrame, weights: Sequence[float], share: float, most: float,
     plan = saved(plan.select("k", F.col("source").alias("_source"), F.col("size").alias("source_size"), "target", epochs.alias("epochs"), quota.alias("quota")))
 
     rows = docs.select(*made, F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("at")) if whole_rows else slim
-    often = saved(slim.groupBy(*_ROW).agg(F.count("*").alias("n")).where(F.col("n") > rows_per_shard).select(*(F.col(c).alias(f"_{c}") for c in _ROW)))
-    salt = F.lit(0).cast("long")
-    if not often.isEmpty():
-        rows = (saved(rows) if whole_rows else rows).join(often.withColumnRenamed("_source", "_named"), F.expr("doc_id <=> _doc_id AND source <=> _named AND content = _content AND size = _size"), "left")
-        salt = F.when(F.col("_content").isNotNull(), F.col("at")).otherwise(0)
     hashed = lambda what, *of: F.xxhash64(F.lit(seed), F.lit(what), *of)
-    own = rows.withColumn("shard", F.pmod(hashed("shard", "doc_id", "content", salt), F.lit(shards)).cast("int")).withColumn("salt", salt)
-    own = own.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(*_ROW, "salt", "shard", "k", "source_size", "target", "epochs", *["doc"] * whole_rows)
-    quotas = _quotas(own.groupBy("k", "shard").agg(F.sum("size").alias("size")), plan, shards, seed)
+    often = saved(slim.groupBy(*_ROW).agg(F.count("*").alias("n")).where(F.col("n") > rows_per_shard).select(*(F.col(c).alias(f"_{c}") for c in _ROW)))
+    spread = not often.isEmpty()
+    if spread and whole_rows:
+        rows = saved(rows)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        salt = F.lit(0).cast("long")
+        if spread:
+            rows = rows.join(often.withColumnRenamed("_source", "_named"), F.expr("doc_id <=> _doc_id AND source <=> _named AND content = _content AND size = _size"), "left")
+            salt = F.when(F.col("_content").isNotNull(), F.col("at")).otherwise(0)
+        own = rows.withColumn("shard", F.pmod(hashed("shard", "doc_id", "content", salt), F.lit(shards)).cast("int")).withColumn("salt", salt)
+        return own.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(*_ROW, "salt", "shard", "k", "source_size", "target", "epochs", *["doc"] * ("doc" in rows.columns))
+
+    own = placed(rows)
+    # Positions differ between the rows and their slim table: where they matter, the quotas are those of the rows themselves.
+    leaves = (own if spread else placed(slim)).groupBy("k", "shard").agg(F.sum("size").alias("size"))
+    quotas = _quotas(leaves, plan, shards, seed)
     of_shard = saved(quotas.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("k", "share"))).alias("shares")))
     own = own.repartition("shard").join(of_shard, "shard")
     in_order = Window.partitionBy("k", "shard").orderBy("order", "doc_id", "content", "size", "salt")
