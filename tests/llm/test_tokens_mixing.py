@@ -259,5 +259,10 @@ def test_op5_query(spark):
     assert all(abs(got[s] - aims[s]) <= 1 for s in names)
 
 
-def test_op6_query(spark):
-    assert queries.op6_token_counts(spark, DATA).agg(F.sum("n_docs")).first()[0] == spark.read.parquet(f"{DATA}/documents.parquet").count()
+def test_op6_query(spark, tokenizer):
+    n = [len(tokenizer.encode(d.text or "", add_special_tokens=False).ids) for d in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    rows = queries.op6_token_counts(spark, DATA).collect()
+    assert {r.length: r.n_docs for r in rows} == Counter(n)
+    for r in rows:
+        ge = [x for x in n if x >= r.length]
+        assert (r.docs_ge, r.tokens_ge, r.docs_le, r.truncated_tokens) == (len(ge), sum(ge), sum(x <= r.length for x in n), sum(min(x, r.length) for x in n))
