@@ -203,6 +203,10 @@ SELECT page_seq, course_name, course_type, 'Course: ' || course_name || chr(10)
   CASE s_suppkey % 3 WHEN 0 THEN 'Head of Data' WHEN 1 THEN '' ELSE 'Manager of things' END AS industry_role, 'Lives in nation ' || s_nationkey || ' and has written of many things there.' AS bio FROM supplier)
 SELECT page_seq, faculty_name, academic_title, industry_role, 'Faculty: ' || faculty_name || chr(10) || CASE WHEN academic_title <> '' THEN 'Academic role: ' || academic_title || chr(10) ELSE '' END
   || CASE WHEN industry_role <> '' THEN 'Industry role: ' || industry_role || chr(10) ELSE '' END || bio AS content FROM s""",
+    "eval_turn_scores": """WITH t AS (SELECT *, lag(text) OVER w AS expected, lag(role) OVER w AS asker FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+v AS (SELECT *, list_filter(string_split_regex(lower(expected), '\\s+'), lambda x: x <> '') AS words FROM t WHERE role = 'assistant' AND asker = 'user' AND text IS NOT NULL AND trim(expected) <> ''),
+c AS (SELECT conv_id AS query_id, turn, len(list_filter(words, lambda x: contains(lower(text), x))) / len(words) AS share, CASE WHEN contains(text, '[Source') THEN 1.0 ELSE 0.0 END::DOUBLE AS groundedness FROM v)
+SELECT query_id, turn, round(share, 9) AS correctness, groundedness, round(0.5 * share + 0.2 * groundedness, 9) AS final_score FROM c""",
     "eval_answer_scores": f"""{_HITS}, r AS (SELECT query_id, avg(score) AS retrieval FROM h WHERE rank <= 5 GROUP BY query_id),
 t AS (SELECT conv_id AS query_id, max(CASE WHEN turn = 0 THEN text END) AS expected, max(CASE WHEN turn = 1 THEN text END) AS answer FROM conversations WHERE turn <= 1 GROUP BY conv_id),
 w AS (SELECT *, list_filter(string_split_regex(lower(expected), '\\s+'), lambda x: x <> '') AS words FROM t WHERE expected IS NOT NULL AND answer IS NOT NULL),
