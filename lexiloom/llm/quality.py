@@ -34,22 +34,24 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hasher:
-    """Buckets of a text's n-grams. Keeps the hashes of recent words."""
+    """Hashes of a text's words, and the buckets of their n-grams. Keeps the hashes of recent words."""
 
     def __init__(self, orders: tuple[int, ...], max_words: int = 150_000) -> None:
         self._orders, self._max = orders, max_words
         self._known: dict[str, int] = {}
 
-    def __call__(self, text: str | None) -> dict[int, np.ndarray]:
+    def words(self, text: str | None) -> np.ndarray:
         import xxhash
 
         words, known = _TOKEN.findall((text or "").lower()), self._known
         if len(known) > self._max:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in words], np.uint64)
-        out = {}
+            known[w] = xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF
+        return np.array([known[w] for w in words], np.uint32)
+
+    def grams(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        h, out = words.astype(np.uint64), {}
         for n in self._orders:
             g = np.full(max(0, len(h) - n + 1), n, np.uint64)
             for k in range(n):
@@ -57,6 +59,9 @@ class _Hasher:
             out[n] = (g >> np.uint64(64 - BITS[n])).astype(np.int64)
         return out
 
+    def __call__(self, text: str | None) -> dict[int, np.ndarray]:
+        return self.grams(self.words(text))
+
 
 def _part(doc_id: int) -> float:
     """A number in [0, 1) by which labelled documents are set aside to fit the floors."""
@@ -66,17 +71,32 @@ def _part(doc_id: int) -> float:
 
 
 def _counts(docs: DataFrame, labelled: dict[int, bool], orders: tuple[int, ...]) -> DataFrame:
-    """(n, bucket, raw, target): summed over all texts and over good ones, copies of a text counted once."""
+    """(n, bucket, raw, target): summed over all texts and over good ones, copies of a text counted once.
+
+    What is shuffled of a text, to meet its copies, are the hashes of its words: fewer bytes than the text has.
+    """
     judged = docs.sparkSession.createDataFrame(list(labelled.items()), "_id long, good boolean")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(judged), F.col("doc_id") == F.col("_id"), "left")
-    texts = rows.groupBy("text").agg(F.coalesce(F.min("good"), F.lit(False)).alias("good"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hasher = _Hasher(orders)
+        for batch in batches:
+            texts = [text.as_py() or "" for text in batch.column(0)]
+            marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), np.int64).reshape(-1, 2)
+            columns = [*(pa.array(np.ascontiguousarray(c)) for c in marks.T), batch.column(1), pa.array([hasher.words(t).astype("<u4").tobytes() for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["hi", "lo", "good", "words"])
+
+    marked = rows.select("text", "good").mapInArrow(read, "hi long, lo long, good boolean, words binary")
+    texts = marked.groupBy("hi", "lo").agg(F.coalesce(F.min("good"), F.lit(False)).alias("good"), F.first("words").alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(orders)
         counts = {n: np.zeros((2, 1 << BITS[n]), np.int64) for n in orders}
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                for n, g in hasher(text.as_py()).items():
+            for words, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for n, g in hasher.grams(np.frombuffer(words.as_py(), "<u4")).items():
                     for own in counts[n][: 1 + good]:
                         np.add.at(own, g, 1)
         for n in orders:
@@ -86,7 +106,7 @@ def _counts(docs: DataFrame, labelled: dict[int, bool], orders: tuple[int, ...])
                 columns = [np.full(len(some), n, np.int32), some.astype(np.int32), *counts[n][:, some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["n", "bucket", "raw", "target"])
 
-    counted = texts.select("text", "good").mapInArrow(run, "n int, bucket int, raw long, target long")
+    counted = texts.select("words", "good").mapInArrow(run, "n int, bucket int, raw long, target long")
     return counted.groupBy("n", "bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "target")))
 
 
