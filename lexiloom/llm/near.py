@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) ->
     of_class = saved(_with(classes.select(F.col("row").alias("node"), "hi", "lo", "least"), roots, "node", "root"))
     heads = saved(of_class.groupBy("root").agg(F.min("least").alias("head")))
     of_class = saved(of_class.join(heads, "root").select("hi", "lo", "head"))
-    out = rows.select("row", "doc_id", "content", "n", "hi", "lo").join(of_class, ["hi", "lo"], "left")
+    out = rows.select("row", "doc_id", "content", "n", "hi", "lo").join(of_class.hint("merge"), ["hi", "lo"], "left")
     alone = F.col("head").isNull()
     return out.select(
         "row", "doc_id", "content", F.col("n").alias("n_shingles"),

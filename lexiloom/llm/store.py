@@ -13,6 +13,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes on disk up to which a join broadcasts a table while another is saved.
+BROADCAST = 256 * 1024
+
 _written: list[str] = []
 
 
@@ -39,11 +42,27 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def small_broadcasts(spark: SparkSession, most: int = BROADCAST) -> Iterator[None]:
+    """Within, joins broadcast tables of ``most`` bytes at most.
+
+    The driver builds the hash table of each that is broadcast. Of narrow rows, ids or hashes, it is many times
+    what they are on disk: 10 MB, Spark's default, took more than a heap of 750 MB has for them.
+    """
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet, and read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark), small_broadcasts(spark):
         df.write.parquet(path)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)

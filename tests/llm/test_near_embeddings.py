@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pytest
 
-from lexiloom.llm import embeddings, graph, near, queries
+from pyspark.sql import DataFrameWriter, functions as F
+
+from lexiloom.llm import embeddings, graph, near, queries, store, text
 from tests.conftest import DATA
 from tests.llm.data import no_documents, odd_documents
 
@@ -86,6 +88,39 @@ def test_near_takes_odd_rows(spark):
     assert near.near_duplicates(no_documents(spark)).count() == 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_driver_builds_no_large_hash_table(spark, monkeypatch):
+    """A table of 0.8 MB on disk, less than Spark would broadcast, is not while another is saved; one of a few rows is."""
+    name, plans = "spark.sql.autoBroadcastJoinThreshold", []
+    before, write = spark.conf.get(name), DataFrameWriter.parquet
+    ids = store.saved(spark.range(100_000).select(F.xxhash64("id").alias("h")))
+    few = store.saved(ids.limit(10))
+    assert "BroadcastHashJoin" in _plan(ids.join(ids.withColumnRenamed("h", "g"), F.col("h") == F.col("g")))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (plans.append(_plan(self._df)), write(self, path))[1])
+    assert store.saved(ids.join(ids.withColumnRenamed("h", "g"), F.col("h") == F.col("g"))).count() == 100_000
+    assert store.saved(ids.join(few, "h")).count() == 10
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0] and "BroadcastHashJoin" in plans[1]
+    assert spark.conf.get(name) == before
+    spark.conf.set(name, "-1")
+    try:
+        store.saved(ids.join(few.withColumnRenamed("h", "g"), F.col("h") == F.col("g")))
+    finally:
+        spark.conf.set(name, before)
+    assert "Broadcast" not in plans[2]
+
+
+def test_results_are_merged_by_row(spark):
+    """What grows with the input and is joined after the last table is saved."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    found = near.near_duplicates(docs)
+    kept = text.only(docs, store.saved(found.where("kept").select("doc_id", "content")))
+    assert all("SortMergeJoin" in _plan(x) and "Broadcast" not in _plan(x) for x in (found, kept))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_signatures_guarantee():
     """Signatures that differ in fewer than twice as many symbols as chunks share a key."""
     rng = np.random.default_rng(2)
