@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import format_chats, read_back, under_mask
+from .decontaminate import contamination
 from .embeddings import near_vectors
 from .encoding import default_tokenizer
 from .exact import exact_duplicates
@@ -18,6 +19,8 @@ from .pii import find_personal_data
 from .quality import score
 from .secrets import find_secrets, spelled
 from .store import saved
+from .trie import branched, numbered, prefix_trie
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +91,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.rows.select("doc_id", "log_weight", scored.kept().alias("kept"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fitted, error = whiten(_table(spark, sf_dir, "embeddings"), components=32)
+    explained = F.array(*(F.lit(x).cast("double") for x in fitted.explained)) if fitted.explained else F.expr("cast(array() AS array<double>)")
+    rows = rows.select("vec_id", F.posexplode("whitened").alias("at", "whitened"), "deviation")
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(fitted.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), words=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(branched(numbered(_table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,5 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
