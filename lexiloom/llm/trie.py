@@ -198,4 +198,4 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
         sums = own.select("path", "at", "key", "leaves", "saved")
     sums = saved(sums.select("key.conv_id", "key.depth", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens")))
     empty = F.sha2(F.lit(""), 256)
-    return nodes.join(sums, _KEY).select(*_KEY, "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", empty).alias("ends_sha256"))
+    return nodes.join(sums.hint("merge"), _KEY).select(*_KEY, "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", empty).alias("ends_sha256"))
