@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom import chat
-from lexiloom.operators import generate, index, retrieve
+from lexiloom.operators import generate, index, inverted, retrieve
 from lexiloom.operators.crawl import crawl
 from lexiloom.plans.config import Settings
 from lexiloom.plans.ingest import ask, run_ingest
-from lexiloom.sources import files, web
+from lexiloom.sources import files, vectors, web
 
 
 def _lines() -> Iterator[str]:
@@ -28,6 +28,20 @@ def _questions(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "query_id long, question string")
 
 
+def records(spark: SparkSession, settings: Settings) -> DataFrame:
+    """The records of the index as they are now; an error that names the step that makes them, if there are none."""
+    found = vectors.read(spark, settings.index_dir)
+    if found is None:
+        raise FileNotFoundError(f"no index in {settings.index_dir}: run the step index first")
+    return found
+
+
+def nearest(spark: SparkSession, settings: Settings) -> Callable[[DataFrame, int], DataFrame]:
+    """Search by the lists that the step index has built."""
+    file = inverted.opened(spark, f"{settings.index_dir}/lists")
+    return lambda queries, k: inverted.search(file, queries, k)
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("step", choices=("ingest", "index", "count", "peek", "search", "ask", "chat"))
@@ -43,23 +57,24 @@ def main(args: list[str] | None = None) -> None:
         fetch = web.fetcher(timeout=settings.request_timeout_seconds, attempts=settings.max_retries)
         print(run_ingest(crawl(spark, settings.seed_urls, fetch, max_pages=settings.max_pages), settings))
     elif given.step == "index":
-        index.build_index(files.read_jsonl(spark, chunks)).write.mode("overwrite").parquet(settings.index_dir)
+        vectors.put(index.build_index(files.read_jsonl(spark, chunks)), settings.index_dir)
+        inverted.build(records(spark, settings), f"{settings.index_dir}/lists")
     elif given.step == "count":
-        print(spark.read.parquet(settings.index_dir).count())
+        print(vectors.count(spark, settings.index_dir))
     elif given.step == "peek":
         files.peek(files.read_jsonl(spark, chunks)).show(truncate=False)
     elif given.step == "chat":
-        chat.server(chat.answerer(spark.read.parquet(settings.index_dir).cache(), settings), given.port).serve_forever()
+        chat.server(chat.answerer(records(spark, settings).cache(), settings, nearest=nearest(spark, settings)), given.port).serve_forever()
     else:
-        records = spark.read.parquet(settings.index_dir)
+        known, lists = records(spark, settings).cache(), nearest(spark, settings)
         for line in _lines():
             questions = _questions(spark, [line])
             if given.step == "search":
                 asked = index.embed(questions, "question").select("query_id", "embedding")
-                found = retrieve.search(records, asked, given.top_k, given.content_type, given.program_type)
+                found = retrieve.search(known, asked, given.top_k, given.content_type, given.program_type, lists)
                 found.select("rank", F.round(1 - F.col("distance"), 4).alias("similarity"), "metadata.section_title", F.substring("document", 1, 1400).alias("document")).orderBy("rank").show(truncate=False)
             else:
-                out = ask(records, questions, settings, content_type=given.content_type, program_type=given.program_type)
+                out = ask(known, questions, settings, nearest=lists, content_type=given.content_type, program_type=given.program_type)
                 row = out.select("answer", generate.source_lines(F.col("sources")).alias("lines")).first()
                 print(row.answer, row.lines, sep="\n")
 

@@ -14,8 +14,10 @@ from .models import Scorer, SharedWords
 
 MIN_SCORE = 0.35
 INITIAL_K, FINAL_K = 20, 5
-#: Floats of query vectors that are sent to every task at once.
-QUERY_BLOCK = 1 << 22
+#: Floats of query vectors that are sent to every task at once, and of scores that a product makes.
+QUERY_BLOCK, PRODUCT = 1 << 22, 1 << 22
+#: Hits up to which their records are looked up by sending the hits to the index's tasks.
+FEW_HITS = 1 << 16
 
 
 def metadata_filter(**wanted: str | None) -> Column:
@@ -27,7 +29,7 @@ def metadata_filter(**wanted: str | None) -> Column:
     return out
 
 
-def _sound_units(vectors: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def sound_units(vectors: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, rows of unit length) of the vectors with ``dims`` finite components, not all zero; scaled first, so none over- or underflows."""
     none = [np.nan] * dims
     v = np.array([x if x is not None and len(x) == dims else none for x in vectors], np.float64).reshape(len(vectors), dims)
@@ -50,15 +52,16 @@ def topk_cosine(index: DataFrame, queries: DataFrame, k: int, *, id: str = "id",
     found, block = None, []
 
     def ask(block: list) -> DataFrame:
-        live, units = _sound_units([r[1] for r in block], len(block[0][1]))
+        live, units = sound_units([r[1] for r in block], len(block[0][1]))
         sent = index.sparkSession.sparkContext.broadcast(([block[at][0] for at in live], units))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             best: list[list[tuple[float, object]]] = [[] for _ in names]
-            for batch in batches:
+            step = max(1, PRODUCT // max(1, len(names)))
+            for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
                 ids = batch.column(0).to_pylist()
-                live, units = _sound_units(batch.column(1).to_pylist(), q.shape[1])
+                live, units = sound_units(batch.column(1).to_pylist(), q.shape[1])
                 scores = q @ units.T
                 for j in range(len(names)):
                     own = scores[j]
@@ -87,11 +90,22 @@ def topk_cosine(index: DataFrame, queries: DataFrame, k: int, *, id: str = "id",
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = FINAL_K, content_type: str | None = None, program_type: str | None = None) -> DataFrame:
-    """Hits with their record: query_id, id, score, distance, rank, document, metadata."""
+def search(
+    index: DataFrame, queries: DataFrame, k: int = FINAL_K, content_type: str | None = None, program_type: str | None = None,
+    nearest: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
+    """Hits with their record: query_id, id, score, distance, rank, document, metadata.
+
+    ``nearest(queries, k)`` finds (query_id, id, score, rank) in an index of its own, as ``inverted.search`` does; it serves where there is
+    no filter. With few hits these are sent to the tasks that scan the records; more meet them by a join on id.
+    """
     part = index.where(metadata_filter(**{"metadata.content_type": content_type, "metadata.program_type": program_type}))
-    hits = topk_cosine(part, queries, k)
-    return hits.join(part.select("id", "document", "metadata"), "id").withColumn("distance", 1 - F.col("score"))
+    whole = content_type is None and program_type is None
+    hits = nearest(queries, k) if nearest and whole else topk_cosine(part, queries, k)
+    most = FEW_HITS // max(1, k)
+    if queries.limit(most + 1).count() <= most:
+        hits = F.broadcast(hits)
+    return part.select("id", "document", "metadata").join(hits, "id").select("id", *(c for c in hits.columns if c != "id"), "document", "metadata").withColumn("distance", 1 - F.col("score"))
 
 
 def ordered(hits: DataFrame, query: str = "query_id") -> DataFrame:

@@ -32,12 +32,12 @@ def run_ingest(pages: DataFrame, settings: Settings = Settings()) -> str:
 def ask(
     records: DataFrame, questions: DataFrame, settings: Settings = Settings(), *, content_type: str | None = None, program_type: str | None = None,
     embedder: Callable[[], models.Embedder] = models.HashedWords, scorer: Callable[[], models.Scorer] = models.SharedWords,
-    generator: Callable[[], models.Generator] = models.FirstSource,
+    generator: Callable[[], models.Generator] = models.FirstSource, nearest: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
-    """Answers to ``questions`` (query_id, question) from an index: search, two stages, prompt, model."""
+    """Answers to ``questions`` (query_id, question) from an index: search, two stages, prompt, model. ``nearest`` as in ``retrieve.search``."""
     asked = index.embed(questions, "question", model=embedder).select("query_id", "embedding")
     initial = settings.rerank_initial_top_k if settings.use_reranker else settings.rag_top_k
-    hits = retrieve.search(records, asked, initial, content_type, program_type)
+    hits = retrieve.search(records, asked, initial, content_type, program_type, nearest)
     hits = hits.join(questions, "query_id").select("*", "metadata.url", "metadata.section_title")
     distinct, final = retrieve.two_stage(hits, settings.rerank_final_top_k, settings.rag_min_score, scorer if settings.use_reranker else None)
     return generate.answer(questions, final, distinct, generator)

@@ -138,11 +138,6 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 _DISTINCT = f"{_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, label, id % 3 ORDER BY score DESC, id) AS nth FROM h WHERE rank <= 20)"
 
 
-def _topk(where: str, k: int) -> str:
-    return f"""SELECT 0::BIGINT AS query_id, e.vec_id AS id, round({_COS}, 6) AS score, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id)::INT AS rank
-FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where} QUALIFY rank <= {k}"""
-
-
 def _found(pattern: str, name: str) -> str:
     all_ = f"regexp_extract_all(text, {lit(pattern)})"
     return f"SELECT doc_id, array_to_string({ordered_distinct(all_)}, '|') AS {name} FROM documents WHERE len({all_}) > 0"
@@ -187,7 +182,9 @@ ORACLES: dict[str, str] = {
     "SELECT page_id, host IN ('blog.tionsh.example.net', 'thther.example.org', 'cheap-pills.example.com') AND (contains(path, '/fr/') OR contains(path, '/en/') OR contains(path, '/buy')) AS allowed FROM p",
     "crawl_bfs": f"WITH u AS (SELECT min(page_id) AS page_id FROM (SELECT page_id, {_URL} AS address FROM pages) GROUP BY address) SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS page_seq, 0 AS depth FROM u",
     "crawl_tree": "SELECT s_suppkey AS page_id, s_suppkey AS page_seq, floor(log2(s_suppkey + 1))::INT AS depth FROM supplier",
-    "entities_titlecase": f"WITH f AS (SELECT doc_id, regexp_extract_all(text, {lit(rules.TITLECASE_PATTERN)}) AS found FROM documents) SELECT doc_id, array_to_string({ordered_distinct('found')}[1:25], '|') AS entities FROM f WHERE len(found) > 0",
+    # RE2's \b is ASCII's: words are marked at both ends instead.
+    "entities_titlecase": f"WITH m AS (SELECT doc_id, regexp_replace(text, '([\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+)', chr(1) || '\\1' || chr(2), 'g') AS text FROM documents), "
+    f"f AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\x01[A-Z][a-z]+\\x02(?:{_WS}\\x01[A-Z][a-z]+\\x02){{1,4}}'), lambda x: translate(x, chr(1) || chr(2), '')) AS found FROM m) SELECT doc_id, array_to_string({ordered_distinct('found')}[1:25], '|') AS entities FROM f WHERE len(found) > 0",
     "entities_course": _found(rf"\b(?:{'|'.join(rules.COURSE_NAMES)})\b", "course_names"),
     "dates_and_sums": "SELECT o_orderkey, strftime(o_orderdate, '%B %-d, %Y') || '|' || strftime(o_orderdate, '%-m/%-d/%Y') || '|AUTUMN ' || strftime(o_orderdate, '%Y') AS dates, format('${:,.2f}', o_totalprice) || '|$ 5' AS sums FROM orders",
     "courses_named": f"WITH n AS (SELECT p_partkey, {_NAMED}[p_partkey % 5 + 1] AS a, {_NAMED}[(2 * p_partkey + 1) % 5 + 1] AS b FROM part) SELECT p_partkey, CASE WHEN a = b THEN a ELSE a || '|' || b END AS courses FROM n",
@@ -217,13 +214,15 @@ l AS (SELECT page_id, rtrim(site || replace(unnest(hrefs), '&amp;', '&'), '/') A
     "page_title": f"{_PAGE} SELECT page_id, title AS page_title FROM p",
     "page_sections": f"{_PAGE} SELECT page_id, title AS section_title, 1 AS heading_level, length(body) AS char_count, sha256(body) AS hash FROM p WHERE length(body) >= 120 AND length(title) BETWEEN 1 AND 160",
     "ingest_pages": _INGEST,
-    "topk_cosine": _topk("e.vec_id <> 0", 20),
-    "topk_cosine_filtered": _topk("e.vec_id <> 0 AND e.label = 3", 5),
+    "topk_cosine": f"{_HITS} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM h WHERE rank <= 20",
+    "topk_cosine_filtered": f"{_HITS}, f AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM h WHERE label = 3) SELECT query_id, id, round(score, 6) AS score, rank FROM f WHERE rank <= 5",
+    "topk_inverted_exact": f"{_HITS} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM h WHERE rank <= 10",
     "topk_batch": f"{_HITS} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM h WHERE rank <= 10",
     "topk_batch_filtered": f"{_HITS}, f AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM h WHERE label = 3) SELECT query_id, id, round(score, 6) AS score, rank FROM f WHERE rank <= 5",
     "threshold": f"{_HITS} SELECT query_id, id, round(score, 6) AS score FROM h WHERE rank <= 20 AND score >= 0.35",
     "dedupe_hits": f"{_DISTINCT} SELECT query_id, id, round(score, 6) AS score FROM k WHERE nth = 1",
     "two_stage": f"{_DISTINCT} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM k WHERE nth = 1 AND score >= 0.35 QUALIFY rank <= 5",
+    "vector_store": "SELECT vec_id AS id, (CASE WHEN vec_id % 6 = 0 THEN 'third ' WHEN vec_id % 3 = 0 THEN 'second ' ELSE 'first ' END) || vec_id AS document, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS label, len(embedding)::INT AS dims FROM embeddings",
     "index_docs": f"SELECT doc_id::VARCHAR AS id, {clean('''concat('Page title: ', source, chr(10), 'Section title: ', lang, chr(10), 'Content type: overview', chr(10), 'Program type: general', chr(10), chr(10), text)''')} AS document FROM documents",
     "index_metadata": f"{_DOCS} SELECT doc_id::VARCHAR AS id, source AS page_title, lang AS section_title, {tokens('text')} AS token_count, nullif(array_to_string({ordered_distinct('''regexp_extract_all(body, '[a-z0-9.]+@[a-z0-9.]+')''')}, ', '), '') AS emails FROM d",
     "context_blocks": f"{_HITS} SELECT h.query_id, sha256(string_agg(regexp_replace({_BLOCK}, '\\s+$', ''), chr(10) || chr(10) ORDER BY rank)) AS context_hash, count(*)::INT AS n_sources, 'Source ' || count(*) AS last_source FROM h LEFT JOIN documents d ON d.doc_id = h.id WHERE rank <= 5 GROUP BY h.query_id",

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify as C, html as H, text as T, urls as U
-from ..operators import chunk, crawl, dedupe, evaluate, generate, index, retrieve, sections
+from ..operators import chunk, crawl, dedupe, evaluate, generate, index, inverted, retrieve, sections
+from ..sources import vectors
 from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,17 +28,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _checkpointed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table, once the session has a checkpoint folder: that of ``spark.checkpoint.dir``, in local mode a temporary one."""
+def _with_checkpoints(spark: SparkSession) -> None:
+    """Gives the session a checkpoint folder: that of ``spark.checkpoint.dir``, in local mode a temporary one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", "")
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp())
+
+
+def _checkpointed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, once the session has a checkpoint folder."""
+    _with_checkpoints(spark)
     return _read(spark, sf_dir, name)
 
 
+def _shared(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    _with_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents")
 
@@ -309,13 +322,13 @@ def _rounded() -> Column:
 
 @_query
 def topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.topk_cosine(_vectors(spark, sf_dir), _asked(spark, sf_dir, "id = 0"), 20, exclude_same=True).select("query_id", "id", _rounded(), "rank")
+    return retrieve.topk_cosine(_vectors(spark, sf_dir), _asked(spark, sf_dir), 20, exclude_same=True).select("query_id", "id", _rounded(), "rank")
 
 
 @_query
 def topk_cosine_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _vectors(spark, sf_dir).where(retrieve.metadata_filter(label=3))
-    return retrieve.topk_cosine(part, _asked(spark, sf_dir, "id = 0"), 5, exclude_same=True).select("query_id", "id", _rounded(), "rank")
+    return retrieve.topk_cosine(part, _asked(spark, sf_dir), 5, exclude_same=True).select("query_id", "id", _rounded(), "rank")
 
 
 @_query
@@ -325,11 +338,26 @@ def topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def topk_batch_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filtered search for every vector asked; ``topk_cosine_filtered`` asks one, as its SQL does."""
     part = _vectors(spark, sf_dir).where(retrieve.metadata_filter(label=3))
     return retrieve.topk_cosine(part, _asked(spark, sf_dir), 5, exclude_same=True).select("query_id", "id", _rounded(), "rank")
 
 
+def _file(spark: SparkSession, sf_dir: str) -> inverted.InvertedFile:
+    return inverted.build(_vectors(spark, sf_dir), _shared(spark))
+
+
+@_query
+def topk_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every fiftieth vector, by an inverted file that probes as many lists as give its recall."""
+    return inverted.search(_file(spark, sf_dir), _asked(spark, sf_dir), 10, exclude_same=True).select("query_id", "id", _rounded(), "rank")
+
+
+@_query
+def topk_inverted_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, and then all lists that may hold something nearer: the exact result."""
+    return inverted.search(_file(spark, sf_dir), _asked(spark, sf_dir), 10, exclude_same=True, exact=True).select("query_id", "id", _rounded(), "rank")
+
+
 @_query
 def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.over_threshold(_hits(spark, sf_dir, 20)).select("query_id", "id", _rounded())
@@ -424,6 +452,17 @@ def eval_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("query_id", *(F.round(c, 6).alias(c) for c in ("correctness", "groundedness", "retrieval", "final_score")))
 
 
+@_query
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors put into a store, then every third anew and some by two new records: the last of each id is read back."""
+    rows, at = _read(spark, sf_dir, "embeddings"), _shared(spark)
+    record = lambda what: rows.select(F.col("vec_id").alias("id"), F.concat(F.lit(what), F.col("vec_id").cast("string")).alias("document"), "embedding", "label")
+    vectors.put(record("first "), at)
+    vectors.put(record("second ").where("id % 3 = 0"), at)
+    vectors.put(record("third ").where("id % 6 = 0").withColumn("label", F.lit(-1)), at)
+    return vectors.read(spark, at).select("id", "document", "label", F.size("embedding").alias("dims"))
+
+
 @_query
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents embedded by the substitute model."""
