@@ -1,17 +1,13 @@
-"""HTML to sections. A tree is built with the standard library's parser and the usual repairs of
-missing end tags; sections are read off the tree. One page is one row, so pages are independent and
-this runs in Arrow batches; all that follows is relational.
+"""HTML to nodes. A tree is built with the standard library's parser and the usual repairs of missing end
+tags, and written out as rows; what they mean is told in ``operators.nodes``.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-from . import rules
-
 HEADINGS = {f"h{k}": k for k in range(1, 7)}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = {
@@ -31,21 +27,11 @@ _CLOSES = {
 #: An end tag looks no further up than to one of these.
 _WALLS = {"table", "div", "article", "section", "body", "html", "details", "td"}
 
-_JUNK = [re.compile(rf"\b{p}\b", re.IGNORECASE) for p in rules.UI_JUNK]
-
 
 def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
-def clean(text: str) -> str:
-    """As ``functions.text.clean_text``."""
-    text = squeeze(text.replace("​", ""))
-    for phrase in _JUNK:
-        text = phrase.sub("", text)
-    return squeeze(text)
-
-
 @dataclass(eq=False)
 class Node:
     tag: str
@@ -61,33 +47,18 @@ class Node:
             yield node
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
 
-    def strings(self, skip: Node | None = None) -> Iterator[str]:
+    def strings(self) -> Iterator[str]:
         todo = list(reversed(self.children))
         while todo:
             node = todo.pop()
             if isinstance(node, str):
                 yield node
-            elif node is not skip:
+            else:
                 todo += reversed(node.children)
 
-    def text(self, skip: Node | None = None) -> str:
-        """Stripped strings joined by spaces, cleaned."""
-        return clean(" ".join(s.strip() for s in self.strings(skip) if s.strip()))
-
     def all(self, *tags: str) -> list[Node]:
         return [n for n in self.walk() if n.tag in tags]
 
-    def following(self) -> Iterator[Node]:
-        """Elements beside this one, after it."""
-        beside = self.parent.children if self.parent else []
-        at = next((k for k, c in enumerate(beside) if c is self), len(beside))
-        return (c for c in beside[at + 1 :] if isinstance(c, Node))
-
-    def remove(self) -> None:
-        if self.parent:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
-
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
@@ -127,226 +98,35 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-def remove_noise(root: Node) -> Node:
-    """Without navigation, scripts, forms and the like, by tag, class and hidden state."""
-    for node in list(root.walk()):
-        kinds = node.attrs.get("class", "").split()
-        marked = any(part in " ".join(kinds).lower() for part in rules.REMOVED_CLASS_PARTS)
-        if node.tag in rules.REMOVED_TAGS or node.attrs.get("aria-hidden") == "true" or marked or not set(kinds).isdisjoint(rules.REMOVED_CLASSES):
-            node.remove()
-    return root
-
-
-def page_title(root: Node, given: str | None) -> str:
-    for heading in root.all("h1")[:1]:
-        if text := heading.text():
-            return text
-    if given:
-        return clean(given)
-    return next((t.text() for t in root.all("title")), "Untitled Page")
-
-
-def heading_path(root: Node, heading: Node) -> list[str]:
-    """The nearest earlier heading of each higher level, then this one."""
-    level, found = HEADINGS.get(heading.tag, 7), {}
-    for node in root.walk():
-        if node is heading:
-            break
-        if (own := HEADINGS.get(node.tag)) and own < level and (text := node.text()):
-            found[own] = text
-    return [found[k] for k in sorted(found)] + [heading.text()]
-
-
-def below(heading: Node) -> str:
-    """The text of the elements after a heading, up to the next one of its level or higher."""
-    level, parts = HEADINGS.get(heading.tag, 6), []
-    for node in heading.following():
-        if HEADINGS.get(node.tag, 7) <= level:
-            break
-        parts.append(node.text())
-    return clean(" ".join(p for p in parts if p))
-
-
-def _distinct(sections: list[dict]) -> list[dict]:
-    first: dict[str, dict] = {}
-    for s in sections:
-        first.setdefault(f"{s['title']}|{s['content']}".lower(), s)
-    return list(first.values())
-
-
-def generic_sections(root: Node, least: int = 120, longest_title: int = 160) -> list[dict]:
-    headings = root.all("h1", "h2", "h3", "h4")
-    if not headings:
-        body = root.text()
-        return [{"title": "Main Content", "content": body, "heading_path": ["Main Content"], "heading_level": 1}] if len(body) >= least else []
-    out = []
-    for h in headings:
-        title, body = h.text(), below(h)
-        if title and len(title) <= longest_title and len(body) >= least:
-            out.append({"title": title, "content": body, "heading_path": heading_path(root, h), "heading_level": HEADINGS[h.tag], "anchor_id": h.attrs.get("id")})
-    return _distinct(out)
-
-
-def _has(text: str, words: tuple[str, ...]) -> bool:
-    return any(w in text for w in words)
-
-
-def is_question(text: str) -> bool:
-    return "?" in text and 18 <= len(text) <= 260 and not _has(text.lower(), rules.CTA_QUESTIONS)
-
-
-def _is_cta(question: str, answer: str) -> bool:
-    return len(answer) < 180 and _has(f"{question} {answer}".lower(), rules.CTA_ANSWERS)
-
-
-def category(table: dict[str, tuple[str, ...]], text: str, default: str) -> str:
-    return next((name for name, words in table.items() if _has(text.lower(), words)), default)
-
-
-def answer_to(tag: Node) -> str:
-    """The answer that belongs to a question's element: by definition list, details, control, position or container."""
-    if tag.tag == "dt" and (found := next((n for n in tag.following() if n.tag == "dd"), None)):
-        return found.text()
-    if tag.tag == "summary" and tag.parent and tag.parent.tag == "details":
-        return tag.parent.text(skip=next(iter(tag.parent.all("summary"))))
-    if (target := tag.attrs.get("aria-controls")) and tag.parent:
-        if found := next((n for n in tag.parent.walk() if n.attrs.get("id") == target), None):
-            return found.text()
-    parts = []
-    for node in tag.following():
-        text = node.text()
-        if not text:
+def node_rows(root: Node) -> list[tuple]:
+    """All nodes in document order, the root first: (number, last number inside, the parent's two, tag, the parent's tag, string, class,
+    hidden, id, aria-controls, first and past string inside, the parent's two). Strings are stripped, and only counted if something is left.
+    """
+    rows: list[list] = []
+    strings, todo = 0, [(root, -1)]
+    open_: list[int] = []  # rows whose end isn't known yet
+    while todo:
+        node, parent = todo.pop()
+        if node is None:
+            at = open_.pop()
+            rows[at][1], rows[at][12] = len(rows) - 1, strings
             continue
-        if node.tag in ("h2", "h3", "h4", "h5", "dt", "summary") or (node.tag == "button" and "?" in text):
-            break
-        parts.append(text)
-    if not parts and tag.parent:
-        # A clone of the container would have the container itself as a first match.
-        first = tag.parent if tag.parent.tag == tag.tag else next(iter(tag.parent.all(tag.tag)), None)
-        rest = "" if first is tag.parent else tag.parent.text(skip=first)
-        if rest.lower() != tag.text().lower():
-            parts.append(rest)
-    return clean(" ".join(parts))
-
-
-def _faq(question: str, answer: str) -> dict:
-    kind = category(rules.FAQ_CATEGORIES, f"{question} {answer}", "General")
-    return {
-        "title": question[:140], "content": f"Question: {question}\nAnswer: {answer}", "faq_category": kind, "question": question, "answer": answer,
-        "heading_path": ["FAQs", kind, question], "heading_level": 4, "retrieval_priority": 95,
-    }
-
-
-def faq_sections(root: Node, shortest_answer: int = 25) -> list[dict]:
-    found: dict[str, dict] = {}
-    for tag in root.all("h2", "h3", "h4", "h5", "dt", "button", "summary"):
-        question = tag.text()
-        if not is_question(question) or question.lower() in found:
+        over = rows[parent][4] if parent >= 0 else None
+        if isinstance(node, str):
+            if text := node.strip():
+                rows.append([len(rows), len(rows), parent, None, "#text", over, text, None, None, None, None, strings, strings + 1, None, None])
+                strings += 1
             continue
-        answer = answer_to(tag)
-        if len(answer) >= shortest_answer and not _is_cta(question, answer):
-            found[question.lower()] = _faq(question, answer)
-    return _distinct(list(found.values()) or _faq_lines(root, shortest_answer))
-
-
-def _faq_lines(root: Node, shortest_answer: int, longest: int = 7) -> list[dict]:
-    """Questions among the lines of visible text; each is answered by the lines up to the next."""
-    strings = "\n".join(s.strip() for s in root.strings() if s.strip())
-    lines = [line for line in map(clean, strings.split("\n")) if len(line) > 3]
-    asked = [k for k, line in enumerate(lines) if is_question(line)]
-    out = []
-    for at, upto in zip(asked, [*asked[1:], None], strict=True):
-        answer = clean(" ".join(x for x in lines[at + 1 : at + 1 + longest if upto is None else upto] if not _has(x.lower(), rules.NOISE_LINES)))
-        if len(answer) >= shortest_answer and not _is_cta(lines[at], answer):
-            out.append(_faq(lines[at], answer))
-    return out
-
-
-def is_course_title(lower: str) -> bool:
-    return 8 <= len(lower) <= 140 and not lower.endswith("?") and not _has(lower, rules.NOT_COURSE_TITLES) and _has(lower, rules.COURSE_TITLES)
-
-
-def course_sections(root: Node, shortest: int = 40) -> list[dict]:
-    kind, path, found = "elective", ["Course Progressions"], {}
-    for h in root.all("h2", "h3", "h4"):
-        name = h.text()
-        lower = name.lower()
-        if _has(lower, rules.COURSE_LABELS) and len(lower) < 80:
-            kind, path = category(rules.COURSE_TYPES, name, "elective"), heading_path(root, h)
-        elif is_course_title(lower) and lower not in found:
-            body = below(h)
-            found[lower] = {
-                "title": name, "content": f"Course: {name}\nCourse type: {kind}\n\n{body if len(body) >= shortest else name}", "course_name": name,
-                "course_type": kind, "heading_path": [*path, name], "heading_level": HEADINGS[h.tag], "anchor_id": h.attrs.get("id"), "retrieval_priority": 90,
-            }
-    return _distinct(list(found.values()))
-
-
-def is_person_name(text: str) -> bool:
-    return 4 <= len(text) <= 80 and "?" not in text and 2 <= len(text.split()) <= 6 and text[0].isupper() and not _has(text.lower(), rules.NOT_IN_NAMES)
-
-
-def role_line(line: str) -> tuple[str, str]:
-    if ";" in line:
-        academic, _, industry = line.partition(";")
-        return academic.strip(), industry.strip()
-    return (line, "") if _has(line.lower(), rules.ACADEMIC_ROLES) else ("", line)
-
-
-def _faculty(name: str, paragraphs: list[str], shortest: int = 60) -> dict | None:
-    academic, industry = role_line(paragraphs[0] if paragraphs else "")
-    labelled = (("Faculty: ", name), ("Academic role: ", academic), ("Industry role: ", industry), ("", clean(" ".join(paragraphs[1:]))))
-    content = "\n".join(label + value for label, value in labelled if value)
-    if len(content) < shortest:
-        return None
-    return {
-        "title": name, "content": content, "faculty_name": name, "academic_title": academic, "industry_role": industry,
-        "heading_path": ["Faculty, Instructors & Staff", name], "retrieval_priority": 80,
-    }
-
-
-def faculty_sections(root: Node) -> list[dict]:
-    cards: list[Node] = []
-    for tag, kind, part in rules.CARD_SELECTORS:
-        cards = [n for n in root.all(tag) if (kind is None or kind in n.attrs.get("class", "").split()) and (part is None or part in n.attrs.get("class", ""))]
-        if cards:
-            break
-    found = []
-    for card in cards:
-        name = next((n.text() for n in card.all("h2", "h3", "h4", "strong")), "")
-        if is_person_name(name):
-            found.append(_faculty(name, [t for p in card.all("p") if (t := p.text())]))
-    if not any(found):
-        for h in root.all("h2", "h3", "h4"):
-            paragraphs = []
-            for node in h.following():
-                if node.tag in ("h2", "h3", "h4"):
-                    break
-                paragraphs.append(node.text())
-            if is_person_name(h.text()) and (paragraphs := [p for p in paragraphs if p]):
-                found.append(_faculty(h.text(), paragraphs))
-    return _distinct([f for f in found if f])
-
-
-#: Special pages: words in the address, words in the title, and what reads them; the first that fits.
-_ROUTES: tuple[tuple[tuple[str, ...], tuple[str, ...], Callable[[Node], list[dict]]], ...] = (
-    (("faq",), ("faq",), faq_sections),
-    (("course-progressions",), ("course progression",), course_sections),
-    (("instructors-staff",), ("faculty", "instructor"), faculty_sections),
-)
-
-
-def page_sections(html: str | None, route_url: str, given_title: str | None = None, least: int = 120) -> tuple[str, list[dict]]:
-    """(page title, sections in document order). ``route_url`` is the address that was asked for."""
-    root = remove_noise(parse(html))
-    title, link = page_title(root, given_title), route_url.lower()
-    titles = f"{title} {given_title or ''}".lower()
-    read = next((f for urls, words, f in _ROUTES if _has(link, urls) or _has(titles, words)), None)
-    found = read(root) if read else []
-    if not found:
-        courses = course_sections(root) if _has(link, rules.COURSE_PATHS) and not _has(link, rules.NO_COURSE_PATHS) else []
-        found = courses + generic_sections(root, least)
-    return title, found
+        a = node.attrs
+        rows.append([len(rows), None, parent, None, node.tag, over, None, a.get("class"), a.get("aria-hidden") == "true", a.get("id"), a.get("aria-controls"), strings, None, None, None])
+        at = len(rows) - 1
+        open_.append(at)
+        todo.append((None, at))
+        todo += [(child, at) for child in reversed(node.children)]
+    for row in rows[1:]:
+        above = rows[row[2]]
+        row[3], row[13], row[14] = above[1], above[11], above[12]
+    return [tuple(r) for r in rows]
 
 
 def links(html: str | None) -> list[str]:

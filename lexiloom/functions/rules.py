@@ -118,6 +118,8 @@ CARD_SELECTORS = (
     ("div", None, "instructor"), ("div", None, "team-member"),
 )
 
+#: Beginnings of query parameters that say where a visitor came from. Fixed value.
+TRACKED_PARAMETERS = ("utm_",)
 SKIPPED_SUFFIXES = (
     ".pdf", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".zip", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".mp4",
 )

@@ -1,4 +1,4 @@
-"""Pages to sections: structure is read off the HTML in Arrow batches, all labels are expressions.
+"""Pages to sections: structure is read off the table of nodes, all labels are expressions.
 
 Order is semantic, so it is carried: page_seq, section_seq and, after chunking, chunk_index.
 """
@@ -11,13 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify as C, html as H, rules, text as T, urls as U
+from . import nodes
 
-_FIELDS = (
-    "title string, content string, heading_path array<string>, heading_level int, anchor_id string, faq_category string, question string, answer string, "
-    "course_name string, course_type string, faculty_name string, academic_title string, industry_role string, retrieval_priority int"
-)
-_NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
-_RAW = f"page_title string, sections array<struct<{', '.join(f'{n}:{t}' for n, t in (f.split() for f in _FIELDS.split(', ')))}>>"
+_META = ("route_url", "canonical", "last_modified", "page_title")
 
 
 def read_sections(pages: DataFrame, min_text_length: int = 120) -> DataFrame:
@@ -28,21 +24,13 @@ def read_sections(pages: DataFrame, min_text_length: int = 120) -> DataFrame:
     for name in ("page_title", "canonical_url", "final_url", "last_modified"):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast("string"))
-
-    @F.pandas_udf(_RAW)
-    def read(html: pd.Series, url: pd.Series, title: pd.Series) -> pd.DataFrame:
-        found = [H.page_sections(h, u or "", t, min_text_length) for h, u, t in zip(html, url, title, strict=True)]
-        rows = [[{n: s.get(n) for n in _NAMES} for s in sections] for _, sections in found]
-        return pd.DataFrame({"page_title": [t for t, _ in found], "sections": rows})
-
     first = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names))
     out = pages.withColumn("route_url", U.canonicalize_url("url"))
     out = out.withColumn("canonical", U.canonicalize_url(first("canonical_url", "final_url", "url")))
-    out = out.withColumn("read", read("html", "route_url", "page_title"))
     keep = [c for c in ("page_seq",) if c in pages.columns]
-    return out.select(*keep, "route_url", "canonical", "last_modified", F.col("read.page_title").alias("page_title"), F.posexplode("read.sections").alias("section_seq", "raw")).select(
-        *keep, "section_seq", "route_url", "canonical", "last_modified", "page_title", "raw.*"
-    )
+    found = nodes.sections(out.select(F.monotonically_increasing_id().alias("page"), F.struct(*keep, *_META).alias("meta"), "html"), min_text_length)
+    fields = [c for c in found.columns if c not in ("page", "meta", "page_title", "section_seq")]
+    return found.select(*(F.col(f"meta.{c}").alias(c) for c in keep), "section_seq", *(F.col(f"meta.{c}").alias(c) for c in _META[:3]), "page_title", *fields)
 
 
 def assemble(raw: DataFrame) -> DataFrame:

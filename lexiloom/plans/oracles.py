@@ -222,6 +222,27 @@ l AS (SELECT page_id, rtrim(site || replace(unnest(hrefs), '&amp;', '&'), '/') A
     "threshold": f"{_HITS} SELECT query_id, id, round(score, 6) AS score FROM h WHERE rank <= 20 AND score >= 0.35",
     "dedupe_hits": f"{_DISTINCT} SELECT query_id, id, round(score, 6) AS score FROM k WHERE nth = 1",
     "two_stage": f"{_DISTINCT} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM k WHERE nth = 1 AND score >= 0.35 QUALIFY rank <= 5",
+    "labelled_courses": """WITH p AS (SELECT *, p_partkey % 20 AS page_seq, (p_partkey // 20) % 4 AS kind FROM part)
+      SELECT page_seq, (row_number() OVER (PARTITION BY page_seq ORDER BY kind, p_partkey) - 1)::INT AS section_seq, 'Machine Learning in part ' || p_partkey AS course_name, ['core', 'elective', 'capstone', 'career_seminar'][kind + 1] AS course_type,
+        'All|' || ['Core Courses', 'Core Courses|Sample Elective', 'Capstone', 'Capstone|Career Seminar'][kind + 1] || '|Machine Learning in part ' || p_partkey AS path,
+        'Course: Machine Learning in part ' || p_partkey || chr(10) || 'Course type: ' || ['core', 'elective', 'capstone', 'career_seminar'][kind + 1] || chr(10) || chr(10)
+          || CASE WHEN length(p_name || ' by ' || p_brand) >= 40 THEN p_name || ' by ' || p_brand ELSE 'Machine Learning in part ' || p_partkey END AS content FROM p""",
+    "nested_sections": """WITH o AS (SELECT o_custkey, year(o_orderdate) AS y, month(o_orderdate) AS m, o_orderkey, o_orderstatus, ' is told here at some length, so that what stands under each heading has as many letters as a section needs at the least, and some.' AS l FROM orders WHERE o_custkey IS NOT NULL),
+      h AS (
+        SELECT o_custkey, y, m, o_orderkey AS k, 4 AS heading_level, 'Order ' || o_orderkey AS section_title, 'Order of state ' || o_orderstatus || l AS own, 'Customer ' || o_custkey || '|Year ' || y || '|Month ' || m AS above FROM o
+        UNION ALL SELECT DISTINCT o_custkey, y, m, -1, 3, 'Month ' || m, 'Bare ones aside, this' || l, 'Customer ' || o_custkey || '|Year ' || y FROM o
+        UNION ALL SELECT DISTINCT o_custkey, y, -1, -1, 2, 'Year ' || y, 'Bare ones aside, this' || l, 'Customer ' || o_custkey FROM o
+        UNION ALL SELECT DISTINCT o_custkey, -1, -1, -1, 1, 'Customer ' || o_custkey, 'Bare ones aside, this' || l, NULL FROM o),
+      n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY y, m, k) AS nth FROM h),
+      b AS (SELECT a.o_custkey, a.nth, string_agg(CASE WHEN d.nth = a.nth THEN d.own ELSE d.section_title || ' ' || d.own END, ' ' ORDER BY d.nth) AS body FROM n a JOIN n d ON d.o_custkey = a.o_custkey
+        AND (a.heading_level = 1 OR d.y = a.y AND (a.heading_level = 2 OR d.m = a.m AND (a.heading_level = 3 OR d.k = a.k))) GROUP BY ALL),
+      r AS (SELECT n.*, body, row_number() OVER (PARTITION BY n.o_custkey, lower(section_title || '|' || body) ORDER BY n.nth) AS same FROM n JOIN b ON b.o_custkey = n.o_custkey AND b.nth = n.nth)
+      SELECT o_custkey AS page_seq, (row_number() OVER (PARTITION BY o_custkey ORDER BY nth) - 1)::INT AS section_seq, section_title, heading_level, concat_ws('|', above, section_title) AS path, sha256(body) AS hash FROM r WHERE same = 1""",
+    "faq_lines": f"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'What is said in turn ' || turn || ' of this?' ELSE {clean("'It is said that ' || regexp_replace(text, '[?\\s<&]+', ' ', 'g')")} END AS line FROM conversations),
+      s AS (SELECT *, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS asked, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last_asked FROM t),
+      a AS (SELECT conv_id, asked, coalesce(string_agg(line, ' ' ORDER BY turn) FILTER (role <> 'user' AND (asked < last_asked OR turn <= asked + 7)), '') AS answer FROM s WHERE asked IS NOT NULL GROUP BY conv_id, asked),
+      q AS (SELECT conv_id AS page_seq, 'What is said in turn ' || asked || ' of this?' AS question, {clean("answer")} AS answer FROM a)
+      SELECT page_seq, question, sha256(answer) AS answer_hash, 95 AS retrieval_priority FROM q WHERE length(answer) >= 25""",
     "vector_store": "SELECT vec_id AS id, (CASE WHEN vec_id % 6 = 0 THEN 'third ' WHEN vec_id % 3 = 0 THEN 'second ' ELSE 'first ' END) || vec_id AS document, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS label, len(embedding)::INT AS dims FROM embeddings",
     "index_docs": f"SELECT doc_id::VARCHAR AS id, {clean('''concat('Page title: ', source, chr(10), 'Section title: ', lang, chr(10), 'Content type: overview', chr(10), 'Program type: general', chr(10), chr(10), text)''')} AS document FROM documents",
     "index_metadata": f"{_DOCS} SELECT doc_id::VARCHAR AS id, source AS page_title, lang AS section_title, {tokens('text')} AS token_count, nullif(array_to_string({ordered_distinct('''regexp_extract_all(body, '[a-z0-9.]+@[a-z0-9.]+')''')}, ', '), '') AS emails FROM d",

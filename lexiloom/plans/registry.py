@@ -10,8 +10,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import classify as C, html as H, text as T, urls as U
-from ..operators import chunk, crawl, dedupe, evaluate, generate, index, inverted, retrieve, sections
+from ..functions import classify as C, text as T, urls as U
+from ..operators import chunk, crawl, dedupe, evaluate, generate, index, inverted, nodes, retrieve, sections
 from ..sources import vectors
 from .oracles import ORACLES as ORACLES
 
@@ -220,11 +220,8 @@ def _page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def title(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda x: H.page_title(H.remove_noise(H.parse(x)), None))
-
-    return _read(spark, sf_dir, "pages").select("page_id", title("html").alias("page_title"))
+    meta = F.struct("page_id", F.lit(None).cast("string").alias("page_title"))
+    return nodes.page_titles(_read(spark, sf_dir, "pages").select(F.monotonically_increasing_id().alias("page"), meta.alias("meta"), "html")).select("meta.page_id", "page_title")
 
 
 @_query
@@ -260,6 +257,48 @@ def course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.read_sections(pages).select("page_seq", "course_name", "course_type", "content", F.array_join("heading_path", "|").alias("path"), "heading_level")
 
 
+@_query
+def labelled_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier a page of its parts as courses, in four sorts of headings between which labels stand, nested in turn."""
+    c = F.col
+    label = F.element_at(F.array(F.lit("Core Courses"), F.lit("Sample Elective"), F.lit("Capstone"), F.lit("Career Seminar")), (c("kind") + 1).cast("int"))
+    course = F.concat(F.lit("<h4>Machine Learning in part "), c("p_partkey").cast("string"), F.lit("</h4><p>"), c("p_name"), F.lit(" by "), c("p_brand"), F.lit("</p>"))
+    group = F.concat(F.when(c("kind") % 2 == 0, F.lit("<h2>")).otherwise(F.lit("<h3>")), label, F.when(c("kind") % 2 == 0, F.lit("</h2>")).otherwise(F.lit("</h3>")), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", course.alias("h")))), lambda x: x["h"]), ""))
+    parts = _read(spark, sf_dir, "part").select("*", (c("p_partkey") % 20).alias("on"), (F.floor(c("p_partkey") / 20) % 4).alias("kind"))
+    groups = parts.groupBy("on", "kind").agg(group.alias("part"))
+    pages = groups.groupBy("on").agg(F.concat(F.lit("<h1>All</h1>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "part"))), lambda x: x["part"]), "")).alias("html"))
+    pages = pages.select(c("on").alias("page_seq"), F.lit("https://x.example/course-progressions").alias("url"), "html")
+    return sections.read_sections(pages).select("page_seq", "section_seq", "course_name", "course_type", F.array_join("heading_path", "|").alias("path"), "content")
+
+
+@_query
+def nested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer's orders: year under customer, month under year, order under month, each heading with a section of its own."""
+    c = F.col
+    long_ = F.lit(" is told here at some length, so that what stands under each heading has as many letters as a section needs at the least, and some.")
+    line = F.concat(F.lit("<h4>Order "), c("o_orderkey").cast("string"), F.lit("</h4><p>Order of state "), c("o_orderstatus"), long_, F.lit("</p>"))
+    orders = _read(spark, sf_dir, "orders").where("o_custkey IS NOT NULL").select("o_custkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_orderkey", line.alias("part"))
+    head = lambda k, *name: F.concat(F.lit(f"<h{k}>"), *name, F.lit(f"</h{k}><p>Bare ones aside, this"), long_, F.lit("</p>"))
+    under = lambda key: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "part"))), lambda x: x["part"]), "")
+    months = orders.groupBy("o_custkey", "year", "month").agg(F.concat(head(3, F.lit("Month "), c("month").cast("string")), under("o_orderkey")).alias("part"))
+    years = months.groupBy("o_custkey", "year").agg(F.concat(head(2, F.lit("Year "), c("year").cast("string")), under("month")).alias("part"))
+    pages = years.groupBy("o_custkey").agg(F.concat(head(1, F.lit("Customer "), c("o_custkey").cast("string")), under("year")).alias("html"))
+    pages = pages.select(c("o_custkey").alias("page_seq"), F.concat(F.lit("https://x.example/c/"), c("o_custkey").cast("string")).alias("url"), "html")
+    return sections.read_sections(pages).select("page_seq", "section_seq", c("title").alias("section_title"), "heading_level", F.array_join("heading_path", "|").alias("path"), T.sha256("content").alias("hash"))
+
+
+@_query
+def faq_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lines of a page: turns of users ask, what others say up to the next one answers."""
+    c = F.col
+    ask = F.concat(F.lit("What is said in turn "), c("turn").cast("string"), F.lit(" of this?"))
+    line = F.when(c("role") == "user", ask).otherwise(F.concat(F.lit("It is said that "), F.regexp_replace("text", "[?\\s<&]+", " ")))
+    lines = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<p>"), line, F.lit("</p>")).alias("part"))
+    pages = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "").alias("html"))
+    pages = pages.select(c("conv_id").alias("page_seq"), F.lit("https://x.example/faqs").alias("url"), "html")
+    return sections.read_sections(pages).where("question IS NOT NULL").select("page_seq", "question", T.sha256("answer").alias("answer_hash"), "retrieval_priority")
+
+
 @_query
 def faculty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People made of the suppliers, on cards or under headings."""
