@@ -34,6 +34,8 @@ CHUNK, MISSED = 16, 0.01
 APART = 34.4
 #: Vectors under one chunk from which on they are grouped into cells, and rows of a block.
 CROWD, BLOCK = 64, 512
+#: Components of the vectors that a rotation is learnt on, in all.
+LEARNT = 1 << 25
 
 
 def tables_for(n: int, threshold: float) -> tuple[int, int]:
@@ -72,7 +74,10 @@ def _sound(v: Column) -> Column:
 
 
 def _units(column: pa.Array, dims: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    """Rows of unit length; shorter vectors are filled up with zeros."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    x = np.zeros((len(sizes), dims))
+    x[np.arange(dims) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -236,23 +241,23 @@ def near_vectors(table: DataFrame, *, threshold: float = 0.93, sample: int = 20_
     """One row for each row of ``table`` (vec_id, embedding, label): row, vec_id, n_links, component_id, kept.
 
     Two vectors link when their labels are equal and not null and their cosine is at least
-    ``threshold``. Vectors that are null, empty or zero, hold null or non-finite components, or have
-    another length than most link with nothing; tiny and huge components are scaled first.
-    The rotation is learnt on ``sample`` vectors at most; all vectors are coded. Repeated rows link
+    ``threshold``. Vectors that are null, empty or zero or hold null or non-finite components link with
+    nothing, and vectors of different lengths don't link; tiny and huge components are scaled first.
+    The rotation is learnt on ``sample`` vectors at most, fewer if they are very long; all vectors are coded. Repeated rows link
     with each other and count each. component_id is the least vec_id reachable, null ids aside; kept
     marks the rows with that id. An empty table gives no row. Other columns are not read.
     """
     rows = saved(table.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")))
     sound = rows.where(F.col("label").isNotNull() & _sound(F.col("embedding")))
-    sizes = sound.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    least_dims, dims = sound.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
     alone = rows.select("row", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None:
+    if dims is None:
         return alone
-    dims = sizes["d"]
-    sound = sound.where(F.size("embedding") == dims)
+    if least_dims < dims:  # what has another length is as what has another label
+        sound = saved(sound.withColumn("label", F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string"))))
     classes = saved(sound.groupBy("label", "embedding").agg(F.min("row").alias("node"), F.count("*").alias("size"), F.min("vec_id").alias("least_id")))
     chunk, n_tables = tables_for(classes.count(), threshold)
-    picked = classes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(sample).select("embedding").toArrow()
+    picked = classes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(min(sample, max(64, LEARNT // dims))).select("embedding").toArrow()
     mean, projection = learn_rotation(_units(picked.column(0).combine_chunks(), dims), chunk * n_tables, seed=seed)
     coded = saved(codes(classes, dims, mean, projection, chunk))
     cells = _cells(coded, threshold)

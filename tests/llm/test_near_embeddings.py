@@ -198,6 +198,24 @@ def test_vectors_like_brute_force(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0 and embeddings.near_vectors(df.where("label IS NULL")).first().n_links == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    """Each length is compared with itself, the rarer ones too; equal beginnings of other lengths don't link."""
+    rng = np.random.default_rng(11)
+    v = []
+    for d, n in ((3, 2), (8, 30), (24, 60), (40, 6)):
+        base = rng.standard_normal((n, d))
+        v += [list(map(float, b + rng.standard_normal(d) * s)) for b in base for s in (0, 0, 0.02)]
+    v += [[*v[-1], 0.0], v[0][:2], [1.0], [2.0], [-1.0]]
+    df = spark.createDataFrame([(k, x, 5) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r for r in embeddings.near_vectors(df).collect()}
+    links = np.zeros((len(v), len(v)), bool)
+    for d in {len(x) for x in v}:
+        own = [k for k, x in enumerate(v) if len(x) == d]
+        links[np.ix_(own, own)] = brute([v[k] for k in own], [5] * len(own), 0.93)
+    assert [got[k].n_links for k in range(len(v))] == links.sum(1).tolist() and links[:6].any()
+    assert [got[k].component_id for k in range(len(v))] == linked([{(min(i, j), max(i, j)) for j in np.flatnonzero(links[i])} for i in range(len(v))], 0)
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(6)
     a = rng.standard_normal((400, 64))
