@@ -123,3 +123,15 @@ def faq_category(question: Column | str, answer: Column | str) -> Column:
 
 def course_type(heading: Column | str) -> Column:
     return by_table(_blob(heading), rules.COURSE_TYPES, "elective")
+
+
+def is_question(c: Column) -> Column:
+    """For a clean text: a question of some length that doesn't call to act."""
+    return c.contains("?") & F.length(c).between(18, 260) & ~has_any(F.lower(c), rules.CTA_QUESTIONS)
+
+
+def role_line(line: Column) -> tuple[Column, Column]:
+    """(academic, industry): divided at a semicolon, else by the words of academic roles."""
+    academic = has_any(F.lower(line), rules.ACADEMIC_ROLES)
+    left, right = F.trim(F.split(line, ";", 2)[0]), F.trim(F.get(F.split(line, ";", 2), F.lit(1)))
+    return F.when(line.contains(";"), left).when(academic, line).otherwise(""), F.when(line.contains(";"), right).when(academic, "").otherwise(line)

@@ -161,7 +161,7 @@ def _candidates(page: DataFrame) -> DataFrame:
         rest = F.when(named.isNull() & (e["parent_tag"] != e["tag"]), T.let(alike(e), lambda x: F.when(x.isNotNull(), without(e, x))))
         return _section("faq", 1, e["text"], F.coalesce(named, _strings(texts, e["past"], e["answer_past"], e["parent"])), rest=rest)
 
-    asked = F.filter(all_, lambda e: e["tag"].isin(*_ASKING) & is_question(e["text"]))
+    asked = F.filter(all_, lambda e: e["tag"].isin(*_ASKING) & C.is_question(e["text"]))
     questions = F.transform(asked, answer)
 
     # Lines of visible text: those from one question to the next answer it.
@@ -169,7 +169,7 @@ def _candidates(page: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(lines, lambda x: T.clean_text(x)), lambda x: F.length(x) > 3)
 
     def of_lines(all_lines: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(all_lines)), lambda k: F.coalesce(is_question(F.get(all_lines, k)), F.lit(False)))
+        at = F.filter(F.sequence(F.lit(0), F.size(all_lines)), lambda k: F.coalesce(C.is_question(F.get(all_lines, k)), F.lit(False)))
 
         def one(at: Column) -> Column:
             def said(k: Column, nth: Column) -> Column:
@@ -218,10 +218,6 @@ def _is_card(tag: str, kind: str | None, part: str | None):
     return fits
 
 
-def is_question(c: Column) -> Column:
-    return c.contains("?") & F.length(c).between(18, 260) & ~C.has_any(F.lower(c), rules.CTA_QUESTIONS)
-
-
 def _title() -> Column:
     """The first h1 with text, else what the page is said to be called, else its title element."""
     first = lambda tag: F.get(F.filter("elements", lambda e: e["tag"] == tag), F.lit(0))["text"]
@@ -229,13 +225,6 @@ def _title() -> Column:
     return C.first_match([(F.coalesce(first("h1"), F.lit("")) != "", first("h1")), (F.coalesce(given, F.lit("")) != "", T.clean_text(given))], F.coalesce(first("title"), F.lit("Untitled Page")))
 
 
-def _role(line: Column) -> tuple[Column, Column]:
-    """(academic, industry): divided at a semicolon, else by the words of academic roles."""
-    academic = C.has_any(F.lower(line), rules.ACADEMIC_ROLES)
-    left, right = F.trim(F.split(line, ";", 2)[0]), F.trim(F.get(F.split(line, ";", 2), F.lit(1)))
-    return F.when(line.contains(";"), left).when(academic, line).otherwise(""), F.when(line.contains(";"), right).when(academic, "").otherwise(line)
-
-
 def page_titles(pages: DataFrame) -> DataFrame:
     """(page, meta, page_title) for ``pages`` (page, meta, html)."""
     rows = _elements(node_table(pages)).groupBy("page").agg(F.first("meta", ignorenulls=True).alias("meta"), F.sort_array(F.collect_list(F.when(F.col("tag").isin("h1", "title"), F.struct("pre", "tag", "text")))).alias("elements"))
@@ -263,7 +252,7 @@ def sections(pages: DataFrame, least: int = 120) -> DataFrame:
     found = _worked_out(found, title=title, body=body, parts=F.filter(F.slice("read", 4, 2**31 - 4), lambda p: p != ""))
     found = _worked_out(found, read=F.transform(F.array("body", F.array_join(F.slice("parts", 2, 2**31 - 2), " ")), lambda x: T.clean_text(x)))
     found = _worked_out(found, body=at(0), bio=at(1))
-    academic, industry = _role(F.coalesce(F.get("parts", F.lit(0)), F.lit("")))
+    academic, industry = C.role_line(F.coalesce(F.get("parts", F.lit(0)), F.lit("")))
     found = _worked_out(found, academic=academic, industry=industry, category=C.faq_category("title", "body"))
     person, faq, course = how.isin("card", "person"), how.isin("faq", "line"), how == "course"
     labelled = [F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c))) for label, c in (("Faculty: ", "title"), ("Academic role: ", "academic"), ("Industry role: ", "industry"), ("", "bio"))]

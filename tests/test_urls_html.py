@@ -43,6 +43,8 @@ Q2 = "What courses does the program have for us?"
 A2 = "It has a great many courses of all kinds and levels for you."
 B, FAQ, C, N = "http://x/", "http://x/faqs", "http://x/course-progressions", "http://x/instructors-staff"
 PAGES = [
+ (C, f"<h2>Core Courses</h2><h3>Machine Learning I</h3><p>x</p>", None), (C, f"<h2>Core Courses{'x' * 80}</h2><h3>Machine Learning I</h3><p>x</p>", None),
+ (FAQ, "<h3>Where would I find more of this?</h3><p>Please get in touch with any of us here</p>", None), (FAQ, "<h3>Where would I find more of this?</h3><p>In the library, on the second floor.</p>", None),
  (B, None, None), (B, "", "Given"), (B, f"<p>{L2}</p>", None), (B, "<p>short", None),
  (B, f"<h1>One</h1><p>{L2}</p><h2>Two</h2>bare {L2}<div>{L2}<h3>Three</h3><p>{L2}</p></div><h3>Four</h3><p>{L2} x</p><h2>Five</h2><p>{L2}</p><h2>Five</h2><p>{L2}</p>", None),
  (B, f"<title> T  t </title><nav><h1>Nav</h1>{L2}</nav><h2 id=a>Two</h2><div class='x site-menu'>{L2}</div><p aria-hidden=true>{L2}</p><p class='share'>{L2}</p><p>{L2}</p><h4>{'t' * 161}</h4><p>{L2}</p>", None),
