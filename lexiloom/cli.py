@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom import chat
-from lexiloom.operators import generate, index, inverted, retrieve
+from lexiloom.operators import generate, index, inverted, lexical, retrieve
 from lexiloom.operators.crawl import crawl
 from lexiloom.plans.config import Settings
 from lexiloom.plans.ingest import ask, run_ingest
@@ -48,6 +48,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--content-type")
     parser.add_argument("--program-type")
     parser.add_argument("--top-k", type=int, default=5)
+    parser.add_argument("--by-words", action="store_true", help="ask: rerank by BM25 and answer in sentences of the sources")
     parser.add_argument("--port", type=int, default=8501)
     given = parser.parse_args(args)
     settings, spark = Settings.from_env(), SparkSession.builder.appName("lexiloom").getOrCreate()
@@ -67,6 +68,7 @@ def main(args: list[str] | None = None) -> None:
         chat.server(chat.answerer(records(spark, settings).cache(), settings, nearest=nearest(spark, settings)), given.port).serve_forever()
     else:
         known, lists = records(spark, settings).cache(), nearest(spark, settings)
+        corpus = lexical.corpus(known, "document") if given.by_words else None
         for line in _lines():
             questions = _questions(spark, [line])
             if given.step == "search":
@@ -74,7 +76,7 @@ def main(args: list[str] | None = None) -> None:
                 found = retrieve.search(known, asked, given.top_k, given.content_type, given.program_type, lists)
                 found.select("rank", F.round(1 - F.col("distance"), 4).alias("similarity"), "metadata.section_title", F.substring("document", 1, 1400).alias("document")).orderBy("rank").show(truncate=False)
             else:
-                out = ask(known, questions, settings, nearest=lists, content_type=given.content_type, program_type=given.program_type)
+                out = ask(known, questions, settings, nearest=lists, content_type=given.content_type, program_type=given.program_type, corpus=corpus)
                 row = out.select("answer", generate.source_lines(F.col("sources")).alias("lines")).first()
                 print(row.answer, row.lines, sep="\n")
 

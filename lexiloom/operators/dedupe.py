@@ -36,26 +36,42 @@ def dedupe_sections(sections: DataFrame, order: Sequence[str] = ("page_seq", "se
 
     With each address's sections in one run, which a crawl gives, this is the first of each address
     and content. ``contiguous=False`` takes any order: a section goes if its (address, title, content)
-    was kept before, or if its address is that of the last section kept with its content.
+    was kept before, or if its address is that of the last section kept with its content. ``order`` must tell sections apart.
     """
     near = content_fingerprint("content")
     if contiguous:
         return keep_first_slim(sections, [F.col("url"), near], order)
+    return _dedupe_any_order(sections, near, list(order))
+
+
+def _dedupe_any_order(sections: DataFrame, near: Column, order: list[str]) -> DataFrame:
+    """Sections are kept that begin a run of one address among the live ones of their content; one is live whose key no earlier kept one has.
+
+    Who is live follows from who is kept and the other way round, so both are worked out in rounds until nothing changes. After each
+    round one more of a content's sections, from the first on, is settled at the least; it takes two rounds, and one more wherever a repeated
+    key hides a change of address. Rounds are of addresses and hashes, not of texts, and are checkpointed in the session's folder.
+    """
     key = T.sha256(F.lower(F.concat_ws("|", "url", "section_title", F.coalesce(F.nullif("content_clean", F.lit("")), "content"))))
-    place = F.struct(*order)
-    slim = sections.select(near.alias("near"), F.struct(place.alias("place"), F.col("url").alias("url"), key.alias("key")).alias("x"))
-    kind = slim.schema["x"].dataType["place"].dataType.simpleString()
-    begin = F.struct(F.lit("").alias("url"), F.expr("cast(array() AS array<string>)").alias("keys"), F.expr(f"cast(array() AS array<{kind}>)").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        drop = F.array_contains(s["keys"], x["key"]) | ((F.size(s["keys"]) > 0) & (s["url"] == x["url"]))
-        kept = F.struct(x["url"].alias("url"), F.concat(s["keys"], F.array(x["key"])).alias("keys"), F.concat(s["kept"], F.array(x["place"])).alias("kept"))
-        return F.when(drop, s).otherwise(kept)
-
-    # Keys and places of the sections with one content, in one row: not their texts.
-    groups = slim.groupBy("near").agg(F.array_sort(F.collect_list("x")).alias("rows"))
-    places = groups.select(F.explode(F.aggregate("rows", begin, step)["kept"]).alias("_order"))
-    return sections.withColumn("_order", place).join(places, "_order", "left_semi").drop("_order")
+    slim = sections.select(near.alias("near"), F.struct(*order).alias("place"), "url", key.alias("key"))
+    # Ranges of (content, place), so that the sections of one content may be in many tasks.
+    rows = slim.repartitionByRange("near", "place").withColumns({"part": F.spark_partition_id(), "gone": F.lit(False)}).checkpoint()
+    while True:
+        live = rows.where("NOT gone")
+        in_part = Window.partitionBy("part").orderBy("near", "place")
+        last = live.groupBy("part").agg(F.max_by(F.struct("near", "url"), F.struct("near", "place")).alias("_last"))
+        # One row for each range: what the ranges before it end with.
+        border = last.select("part", F.lag("_last").over(Window.orderBy("part")).alias("_border"))
+        before = live.withColumns({"_before": F.lag(F.struct("near", "url")).over(in_part), "_nth": F.row_number().over(in_part)}).join(F.broadcast(border), "part")
+        before = before.withColumn("_before", F.when(F.col("_nth") == 1, F.col("_border")).otherwise(F.col("_before")))
+        heads = before.where(~F.coalesce(F.col("_before") == F.struct("near", "url"), F.lit(False))).select("near", "place", "key")
+        first = heads.groupBy("near", "key").agg(F.min("place").alias("_kept"))
+        told = rows.join(first, ["near", "key"], "left").withColumn("_gone", F.coalesce(F.col("place") > F.col("_kept"), F.lit(False)))
+        told = told.select(*rows.columns, "_gone", (F.col("place") == F.col("_kept")).alias("kept")).checkpoint()
+        if told.where("gone <> _gone").isEmpty():
+            break
+        rows = told.withColumn("gone", F.col("_gone")).select(*rows.columns)
+    kept = told.where("kept").select(F.col("place").alias("_order"))
+    return sections.withColumn("_order", F.struct(*order)).join(kept, "_order", "left_semi").drop("_order")
 
 
 def with_duplicate_of(sections: DataFrame, order: Sequence[str] = ("page_seq", "section_seq")) -> DataFrame:

@@ -7,8 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import text as T
+from .lexical import words
 from .models import Judge, SharedWordsJudge
 
+#: The share of a sentence's words that a sentence which bears it out must have.
+SUPPORT = 0.5
+
 
 def hit_rate(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """One row for each of ``cases`` (query_id, expected_content_type, expected_keywords): type_hit, keyword_hit, success.
@@ -80,3 +85,40 @@ def judged_scores(judged: DataFrame, model: Callable[[], Judge] = SharedWordsJud
             yield pd.DataFrame(scores, columns=["faithfulness", "response_relevancy", "context_precision"])
 
     return judged.withColumn("_scores", run("question", "answer", "contexts", "reference")).select(*judged.columns, "_scores.*")
+
+
+def _sentences(text: Column) -> Column:
+    """The sets of words of a text's sentences; a sentence without words is none."""
+    return F.filter(F.transform(T.split_sentences(T.clean_text(text)), lambda s: F.array_distinct(words(s))), lambda s: F.size(s) > 0)
+
+
+def _covered(sentence: Column, by: Column) -> Column:
+    """The greatest share of a sentence's words that one of the sentences ``by`` has."""
+    return F.coalesce(F.array_max(F.transform(by, lambda s: F.size(F.array_intersect(sentence, s)) / F.size(sentence))), F.lit(0.0))
+
+
+def aligned_scores(judged: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """``judged`` (question, answer, contexts, reference) with the three scores of a judge, by aligning sentences, in expressions alone.
+
+    faithfulness: the share of the answer's sentences that a sentence of some context bears out, having ``support`` of its words.
+    response_relevancy: the mean, over the question's sentences, of the greatest share of its words that a sentence of the answer has.
+    context_precision: the mean share of good contexts down to each good one; one is good that bears out a sentence of the reference.
+    Nulls count as empty; what has no sentence scores 0. A row's work is the product of its sentences and its contexts'.
+    """
+    sets = F.struct(
+        *(_sentences(F.col(c)).alias(c) for c in ("question", "answer", "reference")),
+        F.transform(F.coalesce("contexts", F.expr("cast(array() AS array<string>)")), _sentences).alias("contexts"),
+    )
+    share = lambda part, of: F.when(F.size(of) > 0, part / F.size(of)).otherwise(0.0)
+
+    def scores(s: Column) -> Column:
+        given = F.flatten(s["contexts"])
+        borne = F.size(F.filter(s["answer"], lambda a: _covered(a, given) >= support))
+        met = F.aggregate(F.transform(s["question"], lambda q: _covered(q, s["answer"])), F.lit(0.0), lambda x, y: x + y)
+        good = F.transform(s["contexts"], lambda c: F.exists(s["reference"], lambda r: _covered(r, c) >= support))
+        count = lambda flags: F.size(F.filter(flags, lambda g: g))
+        down_to = lambda flags: F.transform(flags, lambda g, k: F.when(g, count(F.slice(flags, 1, k + 1)) / (k + 1)).otherwise(0.0))
+        precision = T.let(good, lambda g: F.when(count(g) > 0, F.aggregate(down_to(g), F.lit(0.0), lambda x, y: x + y) / count(g)).otherwise(0.0))
+        return F.struct(share(borne, s["answer"]).alias("faithfulness"), share(met, s["question"]).alias("response_relevancy"), precision.alias("context_precision"))
+
+    return judged.withColumn("_scores", T.let(sets, scores)).select(*judged.columns, "_scores.*")

@@ -68,11 +68,14 @@ def prompt(context: Column, question: Column) -> Column:
     return F.concat(F.lit(_ASK), context, F.lit(_QUESTION), question, F.lit(_WANTED))
 
 
-def answer(questions: DataFrame, final: DataFrame, distinct: DataFrame, model: Callable[[], Generator] = FirstSource, collection: str = COLLECTION) -> DataFrame:
+def answer(
+    questions: DataFrame, final: DataFrame, distinct: DataFrame, model: Callable[[], Generator] = FirstSource, collection: str = COLLECTION, said: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, question, answer, sources, retrieved): one row for each of ``questions`` (query_id, question).
 
     A question without a final hit is refused, with no source and the hits before the threshold.
-    A failing model fails the job, its message kept.
+    A failing model fails the job, its message kept. ``said`` (query_id, said) holds answers that are there already, as
+    ``lexical.extractive_answers`` makes them, in place of a model's; a question that it lacks is refused.
     """
 
     @F.pandas_udf("string")
@@ -89,7 +92,10 @@ def answer(questions: DataFrame, final: DataFrame, distinct: DataFrame, model: C
     built = context_and_sources(final)
     seen = context_and_sources(distinct.withColumn("rerank_score", F.lit(None).cast("double"))).select("query_id", F.col("chunks").alias("seen"))
     out = questions.join(built, "query_id", "left").join(seen, "query_id", "left")
-    out = out.withColumn("said", run(F.when(F.col("context").isNotNull(), prompt(F.col("context"), F.col("question")))))
+    if said is not None:
+        out = out.join(said.select("query_id", "said"), "query_id", "left")
+    else:
+        out = out.withColumn("said", run(F.when(F.col("context").isNotNull(), prompt(F.col("context"), F.col("question")))))
     return out.select(
         "query_id", "question", F.coalesce("said", F.lit(refusal(collection))).alias("answer"),
         F.coalesce("sources", F.slice(F.array(F.lit(None).cast(built.schema["sources"].dataType.elementType)), 1, 0)).alias("sources"),

@@ -118,6 +118,12 @@ def over_threshold(hits: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     return hits.where(F.col("score").isNull() | (F.col("score") >= least))
 
 
+def best(hits: DataFrame, k: int, query: str = "query_id") -> DataFrame:
+    """The k best for each query by ``rerank_score``, then score, then id."""
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("rerank_score"), F.desc_nulls_last("score"), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def rerank(hits: DataFrame, k: int, model: Callable[[], Scorer] = SharedWords, query: str = "query_id") -> DataFrame:
     """The k best for each query by a model's score of (question, document), as rerank_score and rank."""
 
@@ -127,15 +133,21 @@ def rerank(hits: DataFrame, k: int, model: Callable[[], Scorer] = SharedWords, q
         for questions, documents in parts:
             yield pd.Series(made.score(list(questions.fillna("")), list(documents.fillna(""))), dtype="float64")
 
-    out = hits.withColumn("rerank_score", run("question", "document"))
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("rerank_score"), F.desc_nulls_last("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best(hits.withColumn("rerank_score", run("question", "document")), k, query)
+
 
+def two_stage(
+    hits: DataFrame, final_k: int = FINAL_K, least: float = MIN_SCORE, model: Callable[[], Scorer] | None = SharedWords,
+    scored: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(distinct hits, final hits): order, duplicates, threshold, then reranking or a cut.
 
-def two_stage(hits: DataFrame, final_k: int = FINAL_K, least: float = MIN_SCORE, model: Callable[[], Scorer] | None = SharedWords) -> tuple[DataFrame, DataFrame]:
-    """(distinct hits, final hits): order, duplicates, threshold, then reranking or a cut."""
+    ``scored`` gives the hits a rerank_score as a table, as ``lexical.bm25`` does, in place of a model.
+    """
     distinct = dedupe_hits(hits)
     good = over_threshold(distinct, least)
+    if scored is not None:
+        return distinct, best(scored(good), final_k)
     if model is None:
         return distinct, ordered(good).where(F.col("rank") <= final_k).withColumn("rerank_score", F.lit(None).cast("double"))
     return distinct, rerank(good, final_k, model)

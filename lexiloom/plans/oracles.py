@@ -138,6 +138,55 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 _DISTINCT = f"{_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, label, id % 3 ORDER BY score DESC, id) AS nth FROM h WHERE rank <= 20)"
 
 
+
+def _words(x: str) -> str:
+    return rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+')"
+
+
+def _sets(x: str) -> str:
+    """The sets of words of the sentences of a text."""
+    return f"list_filter(list_transform({sentences(clean(x))}, lambda s: list_distinct({_words('s')})), lambda s: len(s) > 0)"
+
+
+def _covered(a: str, by: str) -> str:
+    return f"coalesce(list_max(list_transform({by}, lambda y: len(list_intersect({a}, y)) / len({a}))), 0.0)"
+
+
+def _overlap(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+
+
+_BM25 = f"""{_DISTINCT}, w AS (SELECT doc_id, text, {_words('text')} AS ws FROM documents),
+df AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(ws)) AS word FROM w) GROUP BY word),
+z AS (SELECT count(*) AS n_all, avg(len(ws)) AS mean FROM w),
+g AS (SELECT k.query_id, k.id, k.score, a.ws, a.text FROM k JOIN w a ON a.doc_id = k.id JOIN w b ON b.doc_id = k.query_id WHERE nth = 1 AND score >= 0.35),
+qw0 AS (SELECT query_id, unnest(list_distinct(w.ws)) AS word FROM (SELECT DISTINCT query_id FROM g) JOIN w ON doc_id = query_id),
+qw AS (SELECT query_id, word, ln(1 + (n_all - n + 0.5) / (n + 0.5)) AS weight FROM qw0 JOIN df USING (word), z),
+tf AS (SELECT query_id, id, word, long, count(*) AS times FROM (SELECT query_id, id, len(ws) AS long, unnest(ws) AS word FROM g) GROUP BY ALL),
+sc AS (SELECT query_id, id, sum(weight * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * long / mean))) AS s FROM tf JOIN qw USING (query_id, word), z GROUP BY ALL),
+f AS (SELECT g.*, round(coalesce(s, 0), 9) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 9) DESC, score DESC, id)::INT AS rank FROM g LEFT JOIN sc USING (query_id, id) QUALIFY rank <= 5)"""
+_EXTRACTIVE = f"""{_BM25}, l0 AS (SELECT query_id, rank, {sentences(clean('text'))} AS ss FROM f),
+l1 AS (SELECT query_id, rank, unnest(ss) AS sentence, unnest(range(0, len(ss))) AS place FROM l0),
+l AS (SELECT *, list_distinct({_words('sentence')}) AS set FROM l1),
+r AS (SELECT query_id, rank, place, sum(weight) AS s FROM (SELECT query_id, rank, place, unnest(set) AS word FROM l) JOIN qw USING (query_id, word) GROUP BY ALL),
+v AS (SELECT l.*, round(s / whole, 9) AS relevance FROM l JOIN r USING (query_id, rank, place) JOIN (SELECT query_id, sum(weight) AS whole FROM qw GROUP BY 1) USING (query_id)
+  WHERE round(s / whole, 9) > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s / whole, 9) DESC, rank, place) <= 20),
+p1 AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * relevance, 9) DESC, rank, place) = 1),
+v2 AS (SELECT v.*, {_overlap('v.set', 'p1.set')} AS near FROM v JOIN p1 USING (query_id) WHERE NOT (v.rank = p1.rank AND v.place = p1.place)),
+p2 AS (SELECT * FROM v2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * relevance - 0.3 * near, 9) DESC, rank, place) = 1),
+v3 AS (SELECT v2.* EXCLUDE (near), greatest(v2.near, {_overlap('v2.set', 'p2.set')}) AS near FROM v2 JOIN p2 USING (query_id) WHERE NOT (v2.rank = p2.rank AND v2.place = p2.place)),
+p3 AS (SELECT * FROM v3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * relevance - 0.3 * near, 9) DESC, rank, place) = 1),
+p AS (SELECT query_id, rank, sentence, 1 AS nth FROM p1 UNION ALL SELECT query_id, rank, sentence, 2 FROM p2 UNION ALL SELECT query_id, rank, sentence, 3 FROM p3)
+SELECT query_id, string_agg(sentence || ' [Source ' || rank || ']', ' ' ORDER BY nth) AS said FROM p GROUP BY query_id"""
+_ALIGNED = f"""WITH t AS (SELECT *, lag(text) OVER w AS question, first(text) OVER w AS reference, list(text) FILTER (text IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT conv_id, turn, {_sets('question')} AS q, {_sets('text')} AS a, {_sets('reference')} AS r, list_transform(coalesce(before, []), lambda c: {_sets('c')}) AS cs FROM t WHERE role = 'assistant'),
+g AS (SELECT *, list_transform(cs, lambda c: len(list_filter(r, lambda x: {_covered('x', 'c')} >= 0.5)) > 0) AS good FROM s)
+SELECT conv_id AS query_id, turn,
+  round(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: {_covered('x', 'flatten(cs)')} >= 0.5)) / len(a) ELSE 0.0 END, 6) AS faithfulness,
+  round(CASE WHEN len(q) > 0 THEN list_sum(list_transform(q, lambda x: {_covered('x', 'a')})) / len(q) ELSE 0.0 END, 6) AS response_relevancy,
+  round(CASE WHEN len(list_filter(good, lambda x: x)) > 0 THEN list_sum(list_transform(good, lambda x, i: CASE WHEN x THEN len(list_filter(good[1:i], lambda y: y)) / i ELSE 0.0 END)) / len(list_filter(good, lambda x: x)) ELSE 0.0 END, 6) AS context_precision FROM g"""
+
+
 def _found(pattern: str, name: str) -> str:
     all_ = f"regexp_extract_all(text, {lit(pattern)})"
     return f"SELECT doc_id, array_to_string({ordered_distinct(all_)}, '|') AS {name} FROM documents WHERE len({all_}) > 0"
@@ -168,6 +217,12 @@ ORACLES: dict[str, str] = {
     "dedupe_within_source": f"WITH f AS (SELECT doc_id, source, sha256(lower({clean('text')})) AS fp FROM documents) SELECT min(doc_id) AS doc_id, source FROM f GROUP BY source, fp",
     "duplicate_of": f"WITH f AS (SELECT doc_id, source, sha256(lower({clean('text')})) AS fp FROM documents), "
     "g AS (SELECT *, min(doc_id) OVER (PARTITION BY source, fp) AS first_id FROM f) SELECT doc_id, first_id AS duplicate_of FROM g WHERE doc_id <> first_id",
+    "dedupe_any_order": f"""WITH RECURSIVE n AS (SELECT doc_id, source, sha256(lower({clean('text')})) AS fp, lower(concat_ws('|', source, lang, coalesce(nullif({clean('text')}, ''), text))) AS key FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS i FROM n),
+f AS (SELECT fp, i, doc_id, source AS last, [key] AS keys, true AS kept FROM o WHERE i = 1
+  UNION ALL SELECT o.fp, o.i, o.doc_id, CASE WHEN list_contains(keys, key) THEN last ELSE source END,
+    CASE WHEN list_contains(keys, key) OR source IS NOT DISTINCT FROM last THEN keys ELSE list_append(keys, key) END, NOT (list_contains(keys, key) OR source IS NOT DISTINCT FROM last) FROM f JOIN o ON o.fp = f.fp AND o.i = f.i + 1)
+SELECT f.doc_id, o.source FROM f JOIN o USING (doc_id) WHERE kept""",
     "chunks": f"{_CHUNKS} SELECT doc_id, chunk_index, chunk_count, {tokens('content')} AS token_count, sha256(content) AS hash FROM c",
     "chunk_stats": f"{_CHUNKS} SELECT (chunk_count > 1) AS is_chunk, count(*) AS n, sum({tokens('content')})::BIGINT AS n_tokens, max({tokens('content')}) AS max_tokens FROM c GROUP BY 1",
     "chunk_dedupe": f"{_CHUNKS} SELECT doc_id, chunk_index FROM c QUALIFY row_number() OVER (PARTITION BY sha256(lower(content)) ORDER BY doc_id, chunk_index) = 1",
@@ -222,6 +277,9 @@ l AS (SELECT page_id, rtrim(site || replace(unnest(hrefs), '&amp;', '&'), '/') A
     "threshold": f"{_HITS} SELECT query_id, id, round(score, 6) AS score FROM h WHERE rank <= 20 AND score >= 0.35",
     "dedupe_hits": f"{_DISTINCT} SELECT query_id, id, round(score, 6) AS score FROM k WHERE nth = 1",
     "two_stage": f"{_DISTINCT} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM k WHERE nth = 1 AND score >= 0.35 QUALIFY rank <= 5",
+    "two_stage_bm25": f"{_BM25} SELECT query_id, id, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score, rank FROM f",
+    "answer_extractive": _EXTRACTIVE,
+    "eval_alignment": _ALIGNED,
     "labelled_courses": """WITH p AS (SELECT *, p_partkey % 20 AS page_seq, (p_partkey // 20) % 4 AS kind FROM part)
       SELECT page_seq, (row_number() OVER (PARTITION BY page_seq ORDER BY kind, p_partkey) - 1)::INT AS section_seq, 'Machine Learning in part ' || p_partkey AS course_name, ['core', 'elective', 'capstone', 'career_seminar'][kind + 1] AS course_type,
         'All|' || ['Core Courses', 'Core Courses|Sample Elective', 'Capstone', 'Capstone|Career Seminar'][kind + 1] || '|Machine Learning in part ' || p_partkey AS path,

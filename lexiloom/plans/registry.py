@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify as C, text as T, urls as U
-from ..operators import chunk, crawl, dedupe, evaluate, generate, index, inverted, nodes, retrieve, sections
+from ..operators import chunk, crawl, dedupe, evaluate, generate, index, inverted, lexical, nodes, retrieve, sections
 from ..sources import vectors
 from .oracles import ORACLES as ORACLES
 
@@ -134,6 +134,14 @@ def dedupe_within_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.dedupe_sections(slim).select("doc_id", F.col("url").alias("source"))
 
 
+@_query
+def dedupe_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without runs of one address: a text may come back from a source after another source had it, under another title."""
+    _with_checkpoints(spark)
+    slim = _as_sections(spark, sf_dir).select("doc_id", "url", "section_title", "content", "content_clean", "page_seq", "section_seq")
+    return dedupe.dedupe_sections(slim, contiguous=False).select("doc_id", F.col("url").alias("source"))
+
+
 @_query
 def duplicate_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedupe.with_duplicate_of(_as_sections(spark, sf_dir).select("doc_id", "url", "content", "page_seq", "section_seq"))
@@ -418,6 +426,30 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.two_stage(_hits_with_labels(spark, sf_dir, 20), model=None)[1].select("query_id", "id", _rounded(), "rank")
 
 
+def _reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lexical.Corpus]:
+    """Final hits of every fiftieth vector, reranked by BM25 of its document for the document of the hit; and the corpus of all documents."""
+    texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+    asked = texts.select(F.col("id").alias("query_id"), F.col("document").alias("question"))
+    _with_checkpoints(spark)
+    hits = _hits_with_labels(spark, sf_dir, 20).checkpoint()  # found once: reranking reads hits thrice
+    corpus = lexical.corpus(_docs(spark, sf_dir))
+    scored = lambda good: lexical.bm25(good.join(texts, "id").join(asked, "query_id"), corpus)
+    return retrieve.two_stage(hits, scored=scored)[1], corpus
+
+
+@_query
+def two_stage_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both stages, the second by BM25."""
+    return _reranked(spark, sf_dir)[0].select("query_id", "id", _rounded(), F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+@_query
+def answer_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of three sentences out of the final hits, each with its source."""
+    final, corpus = _reranked(spark, sf_dir)
+    return lexical.extractive_answers(final.checkpoint(), corpus).select("query_id", "said")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return docs.select(
@@ -480,6 +512,16 @@ def eval_turn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("conv_id").alias("query_id"), "turn", F.round(right, 9).alias("correctness"), grounded.alias("groundedness"), F.round(evaluate.final_score(right, grounded, F.lit(0.0)), 9).alias("final_score"))
 
 
+@_query
+def eval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All assistant turns as answers to the turns before them, judged by the conversation's earlier turns, its first being the reference."""
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    earlier = F.array_compact(F.collect_list("text").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    told = {"question": F.lag("text").over(before), "contexts": earlier, "reference": F.first("text").over(before)}
+    judged = _read(spark, sf_dir, "conversations").withColumns(told).where("role = 'assistant'").withColumnRenamed("text", "answer")
+    return evaluate.aligned_scores(judged).select(F.col("conv_id").alias("query_id"), "turn", *(F.round(c, 6).alias(c) for c in ("faithfulness", "response_relevancy", "context_precision")))
+
+
 @_query
 def eval_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two turns of conversations as expectation and answer; the hits of the vector of that number, if asked for, as what was retrieved."""
