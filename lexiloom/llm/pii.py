@@ -10,8 +10,10 @@ replaced by a more general one wherever a document holds the entity, from ``remo
 terms are what the corpus has that begins alike: the longest beginning of at most ``PREFIX`` letters that occurs in so many
 documents that it discloses none of the entities; above all of them is any word. A pair that occurs in ``support``
 different texts is judged by its counts. Personal data is mostly in one text alone, so rarer pairs are
-judged too, but their P(entity | term) shrinks to P(entity): seen in r different texts, the counts are
-trusted as r / (r + 1). Copies of one text do not add to r.
+judged too where the term is a name by its shape, written with a capital in each of its places. Their
+P(entity | term) shrinks to P(entity): seen in r different texts, the counts are trusted as r / (r + 1),
+and such a term is generalised at most, however many documents there are: one sight of it is no proof. Copies of one text do not add to r.
+Words that are no names by shape, or of a script without capitals, need ``support`` texts.
 
 Texts stay where they are scanned, and those with an entity are stored once: entities, terms and
 counts are shuffled, never whole groups. A fixed-size bitmap of the terms in question keeps the document
@@ -128,15 +130,19 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _terms(holders: DataFrame) -> DataFrame:
-    """(row, term): each word outside the entities once for a document that holds some."""
+    """(row, term, name): each word outside the entities once for a document that holds some; whether each of its places begins with a capital."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text, known in zip(batch.column("row").to_pylist(), batch.column("held"), batch.column("known"), strict=True):
-                terms = sorted({t for t, _, _ in free_terms(text.as_py(), [(x["start"], x["end"]) for x in known.as_py()])})
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["row", "term"])
+                body, names = text.as_py(), {}
+                for term, start, _ in free_terms(body, [(x["start"], x["end"]) for x in known.as_py()]):
+                    names[term] = names.get(term, True) and body[start].isupper()
+                terms = sorted(names)
+                columns = [pa.array([row] * len(terms), pa.int64()), pa.array(terms, pa.string()), pa.array([names[t] for t in terms], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "term", "name"])
 
-    return holders.select("row", "held", "known").mapInArrow(run, "row long, term string")
+    return holders.select("row", "held", "known").mapInArrow(run, "row long, term string, name boolean")
 
 
 def _marked(telling: DataFrame) -> DataFrame:
@@ -235,14 +241,16 @@ def find_personal_data(docs: DataFrame, *, generalise: float = 0.7, remove: floa
         n_term = counts.where(~F.col("term").endswith("*")).withColumnRenamed("n", "n_term")
         n_term = saved(n_term.where(F.col("n_term") <= most(F.lit(n_entity.agg(F.max("n_entity")).first()[0]))))
         both = saved(terms.join(n_term, "term").join(of_row, "row").where(F.col("n_term") <= most(F.col("n_entity"))))
-        texts = both.groupBy("entity", "term", "content").agg(F.count("*").alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
-        judged = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+        texts = both.groupBy("entity", "term", "content").agg(F.count("*").alias("n"), F.bool_and("name").alias("name"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+        judged = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"), F.bool_and("name").alias("name"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+        known_well = F.col("texts") >= support
+        judged = judged.where(known_well | F.col("name"))
         content = -F.log2(F.col("n_entity") / n_docs)
         told, base = F.col("n_both") / F.col("n_term"), F.col("n_entity") / n_docs
-        told = F.when(F.col("texts") >= support, told).otherwise((F.col("texts") * told + base) / (F.col("texts") + 1))
+        told = F.when(known_well, told).otherwise((F.col("texts") * told + base) / (F.col("texts") + 1))
         mutual = F.log2(told / base)
         judged = judged.withColumn("disclosure", F.when(content > 0, mutual / content).otherwise(0.0)).where(F.col("disclosure") >= generalise)
-        judged = judged.select("entity", "term", "n_entity", F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("rank"))
+        judged = judged.select("entity", "term", "n_entity", F.when(known_well & (F.col("disclosure") >= remove), 5).otherwise(4).alias("rank"))
         telling = both.select("row", "entity", "term").join(judged, ["entity", "term"])
         telling = saved(telling.groupBy("row", "term").agg(F.max("rank").alias("rank"), F.max("n_entity").alias("n_entity")))
         kinds_of = telling.where("rank = 4").select("term", "n_entity").distinct()

@@ -145,6 +145,24 @@ def test_terms_of_an_entity_in_one_text_are_judged(spark):
     assert not any(found[k] for k in range(6, len(texts)))
 
 
+def test_one_sight_of_a_word_is_no_proof(spark):
+    """However large the corpus, words that stand beside one address alone stay, and names beside it are generalised, not removed."""
+    for n in (300, 3000):
+        texts = ["please write to anna@example.org about gardening quarrels with Quibble tomorrow"] + [f"a plain text {k % 7} of nothing and no one" for k in range(n)]
+        found = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("size(spans) > 0").collect()
+        assert [x.doc_id for x in found] == [0]
+        assert [(texts[0][s.start : s.end], s.kind) for s in found[0].spans] == [("anna@example.org", "email"), ("Quibble", "generalised")], n
+
+
+def test_share_of_marked_words(spark):
+    """Of the words of the documents with personal data few are marked, and none removed without three texts to show for it."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = pii.find_personal_data(docs).where("exists(spans, s -> s.kind IN ('email', 'ip', 'card', 'phone'))")
+    marked = found.select(F.sum(F.size(F.filter("spans", lambda s: s["kind"].isin("generalised", "removed")))).alias("n")).first().n or 0
+    words = found.select("doc_id").join(docs, "doc_id").select(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"))))).first()[0]
+    assert marked < 0.15 * words, (marked, words)
+
+
 def test_terms_become_more_general_ones(spark):
     """The longest beginning that is common enough in the corpus, checked by counting all documents."""
     texts = [f"mail zed{k}@example.org of Hamburgerin{chr(97 + k)} from Xq" for k in range(3)] + [f"a hamster ham{'burg' * (k % 3 == 0)} and text {k} is plain" for k in range(600)]
