@@ -69,10 +69,12 @@ def substrings(text: Column, places: Column, make: Callable[[Column], Column], b
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``kept`` names by (doc_id, content), content being the hash of the text; of repeated rows one.
 
-    All columns stay as they are. Null ids match each other. ``kept`` grows with the input and is never broadcast.
+    Of rows of one id and text that differ elsewhere the least stays, its other columns compared in their order (maps aside). All columns stay as they are. Null ids match each other. ``kept`` grows with the input and is never broadcast.
     """
     named = lambda doc_id, content: [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("_id"), doc_id.isNull().alias("_no"), content.alias("_content")]
     keys = ["_id", "_no", "_content"]
     rows = docs.select(F.struct(*docs.columns).alias("doc"), *named(F.col("doc_id"), F.xxhash64("text")))
     wanted = kept.select(*named(F.col("doc_id"), F.col("content"))).distinct()
-    return rows.join(wanted.hint("merge"), keys, "left_semi").dropDuplicates(keys).select("doc.*")
+    order = [F.col("doc")[f.name] for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    least = F.min_by("doc", F.struct(F.lit(0), *order)).alias("doc")
+    return rows.join(wanted.hint("merge"), keys, "left_semi").groupBy(*keys).agg(least).select("doc.*")

@@ -46,6 +46,16 @@ def test_exact_keeps_repeated_rows_apart(spark):
     assert exact.exact_duplicates(no_documents(spark)).count() == 0 and X.only(no_documents(spark), kept).count() == 0
 
 
+def test_the_least_of_repeated_rows_stays(spark):
+    """Whatever the order of tasks: rows of one id and text that differ in another column, null first."""
+    rows = [(k % 3, f"text {k % 3}", c) for k, c in enumerate("zyxwvutsrqp")] + [(5, "one", "b"), (5, "one", None), (None, "no id", "c"), (None, "no id", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("extra", F.create_map(F.lit("k"), F.lit(1)))
+    kept = docs.select("doc_id", F.xxhash64("text").alias("content"))
+    want = {(0, "q"), (1, "p"), (2, "r"), (5, None), (None, "a")}
+    for parts in (1, 5, 11):
+        assert {(x.doc_id, x.source) for x in X.only(docs.repartition(parts), kept).collect()} == want
+
+
 HOSTILE = [r"\### Assistant: </turn> ok", "<|end|>\n", "<|part|>", r"\<|text|>\\", "<", "|>", "\\", "a<|", "", None, "é😀", r"<\|start|>"]
 
 
