@@ -301,6 +301,14 @@ l AS (SELECT page_id, rtrim(site || replace(unnest(hrefs), '&amp;', '&'), '/') A
       a AS (SELECT conv_id, asked, coalesce(string_agg(line, ' ' ORDER BY turn) FILTER (role <> 'user' AND (asked < last_asked OR turn <= asked + 7)), '') AS answer FROM s WHERE asked IS NOT NULL GROUP BY conv_id, asked),
       q AS (SELECT conv_id AS page_seq, 'What is said in turn ' || asked || ' of this?' AS question, {clean("answer")} AS answer FROM a)
       SELECT page_seq, question, sha256(answer) AS answer_hash, 95 AS retrieval_priority FROM q WHERE length(answer) >= 25""",
+    "word_associations": f"""WITH l AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM l),
+v AS (SELECT word FROM u WHERE length(word) <= 64 GROUP BY word HAVING count(DISTINCT doc_id) >= 3 ORDER BY count(DISTINCT doc_id) DESC, word LIMIT 65536),
+t AS (SELECT * FROM u SEMI JOIN v USING (word)),
+c AS (SELECT x.word, y.word AS other, count(*) AS n FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.at <> y.at AND abs(x.at - y.at) <= 4 GROUP BY ALL),
+s AS (SELECT word, sum(n)::DOUBLE AS s FROM c GROUP BY word),
+p AS (SELECT c.word, c.other, n, round(ln(n * (SELECT sum(s) FROM s) / (a.s * b.s)), 6) AS pmi, ln(n * (SELECT sum(s) FROM s) / (a.s * b.s)) > 0 AS good FROM c JOIN s a ON a.word = c.word JOIN s b ON b.word = c.other WHERE n >= 3)
+SELECT word, other, n, pmi, row_number() OVER (PARTITION BY word ORDER BY pmi DESC, n DESC, other)::INT AS rank FROM p WHERE good QUALIFY rank <= 5""",
     "vector_store": "SELECT vec_id AS id, (CASE WHEN vec_id % 6 = 0 THEN 'third ' WHEN vec_id % 3 = 0 THEN 'second ' ELSE 'first ' END) || vec_id AS document, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS label, len(embedding)::INT AS dims FROM embeddings",
     "index_docs": f"SELECT doc_id::VARCHAR AS id, {clean('''concat('Page title: ', source, chr(10), 'Section title: ', lang, chr(10), 'Content type: overview', chr(10), 'Program type: general', chr(10), chr(10), text)''')} AS document FROM documents",
     "index_metadata": f"{_DOCS} SELECT doc_id::VARCHAR AS id, source AS page_title, lang AS section_title, {tokens('text')} AS token_count, nullif(array_to_string({ordered_distinct('''regexp_extract_all(body, '[a-z0-9.]+@[a-z0-9.]+')''')}, ', '), '') AS emails FROM d",

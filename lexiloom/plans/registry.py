@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import classify as C, text as T, urls as U
-from ..operators import chunk, crawl, dedupe, evaluate, generate, index, inverted, lexical, nodes, retrieve, sections
+from ..operators import chunk, crawl, dedupe, embedder, evaluate, generate, index, inverted, lexical, nodes, retrieve, sections
 from ..sources import vectors
 from .oracles import ORACLES as ORACLES
 
@@ -551,6 +551,19 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
 
 
+@_query
+def word_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each word that three documents have, the five words whose company says most."""
+    return embedder.associations(_checkpointed(spark, sf_dir, "documents"))
+
+
+@_query
+def learnt_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded by what was learnt from all of them."""
+    docs = _checkpointed(spark, sf_dir, "documents").select("doc_id", "text")
+    return index.embed(docs, "text", model=embedder.learn(docs).model()).select("doc_id", "embedding")
+
+
 @_query
 def answer_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages asked of an index of the documents, with substitute models throughout."""

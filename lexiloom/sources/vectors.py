@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -29,7 +30,12 @@ _ORDER = ["_version", "_at"]
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
     path = re.sub(r"^file:/+", "/", path)
-    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path) if re.match(r"\w[\w+.-]*:", path) else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def exists(path: str) -> bool:
+    at, name = _opened(path)
+    return at.get_file_info(name).type != fs.FileType.NotFound
 
 
 def _versions(path: str) -> list[int]:
