@@ -31,7 +31,7 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """For tokenizer files whose words are independent: white space dropped, no merges across it.
+    """For tokenizer files whose words are independent: white space dropped, no merges across it. Others are an error.
 
     Such files also split a word between a letter or digit and the mark that follows it, and ignore
     case where ``lower`` is true; a new word is then put together from the word without them.
@@ -46,6 +46,9 @@ class WordEncoder:
         self._split: dict[tuple[str, str], bool] = {}
         self._max_words, self._max_length, self._chars = max_words, max_length, chars
         alone = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
+        parts = "then", "Th\u00e8se,", "\u00fcber", "12", "a", "\u0434\u0430", "don't."
+        if any(alone(text) != [x for p in parts for x in alone(p)] for text in (" ".join(parts), "  " + " \n\t".join(parts) + " ")):
+            raise ValueError(f"{path}: the ids of a text aren't those of its words one by one")
         mark = alone(_MARK)
         self._mark = mark[0] if len(mark) == 1 else None
         self._tails = {c: self._encode(c) for c in ",." if alone(f"tion{c}") == [*alone("tion"), *alone(c)] and alone(f"T9{c}") == [*alone("T9"), *alone(c)]}

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import dropped, saved
+from .text import masked
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 BITMAP_BITS = 1 << 20
@@ -270,15 +271,7 @@ def find_personal_data(docs: DataFrame, *, generalise: float = 0.7, remove: floa
 
 def replaced(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets, terms by what they become, removed ones by nothing; spans that overlap are one place."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        mask = F.coalesce(x["into"], F.concat(F.lit("["), x["kind"], F.lit("]")))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], gap, mask)).otherwise(s["out"]).alias("out"))
-
-    done = F.aggregate(spans, begin, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    return masked(text, spans, lambda x: F.coalesce(x["into"], F.concat(F.lit("["), x["kind"], F.lit("]"))))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
@@ -286,6 +279,6 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     found = find_personal_data(docs, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("spans").alias("_spans"))
     found = found.dropDuplicates(["_id", "_content"])
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("_own"))
-    out = rows.join(found, F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_content")), "left")
+    out = rows.join(found.hint("merge"), F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_content")), "left")
     new = F.when(F.col("_spans").isNull(), F.col("doc.text")).otherwise(replaced(F.col("doc.text"), F.col("_spans")))
     return out.select(*(new.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as X
-from .text import let
+from .text import let, masked
 
 # The forms of the contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -155,12 +155,4 @@ def spelled(spans: Column) -> Column:
 def redacted(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with each secret in the text replaced by ``mask``; secrets that overlap make one place."""
     found = find_secrets(docs, **options)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substr("text", s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        fresh = x["start"] >= s["at"]
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], gap, F.lit(mask))).otherwise(s["out"]).alias("out"))
-
-    done = F.aggregate("secrets", begin, step)
-    return found.withColumn("text", F.when(F.size("secrets") > 0, F.concat(done["out"], F.substr("text", done["at"] + 1, F.length("text")))).otherwise(F.col("text")))
+    return found.withColumn("text", masked(F.col("text"), F.col("secrets"), lambda _: F.lit(mask)))

@@ -33,8 +33,8 @@ def blocks(text: Column, size: int) -> Column:
     return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(cut)
 
 
-def running(lengths: Column, step: int = 512) -> Column:
-    """array<int>: for each of ``lengths``, the sum of those before it.
+def running(lengths: Column, step: int = 512, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """array<int>: for each of ``lengths``, the sum of those before it, or what else ``add`` makes of them, from 0 on.
 
     Sums are made within runs of ``step`` items, then over the runs, so no long array is copied once for each item.
     """
@@ -42,11 +42,11 @@ def running(lengths: Column, step: int = 512) -> Column:
 
     def sums(part: Column) -> Column:
         begin = F.struct(F.lit(0).alias("total"), ints.alias("before"))
-        return F.aggregate(part, begin, lambda s, n: F.struct((s["total"] + n).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
+        return F.aggregate(part, begin, lambda s, n: F.struct(add(s["total"], n).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
 
     def of(x: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / step).cast("int")), lambda k: sums(F.slice(x, k * step + 1, step)))
-        whole = lambda r: F.zip_with(r, sums(F.transform(r, lambda y: y["total"]))["before"], lambda y, t: F.transform(y["before"], lambda b: b + t))
+        whole = lambda r: F.zip_with(r, sums(F.transform(r, lambda y: y["total"]))["before"], lambda y, t: F.transform(y["before"], lambda b: add(b, t)))
         return F.when(F.size(x) > 0, F.flatten(let(runs, whole))).otherwise(ints)
 
     return let(lengths, of)
@@ -66,6 +66,23 @@ def substrings(text: Column, places: Column, make: Callable[[Column], Column], b
     return let(blocks(text, block), of)
 
 
+def masked(text: Column, spans: Column, mask: Callable[[Column], Column]) -> Column:
+    """The text with each of ``spans`` (array<struct<start, end, ...>>, by start) replaced by its ``mask``; of spans that overlap the first one's.
+
+    What lies between spans is cut out of blocks and joined once: no state grows with the text.
+    """
+    gap = lambda start, end, put: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.coalesce(put, F.lit("")).alias("mask"))
+
+    def of(all_: Column) -> Column:
+        ends = F.transform(all_, lambda x: x["end"].cast("int"))
+        before = F.zip_with(all_, running(ends, add=F.greatest), lambda x, reached: gap(reached, x["start"], mask(x)))
+        gaps = F.concat(F.filter(before, lambda g: g["start"] <= g["end"]), F.array(gap(F.array_max(ends), F.length(text), F.lit(""))))
+        put = lambda g: F.array_join(F.zip_with(substrings(text, g, lambda c: c), g, lambda c, x: F.concat(c, x["mask"])), "")
+        return let(gaps, put)
+
+    return F.when(F.size(spans) > 0, let(spans, of)).otherwise(text)
+
+
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``kept`` names by (doc_id, content), content being the hash of the text; of repeated rows one.
 

@@ -2,10 +2,11 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from lexiloom.llm import pii, quality, queries, secrets
+from lexiloom.llm import pii, quality, queries, secrets, text as text_functions
 from tests.conftest import DATA
 from tests.llm.data import no_documents, odd_documents
 
@@ -292,3 +293,26 @@ def test_kth_largest(spark):
     rows = spark.createDataFrame([(v,) for v in x], "v double")
     for k in (1, 7, 1500, 2999, 3000):
         assert quality.kth_largest(rows, "v", k, few=20, bins=16) == sorted(x, reverse=True)[k - 1]
+
+
+def masked_by_a_loop(text, spans):
+    at, out = 0, ""
+    for start, end, put in spans:
+        if start >= at:
+            out += text[at:start] + (put or "")
+        at = max(at, end)
+    return out + text[at:] if spans else text
+
+
+def test_masked_like_a_loop(spark):
+    """Spans that overlap, touch, lie in each other, are empty or many; texts at the edges of blocks, and one of 600,000 letters."""
+    rng, rows = random.Random(4), [(0, None, []), (1, "", []), (2, "abc", [(0, 3, "x")]), (3, "abc", [(0, 0, "x"), (3, 3, "y")]), (4, "é😀" * 2048, [(4095, 4096, None), (4096, 4096, "z")])]
+    for k, (size, n) in enumerate([(10, 3), (50, 20), (4096, 30), (8192, 700), (9000, 2000), (600_000, 20_000)], 5):
+        text = "".join(rng.choice("abñ😀 ") for _ in range(size))
+        starts = sorted(rng.randrange(size) for _ in range(n))
+        rows.append((k, text, [(a, min(size, a + rng.choice([0, 1, 5, 40])), rng.choice(["[x]", "", None])) for a in starts]))
+    df = spark.createDataFrame(rows, "id long, text string, spans array<struct<start:int,end:int,into:string>>")
+    began = time.monotonic()
+    got = {r.id: r.out for r in df.select("id", text_functions.masked(F.col("text"), F.col("spans"), lambda x: x["into"]).alias("out")).collect()}
+    assert got == {k: masked_by_a_loop(t, s) for k, t, s in rows}
+    assert time.monotonic() - began < 60

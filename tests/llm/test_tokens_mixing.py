@@ -31,6 +31,14 @@ def test_encoder_like_the_tokenizer(tokenizer):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_encoder_refuses_what_it_cannot_encode():
+    """A vocabulary whose pieces begin with their space."""
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="one by one"):
+        encoding.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_encoder_over_all_code_points(tokenizer):
     """Each code point alone, before and after marks, within and at the end of a word; of ideographs, syllables and what is unassigned every 97th."""
     plain = lambda k: k % 97 and (0x3400 <= k < 0xD800 or k >= 0x17000 and not 0x1AFF0 <= k < 0x20000)
