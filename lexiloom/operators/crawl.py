@@ -32,8 +32,7 @@ def crawl(
         while n < max_pages and (waiting := left.count()):
             some = left if waiting <= max_pages - n else left.orderBy("seq").limit(max_pages - n).checkpoint()
             got = fetch(some).checkpoint()
-            places = got.select("seq", (F.lit(n) + F.row_number().over(Window.orderBy("seq")) - 1).alias("page_seq"))  # numbers alone, in one task
-            level_part = got.join(places, "seq").withColumn("depth", F.lit(depth)).checkpoint()
+            level_part = _numbered(got, n).withColumn("depth", F.lit(depth)).checkpoint()
             n += level_part.count()
             level = level_part if level is None else level.unionByName(level_part)
             left = left.join(some.select("seq"), "seq", "left_anti").select("url", "seq").checkpoint()
@@ -51,6 +50,17 @@ def crawl(
         depth += 1
 
 
+def _numbered(pages: DataFrame, first: int) -> DataFrame:
+    """``pages`` with page_seq, from ``first`` on in the order of seq: places within sorted ranges, and what the ranges before hold."""
+    placed = pages.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33)
+    held = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    starts = held.select("_part", (F.lit(first) + before).alias("_first"))
+    place = F.col("_first") + F.col("_at") - F.shiftleft("_part", 33)
+    return placed.join(F.broadcast(starts), part == F.col("_part")).withColumn("page_seq", place.cast("int")).drop("_at", "_part", "_first")
+
+
 def _first_of_each(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("url").agg(F.min("seq").alias("seq"))
 

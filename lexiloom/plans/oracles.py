@@ -143,6 +143,9 @@ def _words(x: str) -> str:
     return rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+')"
 
 
+_SAID = "t AS (SELECT conv_id AS query_id, coalesce(string_agg(text, ' ' ORDER BY turn, text) FILTER (role = 'user'), '') AS expected, coalesce(string_agg(text, ' ' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS answer FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)"
+
+
 def _sets(x: str) -> str:
     """The sets of words of the sentences of a text."""
     return f"list_filter(list_transform({sentences(clean(x))}, lambda s: list_distinct({_words('s')})), lambda s: len(s) > 0)"
@@ -260,8 +263,8 @@ v AS (SELECT *, list_filter(string_split_regex(lower(expected), '\\s+'), lambda
 c AS (SELECT conv_id AS query_id, turn, len(list_filter(words, lambda x: contains(lower(text), x))) / len(words) AS share, CASE WHEN contains(text, '[Source') THEN 1.0 ELSE 0.0 END::DOUBLE AS groundedness FROM v)
 SELECT query_id, turn, round(share, 9) AS correctness, groundedness, round(0.5 * share + 0.2 * groundedness, 9) AS final_score FROM c""",
     "eval_answer_scores": f"""{_HITS}, r AS (SELECT query_id, avg(score) AS retrieval FROM h WHERE rank <= 5 GROUP BY query_id),
-t AS (SELECT conv_id AS query_id, max(CASE WHEN turn = 0 THEN text END) AS expected, max(CASE WHEN turn = 1 THEN text END) AS answer FROM conversations WHERE turn <= 1 GROUP BY conv_id),
-w AS (SELECT *, list_filter(string_split_regex(lower(expected), '\\s+'), lambda x: x <> '') AS words FROM t WHERE expected IS NOT NULL AND answer IS NOT NULL),
+{_SAID},
+w AS (SELECT *, list_filter(string_split_regex(lower(expected), '\\s+'), lambda x: x <> '') AS words FROM t WHERE answer <> ''),
 c AS (SELECT w.query_id, len(list_filter(words, lambda x: contains(lower(answer), x))) / len(words) AS correctness, CASE WHEN contains(answer, '[Source') THEN 1.0 ELSE 0.0 END::DOUBLE AS groundedness, coalesce(retrieval, 0.0) AS retrieval FROM w LEFT JOIN r USING (query_id) WHERE len(words) > 0)
 SELECT query_id, round(correctness, 6) AS correctness, groundedness, round(retrieval, 6) AS retrieval, round(0.5 * correctness + 0.2 * groundedness + 0.3 * retrieval, 6) AS final_score FROM c""",
     "links": """WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages),
@@ -315,9 +318,9 @@ SELECT word, other, n, pmi, row_number() OVER (PARTITION BY word ORDER BY pmi DE
     "context_blocks": f"{_HITS} SELECT h.query_id, sha256(string_agg(regexp_replace({_BLOCK}, '\\s+$', ''), chr(10) || chr(10) ORDER BY rank)) AS context_hash, count(*)::INT AS n_sources, 'Source ' || count(*) AS last_source FROM h LEFT JOIN documents d ON d.doc_id = h.id WHERE rank <= 5 GROUP BY h.query_id",
     "eval_hit_rate": f"{_HITS}, c AS (SELECT q.query_id, bool_or(h.label = q.label) AS type_hit, bool_or(contains(lower(coalesce(d.text, '') || ' ' || h.label), 'ing')) AS keyword_hit FROM q JOIN h ON h.query_id = q.query_id AND rank <= 5 LEFT JOIN documents d ON d.doc_id = h.id GROUP BY q.query_id) "
     "SELECT query_id, type_hit, keyword_hit, type_hit AND keyword_hit AS success FROM c",
-    "eval_final_score": """WITH t AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS expected, max(CASE WHEN turn = 1 THEN text END) AS answer FROM conversations WHERE turn <= 1 GROUP BY conv_id),
-w AS (SELECT *, list_filter(string_split_regex(lower(expected), '\\s+'), lambda x: x <> '') AS words FROM t WHERE expected IS NOT NULL AND answer IS NOT NULL)
-SELECT conv_id AS query_id, round(len(list_filter(words, lambda x: contains(lower(answer), x))) / len(words), 9) AS correctness,
+    "eval_final_score": f"""WITH {_SAID},
+w AS (SELECT *, list_filter(string_split_regex(lower(expected), '\\s+'), lambda x: x <> '') AS words FROM t WHERE answer <> '')
+SELECT query_id, round(len(list_filter(words, lambda x: contains(lower(answer), x))) / len(words), 9) AS correctness,
   CASE WHEN contains(answer, '[Source') THEN 1.0 ELSE 0.0 END::DOUBLE AS groundedness, round(0.5 * len(list_filter(words, lambda x: contains(lower(answer), x))) / len(words) + 0.2 * CASE WHEN contains(answer, '[Source') THEN 1 ELSE 0 END, 9) AS final_score
 FROM w WHERE len(words) > 0""",
 }

@@ -492,19 +492,24 @@ def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.hit_rate(cases, hits).select("query_id", "type_hit", "keyword_hit", "success")
 
 
+def _said_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, expected, answer): of each conversation all that its user says, in order, and all that its assistant says."""
+    said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda t: t["text"]), " ")
+    pairs = _read(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy(F.col("conv_id").alias("query_id"))
+    return pairs.agg(said("user").alias("expected"), said("assistant").alias("answer")).where("trim(expected) <> '' AND answer <> ''")
+
+
 @_query
 def eval_final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers are the second turns of conversations, expectations the first; no retrieval."""
-    turns = _read(spark, sf_dir, "conversations").where("turn <= 1")
-    pairs = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("expected"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("answer"))
-    pairs = pairs.where("expected IS NOT NULL AND answer IS NOT NULL AND trim(expected) <> ''")
+    """All that the assistant says as an answer, all that the user says as what was expected; no retrieval."""
+    pairs = _said_pairs(spark, sf_dir)
     right, grounded = evaluate.correctness("answer", "expected"), evaluate.groundedness("answer")
     return pairs.select("query_id", F.round(right, 9).alias("correctness"), grounded.alias("groundedness"), F.round(evaluate.final_score(right, grounded, F.lit(0.0)), 9).alias("final_score"))
 
 
 @_query
 def eval_turn_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers are all assistant turns, expectations the user turns just before; ``eval_final_score`` reads two turns, as its SQL does."""
+    """Answers are all assistant turns, expectations the user turns just before."""
     before = Window.partitionBy("conv_id").orderBy("turn")
     turns = _read(spark, sf_dir, "conversations").withColumns({"expected": F.lag("text").over(before), "asker": F.lag("role").over(before)})
     pairs = turns.where("role = 'assistant' AND asker = 'user' AND text IS NOT NULL AND trim(expected) <> ''").withColumnRenamed("text", "answer")
@@ -524,10 +529,8 @@ def eval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def eval_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two turns of conversations as expectation and answer; the hits of the vector of that number, if asked for, as what was retrieved."""
-    turns = _read(spark, sf_dir, "conversations").where("turn <= 1")
-    pairs = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("expected"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("answer"))
-    pairs = pairs.where("expected IS NOT NULL AND answer IS NOT NULL AND trim(expected) <> ''")
+    """The pairs of ``eval_final_score``; the hits of the vector of that number, if asked for, as what was retrieved."""
+    pairs = _said_pairs(spark, sf_dir)
     hits = _hits(spark, sf_dir, 5).groupBy("query_id").agg(F.collect_list(F.struct(F.lit(None).cast("double").alias("rerank_score"), "score")).alias("retrieved"))
     scored = evaluate.score_answers(pairs.select("query_id", "answer").join(hits, "query_id", "left"), pairs.select("query_id", "expected"))
     return scored.select("query_id", *(F.round(c, 6).alias(c) for c in ("correctness", "groundedness", "retrieval", "final_score")))
