@@ -156,6 +156,13 @@ def test_deep_nesting_and_links():
     assert head == {"page_title": "A b", "canonical": "/c", "meta_description": "d"}
 
 
+def test_references_without_a_semicolon_are_text(spark):
+    page = "<h1>A &amp;&amp; b&amp</h1><p>&copy; &quot;q&quot &ampx; &nosuch; &#65;</p><a href='?a=1&copy=2&amp;b'>y</a><script>a &amp; &b</script>"
+    assert list(H.parse(page).strings()) == ["A && b&amp", '© "q&quot &ampx; &nosuch; A', "y", "a &amp; &b"] and H.links(page) == ["?a=1&copy=2&b"]
+    titles = nodes.page_titles(spark.createDataFrame([(1, (None,), page)], "page long, meta struct<page_title: string>, html string"))
+    assert titles.first().page_title == "A && b&amp"
+
+
 def test_assembled_section(spark):
     from lexiloom.operators.sections import extract_sections, invalid_sections
 
