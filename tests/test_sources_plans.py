@@ -182,6 +182,16 @@ def test_filtered_search_asks_every_query(spark):
     assert set(got["query_id"]) == set(range(0, 500, 50)) and (got.groupby("query_id").size() == 5).all()
 
 
+def test_two_stages_of_the_hits_asked_for(spark, tmp_path):
+    """The first hits are of one label and section: what they crowd out isn't replaced by later hits."""
+    rows = [(k, [1.0, 0.01 * k], k % 3 if k < 12 else k) for k in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = registry.QUERIES["two_stage"](spark, str(tmp_path)).toPandas()
+    assert 0 < len(got) < 5 and canon(got) == canon(con.execute(registry.ORACLES["two_stage"]).fetchdf())
+
+
 def test_every_answered_question_is_scored(spark, duck):
     turns = duck.execute("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn").fetchall()
     want = {(b[0], b[1]) for a, b in zip(turns, turns[1:]) if a[0] == b[0] and (a[2], b[2]) == ("user", "assistant") and (a[3] or "").strip() and b[3] is not None}
