@@ -68,8 +68,9 @@ def _is_noise() -> Column:
 
 def _strings(texts: Column, first: Column, past: Column, without: Column | None = None) -> Column:
     """The strings from ``first`` to ``past``, joined; those right in the element ``without`` are left out."""
-    some = F.slice(texts, first + 1, F.greatest(past - first, F.lit(0)))
-    some = F.filter(some, lambda x: x["text"] != "" if without is None else (x["text"] != "") & (x["parent"] != without))
+    # By place: ``slice`` would read the page's whole array for each element.
+    at = F.when(past > first, F.sequence(first, past - 1)).otherwise(F.array().cast("array<int>"))
+    some = F.filter(F.transform(at, lambda k: F.get(texts, k)), lambda x: x["text"] != "" if without is None else (x["text"] != "") & (x["parent"] != without))
     return F.array_join(F.transform(some, lambda x: x["text"]), " ")
 
 
@@ -84,20 +85,22 @@ def _elements(nodes: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(is_text, F.struct("pre", "parent", F.when(F.col("gone"), "").otherwise(F.col("text")).alias("text"))))).alias("texts"),
         F.sort_array(F.collect_list(F.when(~is_text & ~F.col("gone"), element))).alias("elements"),
     )
-    rows = pages.select("page", "meta", "texts", F.posexplode("elements").alias("nth", "e"))
-    own = F.when(F.col("e.tag").isin(*_READ), T.clean_text(_strings(F.col("texts"), F.col("e.first"), F.col("e.past"))))
-    rows = _worked_out(rows, text=own).select("page", "e.*", "text", *(F.when(F.col("nth") == 0, F.col(c)).alias(c) for c in ("meta", "texts")))
+    own = lambda e: F.when(e["tag"].isin(*_READ), T.clean_text(_strings(F.col("texts"), e["first"], e["past"])))
+    # What is exploded has the page's columns on its first row already: carried beside it they would be in every row's buffer.
+    of_page = lambda nth: (F.when(nth == 0, F.col(c)).alias(c) for c in ("meta", "texts"))
+    rows = pages.select("page", F.inline(F.transform("elements", lambda e, nth: F.struct(*(e[c].alias(c) for c in _FIELDS if c not in ("text", "hidden")), own(e).alias("text"), *of_page(nth)))))
     return rows.withColumn("level", F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int")))
 
 
 def _placed(elements: DataFrame) -> DataFrame:
     """``elements`` with what follows from their order: where the section and the answer of each end, its path of headings, the label above it."""
-    after = Window.partitionBy("page", "parent").orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
+    # What follows is read backwards: a frame without an end would be gone through anew for each row.
+    after = Window.partitionBy("page", "parent").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
     beside = Window.partitionBy("page", "parent").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.partitionBy("page").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     up_to = before.rowsBetween(Window.unboundedPreceding, 0)
     level, tag, text = F.col("level"), F.col("tag"), F.col("text")
-    next_ = lambda condition, value: F.first(F.when(condition, value), ignorenulls=True).over(after)
+    next_ = lambda condition, value: F.last(F.when(condition, value), ignorenulls=True).over(after)
     here = F.struct("first", "past")
     stops = (tag.isin("h2", "h3", "h4", "h5", "dt", "summary") & (text != "")) | ((tag == "button") & text.contains("?"))
     rows = elements.withColumns({
@@ -245,40 +248,39 @@ def sections(pages: DataFrame, least: int = 120) -> DataFrame:
     how = F.col("how")
     # Texts are cleaned for the strings of an element, and again for what they make together.
     none = F.array().cast("array<string>")
-    found = _worked_out(found, read=F.transform(F.concat(F.array("raw", "title", "rest"), F.coalesce("parts", none)), lambda x: T.clean_text(x)))
+    found = _worked_out(found, read=F.transform(F.array("raw", "title", "rest"), lambda x: T.cleaned_again(x)), parts=F.transform(F.coalesce("parts", none), lambda x: T.clean_text(x)))
     at = lambda k: F.get("read", F.lit(k))
-    title = F.when(how == "card", at(1)).otherwise(F.col("title"))
-    body = F.when(at(0) != "", at(0)).when(F.lower(at(2)) != F.lower("title"), at(2)).otherwise("")
-    found = _worked_out(found, title=title, body=body, parts=F.filter(F.slice("read", 4, 2**31 - 4), lambda p: p != ""))
-    found = _worked_out(found, read=F.transform(F.array("body", F.array_join(F.slice("parts", 2, 2**31 - 2), " ")), lambda x: T.clean_text(x)))
-    found = _worked_out(found, body=at(0), bio=at(1))
-    academic, industry = C.role_line(F.coalesce(F.get("parts", F.lit(0)), F.lit("")))
-    found = _worked_out(found, academic=academic, industry=industry, category=C.faq_category("title", "body"))
+    title = F.when(how == "card", at(1)["once"]).otherwise(F.col("title"))
+    body = F.when(at(0)["once"] != "", at(0)["again"]).when(F.lower(at(2)["once"]) != F.lower("title"), at(2)["again"]).otherwise("")
+    found = _worked_out(found, title=title, body=body, parts=F.filter("parts", lambda p: p != "")).drop("raw", "rest", "read")
     person, faq, course = how.isin("card", "person"), how.isin("faq", "line"), how == "course"
+    academic, industry = C.role_line(F.coalesce(F.get("parts", F.lit(0)), F.lit("")))
+    of_person = {"bio": T.clean_text(F.array_join(F.slice("parts", 2, 2**31 - 2), " ")), "academic": academic, "industry": industry}
+    found = _worked_out(found, category=F.when(faq, C.faq_category("title", "body")), **{n: F.when(person, c) for n, c in of_person.items()})
     labelled = [F.when(F.col(c) != "", F.concat(F.lit(label), F.col(c))) for label, c in (("Faculty: ", "title"), ("Academic role: ", "academic"), ("Industry role: ", "industry"), ("", "bio"))]
     category = F.col("category")
+    # Not a column of the rows that are sorted: it would hold most texts twice.
     content = C.first_match([
         (faq, F.concat(F.lit("Question: "), "title", F.lit("\nAnswer: "), "body")),
         (course, F.concat(F.lit("Course: "), "title", F.lit("\nCourse type: "), "kind", F.lit("\n\n"), F.when(F.length("body") >= SHORTEST_COURSE, F.col("body")).otherwise(F.col("title")))),
         (person, F.concat_ws("\n", *labelled)),
     ], F.col("body"))
-    found = _worked_out(found, content=content)
     said = F.lower(F.concat_ws(" ", "title", "body"))
     calls = (F.length("body") < 180) & C.has_any(said, rules.CTA_ANSWERS)
     good = C.first_match([
         (faq, (F.length("body") >= SHORTEST_ANSWER) & ~calls),
-        (person, C.is_person_name("title") & (F.length("content") >= SHORTEST_BIO) & ((how == "card") | (F.size("parts") > 0))),
+        (person, C.is_person_name("title") & (F.length(content) >= SHORTEST_BIO) & ((how == "card") | (F.size("parts") > 0))),
         (course, F.lit(True)),
     ], (F.col("title") != "") & (F.length("title") <= LONGEST_TITLE) & (F.length("body") >= least))
     whole = Window.partitionBy("page")
     found = found.where(good).withColumn("turns", F.min("turn").over(whole)).where(F.col("turn") == F.col("turns"))
-    key = C.first_match([(course | (how == "faq"), F.lower("title"))], F.lower(F.concat_ws("|", "title", "content")))
+    key = T.sha256(C.first_match([(course | (how == "faq"), F.lower("title"))], F.lower(F.concat_ws("|", F.col("title"), content))))
     found = found.withColumn("same", F.row_number().over(Window.partitionBy("page", F.when(course, "course").otherwise("other"), key).orderBy("nth"))).where("same = 1")
     seq = F.row_number().over(whole.orderBy("nth")) - 1
     question, name = F.when(faq, F.col("title")), F.when(person, F.col("title"))
     path = C.first_match([(faq, F.array(F.lit("FAQs"), category, F.col("title"))), (person, F.array(F.lit("Faculty, Instructors & Staff"), F.col("title")))], F.col("path"))
     return found.select(
-        "page", "meta", "page_title", seq.alias("section_seq"), F.when(faq, F.substring("title", 1, 140)).otherwise(F.col("title")).alias("title"), "content", path.alias("heading_path"),
+        "page", "meta", "page_title", seq.alias("section_seq"), F.when(faq, F.substring("title", 1, 140)).otherwise(F.col("title")).alias("title"), content.alias("content"), path.alias("heading_path"),
         F.when(faq, 4).otherwise(F.col("level")).alias("heading_level"), F.col("anchor").alias("anchor_id"), F.when(faq, category).alias("faq_category"), question.alias("question"), F.when(faq, F.col("body")).alias("answer"),
         F.when(course, F.col("title")).alias("course_name"), F.when(course, F.col("kind")).alias("course_type"), name.alias("faculty_name"), F.when(person, F.col("academic")).alias("academic_title"),
         F.when(person, F.col("industry")).alias("industry_role"), C.first_match([(faq, F.lit(95)), (course, F.lit(90)), (person, F.lit(80))], F.lit(None).cast("int")).alias("retrieval_priority"),

@@ -163,6 +163,20 @@ def test_references_without_a_semicolon_are_text(spark):
     assert titles.first().page_title == "A && b&amp"
 
 
+def test_work_of_a_page_grows_with_it(spark):
+    """No frame is gone through anew for each row, and no array of the page is beside what is exploded of it."""
+    plan = nodes._placed(nodes._elements(nodes.node_table(spark.createDataFrame([(1, (None,), "<p>x")], "page long, meta struct<page_title: string>, html string"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, 1, unboundedfollowing" not in plan and "posexplode" not in plan and "inline(transform(elements" in plan
+
+
+def test_cleaned_again(one):
+    from lexiloom.functions import text as T
+
+    for x in (None, "", " a  b ", "Learn Learn More More x", "L\u200bearn More\u00a0y", "Clic\u212a Here z", "ä  Read Read More More"):
+        got, first = one(T.cleaned_again, x), one(T.clean_text, x)
+        assert (got.once, got.again) == (first, one(T.clean_text, first)), x
+
+
 def test_assembled_section(spark):
     from lexiloom.operators.sections import extract_sections, invalid_sections
 
