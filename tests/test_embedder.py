@@ -168,3 +168,22 @@ def test_cli_learns_for_a_new_index(spark, tmp_path, monkeypatch, capsys):
     cli.main(["index"])
     with pytest.raises(ValueError, match="another embedder"):
         cli.main(["index", "--learnt"])
+
+
+def test_pairs_are_counted_where_the_words_are(spark, monkeypatch):
+    """No join of words, and the same counts when a task holds next to nothing."""
+    docs = spark.createDataFrame([(k, f"a b{k % 3} c a {'x' * k} b{k % 2} a c") for k in range(40)] + [(99, None), (100, ""), (101, "a")], "doc_id long, text string")
+    known = embedder.vocabulary(docs)
+    ids = {r.word: r.id for r in known.collect()}
+    want = {}
+    for r in docs.collect():
+        w = (r.text or "").split()
+        for i in range(len(w)):
+            for j in range(i + 1, min(i + embedder.WINDOW, len(w) - 1) + 1):
+                if w[i] in ids and w[j] in ids:
+                    pair = tuple(sorted((ids[w[i]], ids[w[j]])))
+                    want[pair] = want.get(pair, 0) + 1
+    for held in (embedder.HELD, 4):
+        monkeypatch.setattr(embedder, "HELD", held)
+        found = embedder.company(docs, known)
+        assert {(r.a, r.b): r.n for r in found.collect()} == want and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
