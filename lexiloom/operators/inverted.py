@@ -28,6 +28,8 @@ from .retrieve import sound_units, topk_cosine
 
 #: Vectors of a block and queries of a block, about; the most lists there are; floats of all centroids at most.
 BLOCK, QUERIES, LISTS, CENTROIDS = 1024, 1024, 4096, 1 << 22
+#: Floats that a task's products with the centroids have, and of the vectors that it passes on at once.
+PRODUCT = 1 << 20
 #: Angles are compared with this to spare.
 SLACK = 1e-7
 
@@ -94,7 +96,8 @@ def _filed(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     kind, _ = _arrow({"id": rows.schema["id"].dataType, "unit": ArrayType(DoubleType()), "list": IntegerType(), "angle": DoubleType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        step = max(1, PRODUCT // len(centroids))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             near = _matrix(batch.column(1), centroids.shape[1]) @ centroids.T
             best = near.argmax(axis=1)
             angle = np.arccos(np.clip(near[np.arange(len(best)), best], -1, 1))
@@ -155,13 +158,17 @@ def _probed(queries: DataFrame, file: InvertedFile, wanted: Callable[[np.ndarray
     centroids, filled = file.centroids, file.filled > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(QUERIES, PRODUCT // len(centroids)))
         for batch in batches:
-            for at in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(at, QUERIES)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 live, units = sound_units(part.column(1).to_pylist(), dims)
                 bound = part.column(2).to_numpy(zero_copy_only=False)[live]
                 row, lists = np.nonzero(wanted(units @ centroids.T, bound) & filled)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(live[row])), _rows(units[row]), pa.array(lists.astype(np.int32))], ["query_id", "unit", "list"])
+                # A query goes out once for each list that it probes: in pieces, as there may be thousands.
+                most = max(1, PRODUCT // dims)
+                for own, those in ((row[k : k + most], lists[k : k + most]) for k in range(0, len(row), most)):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(live[own])), _rows(units[own]), pa.array(those.astype(np.int32))], ["query_id", "unit", "list"])
 
     return queries.select("query_id", "embedding", "bound").mapInArrow(run, kind)
 

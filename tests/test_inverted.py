@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.operators import inverted, retrieve
 from lexiloom.plans import registry
@@ -84,3 +85,16 @@ def test_products_are_bounded(spark, monkeypatch):
     whole = rounded()
     monkeypatch.setattr(retrieve, "PRODUCT", 100)
     assert rounded() == whole
+
+
+def test_queries_that_probe_many_lists_go_out_in_pieces(spark, tmp_path, monkeypatch):
+    """Pieces of 32 rows, where a query probes 20 lists: each pair once, and the result is that of a scan."""
+    monkeypatch.setattr(inverted, "PRODUCT", 256)
+    rng = np.random.default_rng(3)
+    index = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((400, 8)))], "id long, embedding array<double>")
+    asked = index.where("id % 5 = 0").select(F.col("id").alias("query_id"), "embedding")
+    file = inverted.build(index, str(tmp_path / "f"), lists=20)
+    probed = inverted._probed(asked.coalesce(1).withColumn("bound", F.lit(0.0)), file, inverted._nearest_lists(20))
+    assert probed.select("query_id", "list").distinct().count() == probed.count() == 80 * int((file.filled > 0).sum())
+    got = {(r.query_id, r.id, r["rank"]) for r in inverted.search(file, asked, 5, exact=True, exclude_same=True).collect()}
+    assert got == {(r.query_id, r.id, r["rank"]) for r in retrieve.topk_cosine(index, asked, 5, exclude_same=True).collect()}
