@@ -30,8 +30,9 @@ def metadata(columns: list[str]) -> Column:
 def index_records(chunks: DataFrame, shortest: int = 40) -> DataFrame:
     """(id, document, metadata) of the chunks that have an id and some text."""
     named = F.coalesce(F.nullif("chunk_id", F.lit("")), F.nullif("doc_id", F.lit("")))
-    out = chunks.select(named.alias("id"), document_text().alias("document"), metadata(chunks.columns).alias("metadata"))
-    return out.where(F.col("id").isNotNull() & (F.length("document") >= shortest))
+    # Exploded: conditions on a projected text would work it out anew, each for itself.
+    long_enough = F.filter(F.array(document_text()), lambda d: F.length(d) >= shortest)
+    return chunks.where(named.isNotNull()).select(named.alias("id"), F.explode(long_enough).alias("document"), metadata(chunks.columns).alias("metadata"))
 
 
 def embed(df: DataFrame, text: str, into: str = "embedding", model: Callable[[], Embedder] = HashedWords, batch: int = 32) -> DataFrame:
@@ -48,7 +49,7 @@ def embed(df: DataFrame, text: str, into: str = "embedding", model: Callable[[],
             rows = [r for at in range(0, len(texts), batch) for r in made.embed(texts[at : at + batch])]
             yield pd.Series(rows, dtype=object)
 
-    return df.where(F.length(T.normalize_whitespace(text)) > 0).withColumn(into, run(text))
+    return df.where(T.not_blank(text)).withColumn(into, run(text))
 
 
 def build_index(chunks: DataFrame, model: Callable[[], Embedder] = HashedWords) -> DataFrame:

@@ -92,20 +92,26 @@ def topk_cosine(index: DataFrame, queries: DataFrame, k: int, *, id: str = "id",
 
 def search(
     index: DataFrame, queries: DataFrame, k: int = FINAL_K, content_type: str | None = None, program_type: str | None = None,
-    nearest: Callable[[DataFrame, int], DataFrame] | None = None,
+    nearest: Callable[[DataFrame, int], DataFrame] | None = None, records: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Hits with their record: query_id, id, score, distance, rank, document, metadata.
 
     ``nearest(queries, k)`` finds (query_id, id, score, rank) in an index of its own, as ``inverted.search`` does; it serves where there is
     no filter. With few hits these are sent to the tasks that scan the records; more meet them by a join on id.
+
+    ``records(hits)`` gives (id, document, metadata) of the hits' ids, where ``index`` has none of a record but its id and vector (and
+    what is filtered by): an index of vectors is small, and only of hits the records are worked out. Hits, and what is found of them, are then checkpointed in the session's folder.
     """
     part = index.where(metadata_filter(**{"metadata.content_type": content_type, "metadata.program_type": program_type}))
     whole = content_type is None and program_type is None
     hits = nearest(queries, k) if nearest and whole else topk_cosine(part, queries, k)
+    hits = hits.checkpoint() if records else hits
     most = FEW_HITS // max(1, k)
     if queries.limit(most + 1).count() <= most:
         hits = F.broadcast(hits)
-    return part.select("id", "document", "metadata").join(hits, "id").select("id", *(c for c in hits.columns if c != "id"), "document", "metadata").withColumn("distance", 1 - F.col("score"))
+    found = records(hits) if records else part
+    told = found.select("id", "document", "metadata").join(hits, "id").select("id", *(c for c in hits.columns if c != "id"), "document", "metadata").withColumn("distance", 1 - F.col("score"))
+    return told.checkpoint() if records else told
 
 
 def ordered(hits: DataFrame, query: str = "query_id") -> DataFrame:

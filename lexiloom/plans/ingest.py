@@ -33,15 +33,15 @@ def ask(
     records: DataFrame, questions: DataFrame, settings: Settings = Settings(), *, content_type: str | None = None, program_type: str | None = None,
     embedder: Callable[[], models.Embedder] = models.HashedWords, scorer: Callable[[], models.Scorer] = models.SharedWords,
     generator: Callable[[], models.Generator] = models.FirstSource, nearest: Callable[[DataFrame, int], DataFrame] | None = None,
-    corpus: lexical.Corpus | None = None,
+    corpus: lexical.Corpus | None = None, records_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Answers to ``questions`` (query_id, question) from an index: search, two stages, prompt, model. ``nearest`` as in ``retrieve.search``.
+    """Answers to ``questions`` (query_id, question) from an index: search, two stages, prompt, model. ``nearest`` and ``records_of`` as in ``retrieve.search``.
 
     With the word statistics of a ``corpus`` hits are reranked by BM25 and answers drawn from their sentences: no model but the embedder is asked.
     """
     asked = index.embed(questions, "question", model=embedder).select("query_id", "embedding")
     initial = settings.rerank_initial_top_k if settings.use_reranker else settings.rag_top_k
-    hits = retrieve.search(records, asked, initial, content_type, program_type, nearest)
+    hits = retrieve.search(records, asked, initial, content_type, program_type, nearest, records_of)
     hits = hits.join(questions, "query_id").select("*", "metadata.url", "metadata.section_title")
     if corpus is not None:
         distinct, final = retrieve.two_stage(hits, settings.rerank_final_top_k, settings.rag_min_score, scored=lambda good: lexical.bm25(good, corpus))

@@ -113,6 +113,23 @@ def test_topk_passes_over_unsound_vectors(spark):
     assert [r.id for r in got] == [0, 9, 10, 1] and {r.query_id for r in retrieve.topk_cosine(table, q, 4).collect()} == {0, 1, 2, 9, 10}
 
 
+def test_records_of_hits_only(spark):
+    """An index of vectors finds what the whole index finds, and asks for the records of its hits alone."""
+    kind = "id string, document string, embedding array<double>, metadata struct<content_type:string,program_type:string>"
+    rows = [(str(k), f"text {k}", [1.0, k / 10], ("faq" if k % 2 else "x", "general")) for k in range(40)] + [("7", "the other 7", [0.0, 1.0], ("faq", "general"))]
+    whole, asked = spark.createDataFrame(rows, kind), spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<double>")
+    seen = []
+
+    def records(hits):
+        seen.extend(r.id for r in hits.collect())
+        return whole.join(hits.select("id"), "id", "left_semi")
+
+    got = retrieve.search(whole.select("id", "embedding"), asked, 3, records=records)
+    want = retrieve.search(whole, asked, 3)
+    assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert sorted(seen) == ["0", "1", "2", "38", "39", "7"]
+
+
 HITS = "query_id long, id string, url string, section_title string, score double, document string, question string"
 
 
@@ -173,6 +190,28 @@ def test_index(spark):
     assert [x.tolist() for x in models.HashedWords(4).embed([""])] == [[0.0] * 4]
 
 
+def test_document_is_worked_out_once(spark):
+    chunks = spark.createDataFrame([("c", "d", "P", "S", "faq", "general", "x" * 50, "")], "chunk_id string, doc_id string, page_title string, section_title string, content_type string, program_type string, content_clean string, content string")
+    plan = index.build_index(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Page title: ") == 1
+    bare = chunks.withColumns({c: F.lit(None).cast("string") for c in ("page_title", "section_title", "content_type", "program_type", "content_clean")})
+    assert index.index_records(bare, 54).count() == 1 and index.index_records(bare, 55).count() == 0  # the labels alone
+
+
+@pytest.mark.parametrize("dims", [64, 7])
+def test_hashed_words_like_a_loop(dims):
+    import zlib
+
+    texts = ["", " .,- ", "One_two 3 three-four\tFIVE\x00six\x1cseven", "one one ONE", "\u212aelvin k \u0130x \u0661\u0662 \xe9lan E\u0301a na\xefve \u4e2d\u6587 \U0001f600 x\u200by", "".join(map(chr, range(256)))]
+    for row, text in zip(models.HashedWords(dims).embed([models.EMBEDDING_PREFIX + t for t in texts]), texts, strict=True):
+        want = [0.0] * dims
+        for word in re.findall(r"\w+", text.lower()):
+            h = zlib.crc32(word.encode())
+            want[h % dims] += 1 if h >> 16 & 1 else -1
+        norm = sum(x * x for x in want) ** 0.5 or 1
+        assert max(abs(a - b / norm) for a, b in zip(row, want, strict=True)) < 1e-6, text
+
+
 def test_crawl(spark):
     site = {"http://s/1": ["/2", "/3", "/x.pdf", "http://t/9"], "http://s/2": ["/1", "/4", "/5"], "http://s/3": ["/4", "/missing"], "http://s/4": ["/1"], "http://s/5": []}
     pages = spark.createDataFrame([(u, "".join(f"<a href='{h}'>x</a>" for h in hs)) for u, hs in site.items()], "url string, html string")

@@ -87,3 +87,9 @@ def test_sha(one):
     import hashlib
 
     assert one(T.sha256, "é") == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_not_blank_like_normalized(spark):
+    texts = [None, "", *map(chr, range(0xD800)), *map(chr, range(0xE000, 0x10100)), " \t\x1c\xa0\u3000", "\u2003\u2003x", " \u200b", "\n\U0001f600"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert rows.where(T.not_blank("x") != (F.length(T.normalize_whitespace("x")) > 0)).count() == 0 and rows.where(T.not_blank("x").isNull()).count() == 0
