@@ -241,7 +241,9 @@ def sections(pages: DataFrame, least: int = 120) -> DataFrame:
     """
     rows = _placed(_elements(node_table(pages)))
     kept = [c for c in rows.columns if c not in ("page", "meta", "texts", "pre")]
-    by_page = rows.groupBy("page").agg(F.first("meta", ignorenulls=True).alias("meta"), F.first("texts", ignorenulls=True).alias("texts"), F.sort_array(F.collect_list(F.struct("pre", F.struct(*kept).alias("own")))).alias("elements"))
+    # Lists of one: beside a list, the buffer of ``first`` is copied at each row, so a page's strings once for each of its elements.
+    only = lambda c: F.get(F.collect_list(c), F.lit(0)).alias(c)
+    by_page = rows.groupBy("page").agg(only("meta"), only("texts"), F.sort_array(F.collect_list(F.struct("pre", F.struct(*kept).alias("own")))).alias("elements"))
     by_page = by_page.withColumn("elements", F.transform("elements", lambda e: F.struct(e["pre"].alias("pre"), *(e["own"][c].alias(c) for c in kept))))
     found = _candidates(_routed(_worked_out(by_page, page_title=_title()))).select("page", "meta", "page_title", "nth", "s.*")
 

@@ -169,6 +169,13 @@ def test_work_of_a_page_grows_with_it(spark):
     assert "specifiedwindowframe(RowFrame, 1, unboundedfollowing" not in plan and "posexplode" not in plan and "inline(transform(elements" in plan
 
 
+def test_strings_of_a_page_are_gathered_once(spark):
+    """``first`` beside a list copies what it holds at each row of the page."""
+    pages = spark.createDataFrame([(1, (None, None), "<p>x")], "page long, meta struct<route_url: string, page_title: string>, html string")
+    plan = nodes.sections(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(texts" not in plan and "collect_list(texts" in plan
+
+
 def test_cleaned_again(one):
     from lexiloom.functions import text as T
 
