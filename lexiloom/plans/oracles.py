@@ -6,6 +6,10 @@ from ..functions import rules
 
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _LEX = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s]"
+#: Unicode's word characters, letters in circles and joiners among them.
+_WORD = r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200c}\x{200d}\x{24b6}-\x{24e9}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}"
+_WORD_LEX = rf"[{_WORD}]+|[^{_WORD}{_WS[1:-2]}]"
+_EMAIL = rf"[{_WORD}.+\-]+@[{_WORD}\-]+(?:\.[{_WORD}\-]+)+"
 
 
 def lit(s: str) -> str:
@@ -23,8 +27,8 @@ def clean(x: str) -> str:
     return squeeze(out)
 
 
-def tokens(x: str) -> str:
-    return f"greatest(1, floor(len(regexp_extract_all({x}, '{_LEX}')) / 0.75)::INT)"
+def tokens(x: str, lexeme: str = _LEX) -> str:
+    return f"greatest(1, floor(len(regexp_extract_all({x}, '{lexeme}')) / 0.75)::INT)"
 
 
 def sentences(cleaned: str) -> str:
@@ -314,7 +318,7 @@ p AS (SELECT c.word, c.other, n, round(ln(n * (SELECT sum(s) FROM s) / (a.s * b.
 SELECT word, other, n, pmi, row_number() OVER (PARTITION BY word ORDER BY pmi DESC, n DESC, other)::INT AS rank FROM p WHERE good QUALIFY rank <= 5""",
     "vector_store": "SELECT vec_id AS id, (CASE WHEN vec_id % 6 = 0 THEN 'third ' WHEN vec_id % 3 = 0 THEN 'second ' ELSE 'first ' END) || vec_id AS document, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS label, len(embedding)::INT AS dims FROM embeddings",
     "index_docs": f"SELECT doc_id::VARCHAR AS id, {clean('''concat('Page title: ', source, chr(10), 'Section title: ', lang, chr(10), 'Content type: overview', chr(10), 'Program type: general', chr(10), chr(10), text)''')} AS document FROM documents",
-    "index_metadata": f"{_DOCS} SELECT doc_id::VARCHAR AS id, source AS page_title, lang AS section_title, {tokens('text')} AS token_count, nullif(array_to_string({ordered_distinct('''regexp_extract_all(body, '[a-z0-9.]+@[a-z0-9.]+')''')}, ', '), '') AS emails FROM d",
+    "index_metadata": f"{_DOCS} SELECT doc_id::VARCHAR AS id, source AS page_title, lang AS section_title, {tokens('text', _WORD_LEX)} AS token_count, nullif(array_to_string({ordered_distinct(f"regexp_extract_all(body, '{_EMAIL}')")}, ', '), '') AS emails FROM d",
     "context_blocks": f"{_HITS} SELECT h.query_id, sha256(string_agg(regexp_replace({_BLOCK}, '\\s+$', ''), chr(10) || chr(10) ORDER BY rank)) AS context_hash, count(*)::INT AS n_sources, 'Source ' || count(*) AS last_source FROM h LEFT JOIN documents d ON d.doc_id = h.id WHERE rank <= 5 GROUP BY h.query_id",
     "eval_hit_rate": f"{_HITS}, c AS (SELECT q.query_id, bool_or(h.label = q.label) AS type_hit, bool_or(contains(lower(coalesce(d.text, '') || ' ' || h.label), 'ing')) AS keyword_hit FROM q JOIN h ON h.query_id = q.query_id AND rank <= 5 LEFT JOIN documents d ON d.doc_id = h.id GROUP BY q.query_id) "
     "SELECT query_id, type_hit, keyword_hit, type_hit AND keyword_hit AS success FROM c",

@@ -192,6 +192,20 @@ def test_two_stages_of_the_hits_asked_for(spark, tmp_path):
     assert 0 < len(got) < 5 and canon(got) == canon(con.execute(registry.ORACLES["two_stage"]).fetchdf())
 
 
+def test_sql_of_index_metadata_on_odd_texts(spark, tmp_path):
+    """Addresses and words by the rules of the query, not by those that a small table allows."""
+    texts = (
+        "Write to a.b@c.example. Or to Ada.L+x@Mail-1.Example.org, or to ada@nowhere.", "ü_1@ä-b.example and again ü_1@ä-b.example", "a@b. c@.d @e.f g@h..i j@k.l.", "x@y.z@v.w",
+        "a\u00a0b\u2003c\x0bd\x1ee\x85f", "a\u200db \u24d0 \u2167 a\u0301 \u00bd \U0001f600", "m\u00a0Learn More n@o.p", "", None,
+    )
+    spark.createDataFrame([(k, x, None if k == 1 else "en", "s") for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = registry.QUERIES["index_metadata"](spark, str(tmp_path)).toPandas()
+    assert list(got.sort_values("id")["emails"])[:2] == ["a.b@c.example, Ada.L+x@Mail-1.Example.org", "ü_1@ä-b.example"]
+    assert len(got) == len(texts) and canon(got) == canon(con.execute(registry.ORACLES["index_metadata"]).fetchdf())
+
+
 def test_every_answered_question_is_scored(spark, duck):
     turns = duck.execute("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn").fetchall()
     want = {(b[0], b[1]) for a, b in zip(turns, turns[1:]) if a[0] == b[0] and (a[2], b[2]) == ("user", "assistant") and (a[3] or "").strip() and b[3] is not None}
