@@ -76,6 +76,8 @@ def _strings(texts: Column, first: Column, past: Column, without: Column | None
 
 def _elements(nodes: DataFrame) -> DataFrame:
     """A row for each element that isn't noise, with its text if it is of a kind that is read; meta and all strings of the page on the first."""
+    # As many parts as the session has, none put together: the lists of all pages of a part are in memory at once.
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
     up_to = Window.partitionBy("page").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     gone = F.coalesce(F.max(F.when((F.col("tag") != "#text") & _is_noise(), F.col("post"))).over(up_to) >= F.col("pre"), F.lit(False))
     is_text = F.col("tag") == "#text"
