@@ -74,10 +74,10 @@ def _strings(texts: Column, first: Column, past: Column, without: Column | None
     return F.array_join(F.transform(some, lambda x: x["text"]), " ")
 
 
-def _elements(nodes: DataFrame) -> DataFrame:
+def _elements(nodes: DataFrame, apart: bool = False) -> DataFrame:
     """A row for each element that isn't noise, with its text if it is of a kind that is read; meta and all strings of the page on the first."""
-    # As many parts as the session has, none put together: the lists of all pages of a part are in memory at once.
-    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
+    if apart:  # As many parts as the session has, none put together: the lists of all pages of a part are in memory at once.
+        nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
     up_to = Window.partitionBy("page").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     gone = F.coalesce(F.max(F.when((F.col("tag") != "#text") & _is_noise(), F.col("post"))).over(up_to) >= F.col("pre"), F.lit(False))
     is_text = F.col("tag") == "#text"
@@ -236,12 +236,13 @@ def page_titles(pages: DataFrame) -> DataFrame:
     return rows.select("page", "meta", _title().alias("page_title"))
 
 
-def sections(pages: DataFrame, least: int = 120) -> DataFrame:
+def sections(pages: DataFrame, least: int = 120, apart: bool = False) -> DataFrame:
     """The sections of ``pages`` (page, meta, html) in document order: page, meta, page_title, section_seq and the fields of a raw section.
 
     meta holds route_url and page_title at least. Pages without sections give no row.
+    ``apart`` is for few, large pages: their parts are not put together. Of many small ones each part would cost more than its pages.
     """
-    rows = _placed(_elements(node_table(pages)))
+    rows = _placed(_elements(node_table(pages), apart))
     kept = [c for c in rows.columns if c not in ("page", "meta", "texts", "pre")]
     # Lists of one: beside a list, the buffer of ``first`` is copied at each row, so a page's strings once for each of its elements.
     only = lambda c: F.get(F.collect_list(c), F.lit(0)).alias(c)

@@ -16,7 +16,7 @@ from . import nodes
 _META = ("route_url", "canonical", "last_modified", "page_title")
 
 
-def read_sections(pages: DataFrame, min_text_length: int = 120) -> DataFrame:
+def read_sections(pages: DataFrame, min_text_length: int = 120, apart: bool = False) -> DataFrame:
     """Rows of ``pages`` (url, html, page_title, canonical_url, final_url, last_modified, page_seq) exploded into raw sections.
 
     Columns but url and html may be absent. Pages without sections give no row.
@@ -28,7 +28,7 @@ def read_sections(pages: DataFrame, min_text_length: int = 120) -> DataFrame:
     out = pages.withColumn("route_url", U.canonicalize_url("url"))
     out = out.withColumn("canonical", U.canonicalize_url(first("canonical_url", "final_url", "url")))
     keep = [c for c in ("page_seq",) if c in pages.columns]
-    found = nodes.sections(out.select(F.monotonically_increasing_id().alias("page"), F.struct(*keep, *_META).alias("meta"), "html"), min_text_length)
+    found = nodes.sections(out.select(F.monotonically_increasing_id().alias("page"), F.struct(*keep, *_META).alias("meta"), "html"), min_text_length, apart)
     fields = [c for c in found.columns if c not in ("page", "meta", "page_title", "section_seq")]
     return found.select(*(F.col(f"meta.{c}").alias(c) for c in keep), "section_seq", *(F.col(f"meta.{c}").alias(c) for c in _META[:3]), "page_title", *fields)
 

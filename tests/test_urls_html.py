@@ -179,7 +179,7 @@ def test_strings_of_a_page_are_gathered_once(spark):
 def test_pages_of_many_parts_are_not_put_together(spark):
     """The parts keep their number: put together for their size on disk, they would hold more pages than memory does."""
     table = nodes.node_table(spark.createDataFrame([(1, (None,), "<p>x")], "page long, meta struct<page_title: string>, html string"))
-    plan = nodes._elements(table)._jdf.queryExecution().executedPlan().toString()
+    plan = nodes._elements(table, apart=True)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
